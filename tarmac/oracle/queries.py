@@ -243,5 +243,5 @@ select r.variables, r.PROBABILITY,
 
 
 def all_oracles() -> dict[str, str]:
-    from tarmac.oracle import queries_more  # noqa: F401
+    from tarmac.oracle import queries_io, queries_more  # noqa: F401
     return dict(ORACLE)

@@ -35,7 +35,7 @@ def as_entry(fn: Callable[[Ctx], DataFrame]) -> Callable[[SparkSession, str], Da
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     # import for registration side effects
-    from tarmac.plans import catalog_more  # noqa: F401
+    from tarmac.plans import catalog_io, catalog_ml, catalog_more  # noqa: F401
     return {k: as_entry(v) for k, v in QUERIES.items()}
 
 
