@@ -21,25 +21,31 @@ def _pairs(cols: list[str], with_diag: bool) -> list[tuple[str, str]]:
 
 
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """STA-02: Pearson correlation of every ordered pair, pairwise-complete.
+    """STA-02: Pearson correlation of every ordered pair, pairwise-complete
+    (Spark's ``corr`` skips rows where either value is NULL).
 
-    A constant column has no correlation (NULL), guarded explicitly so ANSI
-    mode does not fail on the division by a zero deviation.
+    One aggregate pass computes one ``corr`` per unordered pair and one
+    deviation per column; a single explode then emits both orders and the
+    diagonal. A constant column has no correlation (NULL): guarded
+    explicitly so ANSI mode does not fail on a zero deviation.
     """
-    aggs = []
-    for a, b in _pairs(cols, False):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        xa, xb = F.when(both, F.col(a)), F.when(both, F.col(b))
-        guard = (F.stddev_pop(xa) == 0) | (F.stddev_pop(xb) == 0)
-        aggs.append(F.when(guard, F.lit(None)).otherwise(F.corr(xa, xb)).alias(f"{a}|{b}"))
-    row = df.agg(*aggs)
-    long = row.unpivot([], row.columns, "PAIR", "CORR")
-    parts = F.split(F.col("PAIR"), r"\|")
-    one = long.select(parts.getItem(0).alias("F1"), parts.getItem(1).alias("F2"), "CORR")
-    mirrored = one.select(F.col("F2").alias("F1"), F.col("F1").alias("F2"), "CORR")
-    diag = df.agg(*[F.when(F.stddev_pop(c) > 0, F.lit(1.0)).alias(c) for c in cols]).unpivot(
-        [], cols, "F1", "CORR").select("F1", F.col("F1").alias("F2"), "CORR")
-    return one.unionByName(mirrored).unionByName(diag).withColumn("CORR", F.round("CORR", 6))
+    pairs = _pairs(cols, False)
+    row = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)],
+                 *[F.stddev_pop(c).alias(f"s{j}") for j, c in enumerate(cols)])
+    idx = {c: j for j, c in enumerate(cols)}
+
+    def entry(a: str, b: str, val) -> "F.Column":
+        return F.struct(F.lit(a).alias("F1"), F.lit(b).alias("F2"), val.alias("CORR"))
+
+    items = []
+    for i, (a, b) in enumerate(pairs):
+        const = (F.col(f"s{idx[a]}") == 0) | (F.col(f"s{idx[b]}") == 0)
+        v = F.when(const, F.lit(None).cast("double")).otherwise(F.col(f"r{i}"))
+        items += [entry(a, b, v), entry(b, a, v)]
+    for c in cols:
+        items.append(entry(c, c, F.when(F.col(f"s{idx[c]}") > 0, F.lit(1.0))))
+    out = row.select(F.inline(F.array(*items)))
+    return out.withColumn("CORR", F.round("CORR", 6))
 
 
 def corr_filter(corr: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -65,14 +71,20 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
     the last bin; density = count / (n * width). A constant column uses
     [min - 0.5, max + 0.5]. Empty bins are reported with count 0.
 
-    min / max / n come from one scalar subquery; binning is a projection and
-    the counts a grouped aggregate -- no sort, no collect of values.
+    min / max / n are one aggregate row (fitted first, like bin edges);
+    binning is then a projection with literal edges and the counts a grouped
+    aggregate -- no sort, no collect of values.
     """
     x = F.col(col).cast("double")
-    st = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n")).alias("s")).scalar()
-    lo = F.when(st["lo"] == st["hi"], st["lo"] - 0.5).otherwise(st["lo"])
-    hi = F.when(st["lo"] == st["hi"], st["hi"] + 0.5).otherwise(st["hi"])
-    width = (hi - lo) / F.lit(float(bins))
+    r = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n")).first()
+    lo_v, hi_v, n_v = r["lo"], r["hi"], r["n"]
+    if lo_v is None:
+        lo_v, hi_v = 0.0, 1.0
+    if lo_v == hi_v:
+        lo_v, hi_v = lo_v - 0.5, hi_v + 0.5
+    lo = F.lit(float(lo_v))
+    width = F.lit((float(hi_v) - float(lo_v)) / bins)
+    st = {"n": F.lit(int(n_v))}
     b = F.least(F.floor((x - lo) / width), F.lit(bins - 1)).cast("int")
     counts = df.where(x.isNotNull()).groupBy(b.alias("BIN")).agg(F.count(F.lit(1)).alias("CNT"))
     spark = df.sparkSession

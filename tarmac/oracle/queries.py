@@ -245,3 +245,17 @@ select r.variables, r.PROBABILITY,
 def all_oracles() -> dict[str, str]:
     from tarmac.oracle import queries_io, queries_more  # noqa: F401
     return dict(ORACLE)
+
+ORACLE["cls_proba_histogram"] = q("""
+select b.BIN, round(s.lo + b.BIN * s.w, 6) as LOWER, round(s.lo + (b.BIN + 1) * s.w, 6) as UPPER,
+       coalesce(c.CNT, 0) as CNT, round(coalesce(c.CNT, 0) / (s.n * s.w), 6) as DENSITY,
+       round((select t from thr), 6) as THRESHOLD
+  from (select cast(range as int) as BIN from range(10)) b
+  cross join st s
+  left join (select cast(least(floor((p - (select lo from st)) / (select w from st)), 9) as int) as BIN,
+                    count(*) as CNT from pr group by 1) c on c.BIN = b.BIN""", GNB + """,
+pr as (select round(PROBA, 6) as p from scored),
+st0 as (select min(p) as mn, max(p) as mx, count(p) as n from pr),
+st as (select case when mn = mx then mn - 0.5 else mn end as lo, n,
+              ((case when mn = mx then mx + 0.5 else mx end) - (case when mn = mx then mn - 0.5 else mn end)) / 10.0 as w
+         from st0)""")

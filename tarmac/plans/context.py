@@ -43,29 +43,38 @@ class Ctx:
     def carriers(self) -> DataFrame:
         return tables.carriers(self.spark, self.sf_dir)
 
+    def _stored(self, name: str, build) -> DataFrame:
+        """Load-or-build a derived table next to the flights table (the
+        reference keeps the same tables: major_airlines.csv,
+        major_airports.csv, the ``flights`` subset table)."""
+        srcs = ["lineitem", "orders", "supplier", "customer", "part", "nation"]
+        path = table_path(self.spark, name, *source_key(self.sf_dir, srcs))
+        return materialize(self.spark, path, build)
+
     @cached_property
     def ranks(self) -> DataFrame:
-        return tables.ranks(self.fl)
+        return self._stored("ranks", lambda: tables.ranks(self.fl))
 
     @cached_property
     def requests(self) -> DataFrame:
-        return tables.requests(self.fl)
+        return self._stored("requests", lambda: tables.requests(self.fl))
 
     @cached_property
     def major_airlines(self) -> DataFrame:
-        return dims.major_airlines(self.fl, self.carriers)
+        return self._stored("major_airlines", lambda: dims.major_airlines(self.fl, self.carriers))
 
     @cached_property
     def major_airports(self) -> DataFrame:
-        return dims.major_airports(self.fl, self.airports, TOP_AIRPORTS)
+        return self._stored("major_airports", lambda: dims.major_airports(self.fl, self.airports, TOP_AIRPORTS))
 
     @cached_property
     def subset(self) -> DataFrame:
-        return dims.flights_subset(self.fl, self.major_airlines, self.major_airports)
+        return self._stored("flights_subset",
+                            lambda: dims.flights_subset(self.fl, self.major_airlines, self.major_airports))
 
     @cached_property
     def hubs(self) -> DataFrame:
-        return dims.large_hubs(self.ranks)
+        return self._stored("large_hubs", lambda: dims.large_hubs(self.ranks))
 
     @cached_property
     def sample(self) -> DataFrame:

@@ -202,3 +202,13 @@ def q_pipe_request_answer(c: Ctx) -> DataFrame:
     scored = cls.score_requests(sm.parse_requests(c.requests), codes, model)
     return sm.request_answer(scored, sm.origin_summary(c.subset), sm.destination_summary(c.subset),
                              sm.route_summary(c.subset))
+
+
+@query("cls_proba_histogram")
+def q_cls_proba_histogram(c: Ctx) -> DataFrame:
+    """CLS-07: density histogram (10 bins) of the predicted probabilities
+    with the decision threshold alongside."""
+    from tarmac.operators.stats import histogram
+    train, _, model = _trained(c)
+    s = cls.proba(train, model).select(F.round("PROBA", 6).alias("PROBA"))
+    return histogram(s, "PROBA", 10).withColumn("THRESHOLD", F.round(F.lit(model.threshold), 6))
