@@ -21,31 +21,37 @@ def _pairs(cols: list[str], with_diag: bool) -> list[tuple[str, str]]:
 
 
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """STA-02: Pearson correlation of every ordered pair, pairwise-complete
-    (Spark's ``corr`` skips rows where either value is NULL).
-
-    One aggregate pass computes one ``corr`` per unordered pair and one
-    deviation per column; a single explode then emits both orders and the
-    diagonal. A constant column has no correlation (NULL): guarded
-    explicitly so ANSI mode does not fail on a zero deviation.
+    """STA-02: Pearson correlation of every ordered pair, pairwise-complete.
+
+    r = covar_pop(a, b) / (sd_a * sd_b), all from aggregates that are safe
+    under ANSI mode (Spark's ``corr`` fails on a constant column). Covariance
+    already skips rows where either value is NULL; the deviations are taken
+    over the same rows -- per column when neither column has a NULL (known
+    from a cheap first pass), per pair otherwise. One aggregate pass over the
+    data; its single row (features^2 numbers, independent of the data size)
+    is reshaped into the long (F1, F2, CORR) table with both orders and the
+    diagonal. A constant column has no correlation (NULL).
     """
+    nn = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+    has_null = {c: nn[c] > 0 for c in cols}
     pairs = _pairs(cols, False)
-    row = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)],
-                 *[F.stddev_pop(c).alias(f"s{j}") for j, c in enumerate(cols)])
-    idx = {c: j for j, c in enumerate(cols)}
-
-    def entry(a: str, b: str, val) -> "F.Column":
-        return F.struct(F.lit(a).alias("F1"), F.lit(b).alias("F2"), val.alias("CORR"))
-
-    items = []
+    aggs = [F.stddev_pop(c).alias(f"s_{j}") for j, c in enumerate(cols)]
+    for i, (a, b) in enumerate(pairs):
+        aggs.append(F.covar_pop(a, b).alias(f"c_{i}"))
+        if has_null[a] or has_null[b]:
+            both = F.col(a).isNotNull() & F.col(b).isNotNull()
+            aggs.append(F.stddev_pop(F.when(both, F.col(a))).alias(f"sa_{i}"))
+            aggs.append(F.stddev_pop(F.when(both, F.col(b))).alias(f"sb_{i}"))
+    row = df.agg(*aggs).first().asDict()
+    sd = {c: row[f"s_{j}"] for j, c in enumerate(cols)}
+    out = []
     for i, (a, b) in enumerate(pairs):
-        const = (F.col(f"s{idx[a]}") == 0) | (F.col(f"s{idx[b]}") == 0)
-        v = F.when(const, F.lit(None).cast("double")).otherwise(F.col(f"r{i}"))
-        items += [entry(a, b, v), entry(b, a, v)]
-    for c in cols:
-        items.append(entry(c, c, F.when(F.col(f"s{idx[c]}") > 0, F.lit(1.0))))
-    out = row.select(F.inline(F.array(*items)))
-    return out.withColumn("CORR", F.round("CORR", 6))
+        sa, sb = (row[f"sa_{i}"], row[f"sb_{i}"]) if f"sa_{i}" in row else (sd[a], sd[b])
+        cov = row[f"c_{i}"]
+        v = None if (cov is None or not sa or not sb) else round(max(-1.0, min(1.0, cov / (sa * sb))), 6)
+        out += [(a, b, v), (b, a, v)]
+    out += [(c, c, 1.0 if sd[c] else None) for c in cols]
+    return df.sparkSession.createDataFrame(out, "F1 string, F2 string, CORR double")
 
 
 def corr_filter(corr: DataFrame, threshold: float = 0.5) -> DataFrame:
