@@ -30,26 +30,34 @@ def mode_table(df: DataFrame, cols: list[str], by: list[str] | None = None) -> D
     """AGG-14: (by..., FEATURE, NUM, STR) with the mode of every column.
 
     Numbers and dates are compared numerically (dates as day numbers),
-    strings in byte order; ties go to the lowest value.
+    strings in byte order; ties go to the lowest value. Numeric and text
+    columns are each unpivoted (one Expand, no per-row structs), counted per
+    (feature, value) with a partial aggregate, and reduced per feature.
     """
     by = by or []
-    types = dict(df.dtypes)
     kinds = {c: _kind(df.schema[c].dataType) for c in cols}
-    del types
-    stacked = []
-    for c in cols:
-        k = kinds[c]
-        num = (F.unix_date(F.col(c)).cast("double") if k == "date"
-               else F.col(c).cast("double") if k == "num" else F.lit(None).cast("double"))
-        st = F.col(c).cast("string") if k == "str" else F.lit(None).cast("string")
-        stacked.append(F.struct(F.lit(c).alias("FEATURE"), num.alias("NUM"), st.alias("STR")))
-    long = (df.select(*by, F.explode(F.array(*stacked)).alias("kv"))
-            .select(*by, "kv.FEATURE", "kv.NUM", "kv.STR")
-            .where(F.col("NUM").isNotNull() | F.col("STR").isNotNull()))
-    counts = long.groupBy(*by, "FEATURE", "NUM", "STR").agg(F.count(F.lit(1)).alias("CNT"))
-    best = F.min(F.struct((-F.col("CNT")).alias("negcnt"), F.col("NUM"), F.col("STR")))
-    return (counts.groupBy(*by, "FEATURE").agg(best.alias("b"))
-            .select(*by, "FEATURE", F.col("b.NUM").alias("NUM"), F.col("b.STR").alias("STR")))
+    num = [c for c in cols if kinds[c] != "str"]
+    txt = [c for c in cols if kinds[c] == "str"]
+    parts = []
+    if num:
+        n = df.select(*by, *[(F.unix_date(F.col(c)) if kinds[c] == "date" else F.col(c)).cast("double").alias(c)
+                             for c in num])
+        cnt = (n.unpivot(by, num, "FEATURE", "NUM").where(F.col("NUM").isNotNull())
+               .groupBy(*by, "FEATURE", "NUM").agg(F.count(F.lit(1)).alias("CNT")))
+        parts.append(cnt.groupBy(*by, "FEATURE")
+                     .agg(F.min_by("NUM", F.struct((-F.col("CNT")).alias("c"), F.col("NUM").alias("v"))).alias("NUM"))
+                     .withColumn("STR", F.lit(None).cast("string")))
+    if txt:
+        cnt = (df.select(*by, *txt).unpivot(by, txt, "FEATURE", "STR").where(F.col("STR").isNotNull())
+               .groupBy(*by, "FEATURE", "STR").agg(F.count(F.lit(1)).alias("CNT")))
+        parts.append(cnt.groupBy(*by, "FEATURE")
+                     .agg(F.min_by("STR", F.struct((-F.col("CNT")).alias("c"), F.col("STR").alias("v"))).alias("STR"))
+                     .withColumn("NUM", F.lit(None).cast("double"))
+                     .select(*by, "FEATURE", "NUM", "STR"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select(*by, "FEATURE", "NUM", "STR")
 
 
 def fit_modes(df: DataFrame, cols: list[str]) -> dict[str, object]:

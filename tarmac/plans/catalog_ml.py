@@ -26,7 +26,7 @@ def cap_k(n_rows: int, k: int) -> int:
 
 
 def _airport_pca(c: Ctx, n: int = 2) -> tuple[DataFrame, list[float]]:
-    f = feat.airport_features(c.fl, c.airports)
+    f = c.airport_features
     return cluster.pca(f, feat.AIRPORT_CLUSTER_FEATURES, n, ["YEAR", "IATA"])
 
 
@@ -50,7 +50,7 @@ def q_ml_kmeans_airport(c: Ctx) -> DataFrame:
 @query("ml_kmeans_geo")
 def q_ml_kmeans_geo(c: Ctx) -> DataFrame:
     """ML-05: k-means (K = 6) on coordinates (the C2 class)."""
-    f = feat.airport_features(c.fl, c.airports)
+    f = c.airport_features
     out, _, _ = cluster.kmeans(f, feat.GEO, 6, SEED, name="C2")
     return out.select("YEAR", "IATA", F.col("C2").cast("int").alias("C2"))
 
@@ -58,7 +58,7 @@ def q_ml_kmeans_geo(c: Ctx) -> DataFrame:
 @query("ml_kmeans_route")
 def q_ml_kmeans_route(c: Ctx) -> DataFrame:
     """ML-05: routes -> 22 scaled features -> PCA(2) -> k-means (K = 21)."""
-    f = feat.route_features(c.fl)
+    f = c.route_features
     cols = [x for x in f.columns if x not in ("YEAR", "ORIGIN", "DEST")]
     s = cluster.standard_scale(f.na.fill(0.0, cols), cols)
     pcs, _ = cluster.pca(s, cols, 2, ["YEAR", "ORIGIN", "DEST"])
@@ -84,7 +84,7 @@ def q_ml_grid_nk(c: Ctx) -> DataFrame:
     """ML-09: SSE over n components x k clusters (k = 1: total sum of
     squares around the mean). The PCA frame is cached across fits."""
     rows = []
-    f = feat.airport_features(c.fl, c.airports).cache()
+    f = c.airport_features.cache()
     for n in (1, 2, 3):
         pcs, _ = cluster.pca(f, feat.AIRPORT_CLUSTER_FEATURES, n, ["YEAR", "IATA"])
         pcs = pcs.cache()
@@ -99,7 +99,7 @@ def q_ml_grid_nk(c: Ctx) -> DataFrame:
 @query("ml_elbow")
 def q_ml_elbow(c: Ctx) -> DataFrame:
     """ML-10: SSE of k-means for k = 1..8 on scaled airport features."""
-    f = feat.airport_features(c.fl, c.airports)
+    f = c.airport_features
     s = cluster.standard_scale(f, feat.AIRPORT_YEAR_FEATURES).cache()
     rows = [(1, cluster.total_ss(s, feat.AIRPORT_YEAR_FEATURES))]
     for k in range(2, 9):
@@ -117,7 +117,7 @@ def q_ml_cluster_airports_by_year(c: Ctx) -> DataFrame:
     """ML-13: per year: join -> impute (year mode, else 0) -> scale ->
     (SEC_DEL, WEA_DEL, LAT, LON) -> k-means (K = 10) -> merge classes with
     fewer than 10 members -> dense re-label. One fit per year (a handful)."""
-    base = feat.airport_base(c.fl, c.airports)
+    base = c.airport_base
     imp = clean.impute_modes_by(base, feat.AIRPORT_NUMERIC, ["YEAR"]).cache()
     parts = []
     for y in _years(imp):

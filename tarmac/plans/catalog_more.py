@@ -108,7 +108,7 @@ def q_prj_booking_features(c: Ctx) -> DataFrame:
 @query("prj_feature_slice")
 def q_prj_feature_slice(c: Ctx) -> DataFrame:
     """PRJ-08: feature columns = all but the two key columns."""
-    f = feat.airport_features(c.fl, c.airports)
+    f = c.airport_features
     keys = ["YEAR", "IATA"]
     return f.select(*[x for x in f.columns if x not in keys])
 
@@ -197,7 +197,7 @@ def q_agg_mode(c: Ctx) -> DataFrame:
 
 @query("agg_airport_mean")
 def q_agg_airport_mean(c: Ctx) -> DataFrame:
-    f = feat.airport_features(c.fl, c.airports)
+    f = c.airport_features
     return agg.airport_mean(f, "IATA", feat.AIRPORT_NUMERIC + ["REC_TIME"])
 
 
@@ -235,7 +235,7 @@ def q_win_same_week_last_year(c: Ctx) -> DataFrame:
 
 
 def _fixed_airport_assign(c: Ctx, k: int = 4) -> DataFrame:
-    f = feat.airport_features(c.fl, c.airports)
+    f = c.airport_features
     cen = cluster.first_rows(f, ["YEAR", "IATA"], feat.AIRPORT_CLUSTER_FEATURES, k)
     return cluster.assign(f, feat.AIRPORT_CLUSTER_FEATURES, cen)
 
@@ -260,7 +260,7 @@ def q_srt_group_year(c: Ctx) -> DataFrame:
 @query("srt_variance_rank")
 def q_srt_variance_rank(c: Ctx) -> DataFrame:
     """SRT-03: features ranked by variance, descending."""
-    f = feat.airport_features(c.fl, c.airports)
+    f = c.airport_features
     v = clean.variance_profile(f.drop("YEAR")).drop("LOW")
     from pyspark.sql import Window as W
     return v.withColumn("RANK", F.row_number().over(W.orderBy(F.desc("VARIANCE"), F.asc("FEATURE"))))
@@ -278,7 +278,7 @@ def q_srt_topk(c: Ctx) -> DataFrame:
 def q_set_union_all(c: Ctx) -> DataFrame:
     """SET-01: per-year slices re-assembled with unionByName (the plan is
     one scan per slice; in the library the loop is not needed at all)."""
-    base = feat.airport_base(c.fl, c.airports)
+    base = c.airport_base
     years = [2010, 2011, 2012, 2013, 2014, 2015, 2016]
     parts = [base.where(F.col("YEAR") == y) for y in years]
     out = parts[0]
@@ -334,7 +334,7 @@ def q_fn_rec_time(c: Ctx) -> DataFrame:
 
 @query("fn_rec_time_agg")
 def q_fn_rec_time_agg(c: Ctx) -> DataFrame:
-    b = feat.airport_base(c.fl, c.airports)
+    b = c.airport_base
     return b.select("YEAR", "IATA", (F.col("DDEL2") - F.col("ADEL2")).alias("REC_TIME"))
 
 
@@ -393,7 +393,7 @@ def q_imp_most_frequent(c: Ctx) -> DataFrame:
 
 @query("imp_mode_by_year")
 def q_imp_mode_by_year(c: Ctx) -> DataFrame:
-    b = feat.airport_base(c.fl, c.airports)
+    b = c.airport_base
     return clean.impute_modes_by(b, feat.AIRPORT_NUMERIC, ["YEAR"])
 
 
@@ -464,7 +464,7 @@ def q_join_coords(c: Ctx) -> DataFrame:
 
 
 def _airport_classes(c: Ctx) -> DataFrame:
-    return feat.airport_classes(feat.airport_features(c.fl, c.airports))
+    return feat.airport_classes(c.airport_features)
 
 
 @query("join_rank_left")
@@ -494,7 +494,7 @@ def q_join_model_table(c: Ctx) -> DataFrame:
     route class -> the 21-column modelling table."""
     ha = _hub_airports(c)
     j = joins.role_join(joins.role_join(model_data(c), ha, "ORIGIN", "ORIG"), ha, "DEST", "DEST")
-    rc = feat.route_classes(feat.route_features(c.fl))
+    rc = feat.route_classes(c.route_features)
     j = j.join(rc, ["YEAR", "ORIGIN", "DEST"], "left")
     return j.select("YEAR", "MONTH", "DAY_OF_MONTH", "DAY_OF_WEEK", "ORIGIN", "DEST", "CARRIER", "DEP_DEL",
                     "DDEL1", "DDEL2",
@@ -541,7 +541,7 @@ def q_join_nearest_holiday(c: Ctx) -> DataFrame:
 # ------------------------------------------------------------- statistics
 @query("stat_variance")
 def q_stat_variance(c: Ctx) -> DataFrame:
-    f = feat.airport_features(c.fl, c.airports)
+    f = c.airport_features
     return clean.variance_profile(f.drop("YEAR")).drop("LOW")
 
 
@@ -551,13 +551,13 @@ def _airport_feature_cols(f: DataFrame) -> list[str]:
 
 @query("stat_corr_matrix")
 def q_stat_corr_matrix(c: Ctx) -> DataFrame:
-    f = feat.airport_features(c.fl, c.airports)
+    f = c.airport_features
     return stats.corr_matrix(f, _airport_feature_cols(f))
 
 
 @query("stat_corr_filter")
 def q_stat_corr_filter(c: Ctx) -> DataFrame:
-    f = feat.airport_features(c.fl, c.airports)
+    f = c.airport_features
     return stats.corr_filter(stats.corr_matrix(f, _airport_feature_cols(f)), 0.5)
 
 
@@ -573,7 +573,7 @@ def q_stat_three_sigma(c: Ctx) -> DataFrame:
 
 @query("ml_covariance")
 def q_ml_covariance(c: Ctx) -> DataFrame:
-    f = feat.airport_features(c.fl, c.airports)
+    f = c.airport_features
     return stats.covariance(f, feat.AIRPORT_CLUSTER_FEATURES)
 
 
@@ -591,7 +591,7 @@ def q_pipe_route_features(c: Ctx) -> DataFrame:
 
 @query("ml_standard_scale")
 def q_ml_standard_scale(c: Ctx) -> DataFrame:
-    f = feat.airport_features(c.fl, c.airports)
+    f = c.airport_features
     cols = _airport_feature_cols(f)
     s = cluster.standard_scale(f, cols)
     return s.select("YEAR", "IATA", *[F.round(x, 6).alias(x) for x in cols])
@@ -599,7 +599,7 @@ def q_ml_standard_scale(c: Ctx) -> DataFrame:
 
 @query("ml_robust_scale")
 def q_ml_robust_scale(c: Ctx) -> DataFrame:
-    f = feat.airport_features(c.fl, c.airports)
+    f = c.airport_features
     cols = _airport_feature_cols(f)
     s = cluster.robust_scale(f, cols)
     return s.select("YEAR", "IATA", *[F.round(x, 6).alias(x) for x in cols])

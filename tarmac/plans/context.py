@@ -76,6 +76,24 @@ class Ctx:
     def hubs(self) -> DataFrame:
         return self._stored("large_hubs", lambda: dims.large_hubs(self.ranks))
 
+    @cached_property
+    def airport_base(self) -> DataFrame:
+        """Origin x destination aggregates with coordinates (stored)."""
+        from tarmac.plans import features as feat
+        return self._stored("airport_base", lambda: feat.airport_base(self.fl, self.airports))
+
+    @cached_property
+    def airport_features(self) -> DataFrame:
+        """Imputed, normalised airport features (stored; the reference keeps
+        its aggregate tables the same way)."""
+        from tarmac.plans import features as feat
+        return self._stored("airport_features", lambda: feat.airport_features(self.fl, self.airports))
+
+    @cached_property
+    def route_features(self) -> DataFrame:
+        from tarmac.plans import features as feat
+        return self._stored("route_features", lambda: feat.route_features(self.fl))
+
     @cached_property
     def sample(self) -> DataFrame:
         return dims.year_sample(self.fl, self.major_airlines, self.hubs)

@@ -28,6 +28,9 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "tarma
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "16g")
+        # small row groups so that the few-MB test tables still split across
+        # all local cores (clusters keep the 128 MB default)
+        .config("spark.hadoop.parquet.block.size", str(4 * 1024 * 1024))
     )
     for k, v in BASE_CONF.items():
         builder = builder.config(k, v)
