@@ -18,17 +18,39 @@ from tarmac.sources.materialize import materialize, source_key, table_path
 TOP_AIRPORTS = 12  # top-k airports per year at the test scale (25 airports in total)
 
 
+def _code_digest() -> str:
+    """Digest of the modules that define stored tables: a code change
+    invalidates tables built by older code."""
+    import hashlib
+    import os
+
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    h = hashlib.sha1()
+    for rel in ("sources/tables.py", "plans/dims.py", "plans/features.py", "operators/clean.py",
+                "operators/aggregates.py", "operators/joins.py", "functions/derived.py"):
+        with open(os.path.join(here, rel), "rb") as fh:
+            h.update(fh.read())
+    return h.hexdigest()[:12]
+
+
+CODE_DIGEST = _code_digest()
+
+
 class Ctx:
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    """``tag`` separates stored tables of one run from others (bench uses a
+    fresh tag so that it measures the builds)."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, tag: str = ""):
         self.spark = spark
         self.sf_dir = sf_dir
+        self.tag = tag
 
     @cached_property
     def fl(self) -> DataFrame:
         """The flights table, built once from the driver tables and stored
         as parquet in the shared checkpoint folder (load-or-build)."""
         srcs = ["lineitem", "orders", "supplier", "customer", "part"]
-        path = table_path(self.spark, "flights", *source_key(self.sf_dir, srcs))
+        path = table_path(self.spark, "flights", CODE_DIGEST, self.tag, *source_key(self.sf_dir, srcs))
         return materialize(self.spark, path, lambda: tables.flights(self.spark, self.sf_dir))
 
     @cached_property
@@ -48,7 +70,7 @@ class Ctx:
         reference keeps the same tables: major_airlines.csv,
         major_airports.csv, the ``flights`` subset table)."""
         srcs = ["lineitem", "orders", "supplier", "customer", "part", "nation"]
-        path = table_path(self.spark, name, *source_key(self.sf_dir, srcs))
+        path = table_path(self.spark, name, CODE_DIGEST, self.tag, *source_key(self.sf_dir, srcs))
         return materialize(self.spark, path, build)
 
     @cached_property
