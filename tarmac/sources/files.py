@@ -63,9 +63,13 @@ def read_csv_months(spark: SparkSession, path: str, names: list[str]) -> DataFra
 def _zip_writer(path: str, names: list[str]):
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs as pafs
+        from pyspark import TaskContext
 
+        ctx = TaskContext.get()
+        pid = ctx.partitionId() if ctx else 0
+        attempt = ctx.attemptNumber() if ctx else 0
         filesystem, root = pafs.FileSystem.from_uri(path)
-        for pdf in batches:
+        for b, pdf in enumerate(batches):
             out = []
             for (y, m), part in pdf.groupby(["Year", "Month"]):
                 d = f"{root}/Year={int(y)}/Month={int(m)}"
@@ -75,8 +79,14 @@ def _zip_writer(path: str, names: list[str]):
                 data = io.BytesIO()
                 with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
                     z.writestr(f"On_Time_{int(y)}_{int(m)}.csv", buf.getvalue())
-                with filesystem.open_output_stream(f"{d}/part-{uuid.uuid4().hex}.zip") as f:
+                # deterministic name per (partition, batch, month): a retried
+                # or speculative attempt replaces the file instead of adding a
+                # duplicate; written under a temporary name, then moved
+                final = f"{d}/part-{pid:05d}-{b:05d}.zip"
+                tmp = f"{d}/.part-{pid:05d}-{b:05d}.zip.{attempt}-{uuid.uuid4().hex[:6]}"
+                with filesystem.open_output_stream(tmp) as f:
                     f.write(data.getvalue())
+                filesystem.move(tmp, final)
                 out.append((int(y), int(m), len(part)))
             yield pd.DataFrame(out, columns=["Year", "Month", "rows"])
     return write
@@ -84,7 +94,9 @@ def _zip_writer(path: str, names: list[str]):
 
 def land_zip_months(df: DataFrame, path: str, names: list[str]) -> DataFrame:
     """Write ZIP'd monthly CSV archives; every task writes its own archives
-    (per batch and month), so no month is gathered into one task."""
+    (per batch and month), so no month is gathered into one task. The input
+    is a deterministic scan, so a re-run task sees the same batches and
+    rewrites the same file names."""
     w = df.select(*names).mapInPandas(_zip_writer(path, names), "Year int, Month int, rows long")
     return w
 
