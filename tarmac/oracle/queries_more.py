@@ -162,7 +162,7 @@ ORACLE["prj_booking_features"] = q(
 ORACLE["prj_feature_slice"] = Q("select * exclude (YEAR, IATA) from afeat")
 ORACLE["flt_equality"] = q("select FL_DATE, CARRIER, ORIGIN, DEST, ARR_DELAY from fl where YEAR = 2012")
 ORACLE["flt_range"] = q("select YEAR, CARRIER, ORIGIN, DEST, DEP_DELAY from fl where YEAR <= 2015")
-ORACLE["flt_conjunction"] = q("select * from sub where YEAR = 2012 and MONTH = 6 and CARRIER = 'C03' and ORIGIN = 'A02'")
+ORACLE["flt_conjunction"] = q("select * from sub where YEAR = 2012 and CARRIER = 'C10' and ORIGIN = 'A07'")
 ORACLE["flt_in_list"] = q("""select YEAR, CARRIER, ORIGIN, DEST, ARR_DEL15 from fl
  where CARRIER in ('C01','C02','C03','C04','C05','C06','C07') and ORIGIN in ('A01','A02','A03','A05','A08','A13')
    and DEST in ('A01','A02','A03','A05','A08','A13')""")

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarmac.session import cut_lineage
+
 from tarmac.functions import dates as fd
 from tarmac.functions import derived as fn
 from tarmac.operators import aggregates as agg
@@ -84,14 +86,15 @@ def _sample_camel(c: Ctx) -> DataFrame:
 
 @query("imp_mode_all")
 def q_imp_mode_all(c: Ctx) -> DataFrame:
-    """IMP-01: mode imputation of every column of the sample."""
-    s = _sample_camel(c)
+    """IMP-01: mode imputation of every column of the sample (checkpointed:
+    the fit and the transform read it once)."""
+    s = cut_lineage(_sample_camel(c))
     return clean.impute_modes(s, s.columns)
 
 
 @query("prj_typed_cast")
 def q_prj_typed_cast(c: Ctx) -> DataFrame:
-    s = _sample_camel(c)
+    s = cut_lineage(_sample_camel(c))
     return clean.typed_cast(clean.impute_modes(s, s.columns))
 
 
@@ -128,8 +131,7 @@ def q_flt_range(c: Ctx) -> DataFrame:
 def q_flt_conjunction(c: Ctx) -> DataFrame:
     """PRE-03: conjunction of equalities with parameters (no SQL text)."""
     f = c.subset
-    return f.where((F.col("YEAR") == 2012) & (F.col("MONTH") == 6) & (F.col("CARRIER") == "C03")
-                   & (F.col("ORIGIN") == "A02"))
+    return f.where((F.col("YEAR") == 2012) & (F.col("CARRIER") == "C10") & (F.col("ORIGIN") == "A07"))
 
 
 @query("flt_in_list")
@@ -387,7 +389,7 @@ def q_fn_label_text(c: Ctx) -> DataFrame:
 # ------------------------------------------------------------- imputation
 @query("imp_most_frequent")
 def q_imp_most_frequent(c: Ctx) -> DataFrame:
-    r = agg.per_route_v2(c.fl)
+    r = cut_lineage(agg.per_route_v2(c.fl))
     return clean.impute_modes(r, feat.ROUTE_NUMERIC)
 
 

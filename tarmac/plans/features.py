@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarmac.session import cut_lineage
+
 from tarmac.functions.derived import normalize, ratio
 from tarmac.operators import aggregates as agg
 from tarmac.operators import clean, cluster, joins
@@ -33,7 +35,9 @@ def airport_base(fl: DataFrame, airports: DataFrame) -> DataFrame:
 def airport_features(fl: DataFrame, airports: DataFrame) -> DataFrame:
     """ML-14 feature part: impute (whole-table mode), REC_TIME, then every
     numeric feature but DEP_FLIGHTS divided by DEP_FLIGHTS."""
-    base = airport_base(fl, airports)
+    # fit (modes) and transform both read the aggregate: checkpoint it once
+    # instead of aggregating the flights twice
+    base = cut_lineage(airport_base(fl, airports))
     imp = clean.impute_modes(base, AIRPORT_NUMERIC)
     d = imp.withColumn("REC_TIME", F.col("DDEL2") - F.col("ADEL2"))
     return normalize(d, AIRPORT_NUMERIC[1:] + ["REC_TIME"], "DEP_FLIGHTS")
@@ -41,7 +45,7 @@ def airport_features(fl: DataFrame, airports: DataFrame) -> DataFrame:
 
 def route_features(fl: DataFrame) -> DataFrame:
     """ML-15: 17 imputed base features + 5 derived, 17 of them per flight."""
-    base = agg.per_route_v2(fl)
+    base = cut_lineage(agg.per_route_v2(fl))
     imp = clean.impute_modes(base, ROUTE_NUMERIC)
     d = imp.withColumns({
         "AVE_SPEED": ratio("DISTANCE", "AIR_TIME"),

@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarmac.session import cut_lineage
+
 from tarmac.operators import aggregates as agg
 from tarmac.operators import classify as cls
 from tarmac.operators import summary as sm
@@ -135,6 +137,7 @@ def q_fn_parse_request(c: Ctx) -> DataFrame:
 # ------------------------------------------------------------- classifier
 def _trained(c: Ctx):
     train, codes = cls.training_frame(c.subset)
+    train = cut_lineage(train)  # read by the fit and again by scoring
     model = cls.fit(train)
     return train, codes, model
 

@@ -23,6 +23,8 @@ BASE_CONF = {
     # the JVM's 8000-byte JIT limit; such stages then run in the bytecode
     # interpreter. With this limit Spark splits them instead (4x faster).
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # remove checkpoint files once their DataFrame is garbage collected
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -69,3 +71,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if base.startswith("file:"):
         base = base[len("file:"):]
     return os.path.join(base, "tarmac-scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def cut_lineage(df):
+    """Reliable checkpoint into the shared folder: the data is written once
+    and later stages (a fit and its transform) read it instead of
+    recomputing the input; a lost executor does not lose it."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

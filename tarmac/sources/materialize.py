@@ -9,7 +9,6 @@ which also cuts the lineage of everything built on it.
 from __future__ import annotations
 
 import hashlib
-import os
 import uuid
 from collections.abc import Callable
 
@@ -49,14 +48,19 @@ def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame],
     return spark.read.parquet(path)
 
 
-def source_key(sf_dir: str, names: list[str]) -> list[str]:
-    """Cache key of a derived table: input paths with their size and mtime."""
-    parts = [os.path.abspath(sf_dir)]
+def source_key(sf_dir: str, names: list[str], spark: SparkSession | None = None) -> list[str]:
+    """Cache key of a derived table: input paths with their size and
+    modification time (through the Hadoop file system, so any storage)."""
+    parts = [sf_dir.rstrip("/")]
+    spark = spark or SparkSession.getActiveSession()
     for n in names:
-        p = os.path.join(sf_dir, f"{n}.parquet")
+        p = f"{sf_dir.rstrip('/')}/{n}.parquet"
         try:
-            st = os.stat(p)
-            parts.append(f"{n}:{st.st_size}:{int(st.st_mtime)}")
-        except OSError:
+            fs, path, _ = _fs(spark, p)
+            st = fs.getContentSummary(path)
+            mt = max(f.getModificationTime() for f in fs.listStatus(path)) if fs.getFileStatus(path).isDirectory() \
+                else fs.getFileStatus(path).getModificationTime()
+            parts.append(f"{n}:{st.getLength()}:{mt}")
+        except Exception:  # noqa: BLE001 -- a missing input just does not contribute
             parts.append(f"{n}:?")
     return parts
