@@ -259,3 +259,35 @@ st0 as (select min(p) as mn, max(p) as mx, count(p) as n from pr),
 st as (select case when mn = mx then mn - 0.5 else mn end as lo, n,
               ((case when mn = mx then mx + 0.5 else mx end) - (case when mn = mx then mn - 0.5 else mn end)) / 10.0 as w
          from st0)""")
+
+SPLIT = GNB + """,
+trn as (select * from train where YEAR < 2015),
+tst as (select * from train where YEAR >= 2015),
+eps2 as (select 1e-9 * greatest(var_pop(CARRIER), var_pop(ORIGIN), var_pop(DEST), var_pop(WEEK_OF_YEAR)) as e,
+               count(*) as total from trn),
+model2 as (select cast(ARR_DEL15 as int) as CLASS, count(*) as N, count(*) * 1.0 / (select total from eps2) as PRIOR,
+                 avg(CARRIER) as MEAN_CARRIER, avg(ORIGIN) as MEAN_ORIGIN, avg(DEST) as MEAN_DEST,
+                 avg(WEEK_OF_YEAR) as MEAN_WEEK_OF_YEAR,
+                 var_pop(CARRIER) + (select e from eps2) as VAR_CARRIER, var_pop(ORIGIN) + (select e from eps2) as VAR_ORIGIN,
+                 var_pop(DEST) + (select e from eps2) as VAR_DEST,
+                 var_pop(WEEK_OF_YEAR) + (select e from eps2) as VAR_WEEK_OF_YEAR
+            from trn group by cast(ARR_DEL15 as int)),
+m0s as (select * from model2 where CLASS = 0),
+m1s as (select * from model2 where CLASS = 1),
+scored2 as (select t.*,
+  1.0 / (1.0 + exp(
+    (ln(m0.PRIOR) - 0.5*ln(2*pi()*m0.VAR_CARRIER) - 0.5*(t.CARRIER - m0.MEAN_CARRIER)^2/m0.VAR_CARRIER
+                  - 0.5*ln(2*pi()*m0.VAR_ORIGIN) - 0.5*(t.ORIGIN - m0.MEAN_ORIGIN)^2/m0.VAR_ORIGIN
+                  - 0.5*ln(2*pi()*m0.VAR_DEST) - 0.5*(t.DEST - m0.MEAN_DEST)^2/m0.VAR_DEST
+                  - 0.5*ln(2*pi()*m0.VAR_WEEK_OF_YEAR) - 0.5*(t.WEEK_OF_YEAR - m0.MEAN_WEEK_OF_YEAR)^2/m0.VAR_WEEK_OF_YEAR)
+  - (ln(m1.PRIOR) - 0.5*ln(2*pi()*m1.VAR_CARRIER) - 0.5*(t.CARRIER - m1.MEAN_CARRIER)^2/m1.VAR_CARRIER
+                  - 0.5*ln(2*pi()*m1.VAR_ORIGIN) - 0.5*(t.ORIGIN - m1.MEAN_ORIGIN)^2/m1.VAR_ORIGIN
+                  - 0.5*ln(2*pi()*m1.VAR_DEST) - 0.5*(t.DEST - m1.MEAN_DEST)^2/m1.VAR_DEST
+                  - 0.5*ln(2*pi()*m1.VAR_WEEK_OF_YEAR) - 0.5*(t.WEEK_OF_YEAR - m1.MEAN_WEEK_OF_YEAR)^2/m1.VAR_WEEK_OF_YEAR)
+  )) as PROBA
+  from tst t, m0s m0, m1s m1),
+thr2 as (select avg(ARR_DEL15) as t from trn)"""
+ORACLE["cls_evaluate_split"] = q("""
+select round(avg((ARR_DEL15 - p)^2), 6) as MSE, round(avg(case when ARR_DEL15 = p then 1.0 else 0.0 end), 6) as ACCURACY,
+       count(*) as N
+  from (select ARR_DEL15, case when PROBA >= (select t from thr2) then 1.0 else 0.0 end as p from scored2) s""", SPLIT)

@@ -10,12 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.session import cut_lineage
-
 from tarmac.operators import aggregates as agg
 from tarmac.operators import classify as cls
 from tarmac.operators import summary as sm
 from tarmac.plans.context import Ctx
+from tarmac.session import cut_lineage
 
 QUERIES: dict[str, Callable[[Ctx], DataFrame]] = {}
 
@@ -215,3 +214,14 @@ def q_cls_proba_histogram(c: Ctx) -> DataFrame:
     train, _, model = _trained(c)
     s = cls.proba(train, model).select(F.round("PROBA", 6).alias("PROBA"))
     return histogram(s, "PROBA", 10).withColumn("THRESHOLD", F.round(F.lit(model.threshold), 6))
+
+
+@query("cls_evaluate_split")
+def q_cls_evaluate_split(c: Ctx) -> DataFrame:
+    """CLS-05 with the dated split the reference sketches: fit on the years
+    before 2015, evaluate on 2015 and later (threshold = training prior)."""
+    train, _ = cls.training_frame(c.subset)
+    train = cut_lineage(train)
+    model = cls.fit(train.where(F.col("YEAR") < 2015))
+    valid = train.where(F.col("YEAR") >= 2015)
+    return cls.evaluate(cls.proba(valid, model), model.threshold)
