@@ -20,9 +20,10 @@ SEED = 1234
 
 
 def cap_k(n_rows: int, k: int) -> int:
-    """k at most rows / 5 (and at least 2): the reference's k = 200 per
-    year needs thousands of routes; small data gets fewer clusters."""
-    return max(2, min(k, n_rows // 5))
+    """The reference's k, limited only by the number of rows (k-means cannot
+    place more centres than points); small classes are merged afterwards,
+    as in the reference."""
+    return max(2, min(k, n_rows))
 
 
 def _airport_pca(c: Ctx, n: int = 2) -> tuple[DataFrame, list[float]]:

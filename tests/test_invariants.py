@@ -97,3 +97,16 @@ def test_streaming_ingest_reads_each_file_once(spark, ctx):
     n2 = ingest_available(spark, landing, ONTIME_NAMES, table, ckpt)
     assert n2 == src.where(F.col("Year") == 2011).count()
     assert read_table(spark, table).count() == n1 + n2
+
+
+def test_per_year_airport_classes_are_dense(spark):
+    from conftest import SMALL
+    from __spark_entry__ import queries
+    out = queries()["ml_cluster_airports_by_year"](spark, SMALL)
+    rows = out.collect()
+    assert len(rows) == len({(r["YEAR"], r["IATA"]) for r in rows})
+    by_year: dict[int, set[int]] = {}
+    for r in rows:
+        by_year.setdefault(r["YEAR"], set()).add(r["CLASS"])
+    for classes in by_year.values():
+        assert classes == set(range(len(classes)))
