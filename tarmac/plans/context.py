@@ -15,6 +15,7 @@ from tarmac.plans import dims
 from tarmac.sources import tables
 from tarmac.sources.materialize import materialize, source_key, table_path
 
+FLIGHT_COLUMNS = tables.FLIGHT_COLUMNS
 TOP_AIRPORTS = 12  # top-k airports per year at the test scale (25 airports in total)
 
 
@@ -51,7 +52,8 @@ class Ctx:
         as parquet in the shared checkpoint folder (load-or-build)."""
         srcs = ["lineitem", "orders", "supplier", "customer", "part"]
         path = table_path(self.spark, "flights", CODE_DIGEST, self.tag, *source_key(self.sf_dir, srcs))
-        return materialize(self.spark, path, lambda: tables.flights(self.spark, self.sf_dir))
+        t = materialize(self.spark, path, lambda: tables.flights(self.spark, self.sf_dir), partition_by=["YEAR"])
+        return t.select(*FLIGHT_COLUMNS)
 
     @cached_property
     def camel(self) -> DataFrame:

@@ -34,18 +34,29 @@ def table_path(spark: SparkSession, name: str, *key_parts: str) -> str:
     return f"{base}/tarmac-tables/{name}-{digest}"
 
 
-def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame], refresh: bool = False) -> DataFrame:
-    """Read ``path`` if it holds a finished table, else build, write, read."""
+def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame], refresh: bool = False,
+                partition_by: list[str] | None = None) -> DataFrame:
+    """Read ``path`` if it holds a finished table, else build, write, read.
+
+    With ``partition_by`` the table is laid out in folders per value, so
+    filters on those columns prune whole folders (PartitionFilters); the
+    column order of the built frame is restored on read.
+    """
     if refresh or not exists(spark, path):
         tmp = f"{path}.tmp-{uuid.uuid4().hex[:8]}"
-        build().write.mode("overwrite").parquet(tmp)
+        df = build()
+        w = df.write.mode("overwrite")
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        w.parquet(tmp)
         fs, dst, jvm = _fs(spark, path)
         if fs.exists(dst):
             fs.delete(dst, True)
         if not fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), dst):
             # another job won the race; its table is equivalent
             fs.delete(jvm.org.apache.hadoop.fs.Path(tmp), True)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    return out
 
 
 def source_key(sf_dir: str, names: list[str], spark: SparkSession | None = None) -> list[str]:

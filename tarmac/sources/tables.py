@@ -154,6 +154,18 @@ def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Column order of the flights table (the partitioned store moves YEAR last;
+# readers restore this order).
+FLIGHT_COLUMNS = [
+    "YEAR", "QUARTER", "MONTH", "DAY_OF_MONTH", "DAY_OF_WEEK", "WEEK_OF_YEAR", "FL_DATE", "AIRLINE_ID", "CARRIER",
+    "TAIL_NUM", "FL_NUM", "ORIGIN_AIRPORT_ID", "ORIGIN", "ORIGIN_CITY_NAME", "ORIGIN_STATE_NM", "DEST_AIRPORT_ID",
+    "DEST", "DEST_CITY_NAME", "DEST_STATE_NM", "DEP_DELAY", "DEP_DELAY_NEW", "DEP_DEL15", "DEP_DELAY_GROUP",
+    "DEP_TIME_BLK", "TAXI_OUT", "TAXI_IN", "ARR_DELAY", "ARR_DELAY_NEW", "ARR_DEL15", "ARR_DELAY_GROUP",
+    "ARR_TIME_BLK", "CANCELLED", "CANCELLATION_CODE", "DIVERTED", "CRS_DEP_TIME", "CRS_ARR_TIME",
+    "CRS_ELAPSED_TIME", "AIR_TIME", "ACTUAL_ELAPSED_TIME", "FLIGHTS", "DISTANCE", "DISTANCE_GROUP",
+    "CARRIER_DELAY", "WEATHER_DELAY", "NAS_DELAY", "SECURITY_DELAY", "LATE_AIRCRAFT_DELAY",
+]
+
 # Camel-case names of the monthly on-time files, in file order, as
 # (camel name, upper-snake source column). Fixed values of the data model.
 CAMEL_COLUMNS = [
