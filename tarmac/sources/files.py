@@ -2,9 +2,9 @@
 
 Readers always pass an explicit schema (no inference pass over the data).
 The only Python on the data path is the ZIP decoder: ZIP is not a Spark
-format, so ``binaryFile`` hands each archive to ``mapInPandas`` (one archive
-per row; a month's archive is a bounded unit), which yields Arrow batches.
-A corrupt archive yields no rows instead of failing the job.
+format, so the ``binaryFile`` listing of archives is handed to
+``mapInPandas``, which opens one archive at a time and yields Arrow batches
+of bounded size. A corrupt archive yields no rows instead of failing the job.
 """
 
 from __future__ import annotations
@@ -101,20 +101,34 @@ def land_zip_months(df: DataFrame, path: str, names: list[str]) -> DataFrame:
     return w
 
 
-def _zip_reader(names: list[str]):
+def _open_uri(uri: str):
+    """(file system, path) for a URI from the binaryFile listing."""
+    from urllib.parse import urlparse
+
+    from pyarrow import fs as pafs
+
+    if uri.startswith("file:"):
+        return pafs.LocalFileSystem(), urlparse(uri).path
+    return pafs.FileSystem.from_uri(uri)
+
+
+def _zip_reader(names: list[str], chunk_rows: int = 100_000):
     schema = ontime_schema(names)
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for content in pdf["content"]:
+            for uri in pdf["path"]:
+                filesystem, path = _open_uri(uri)
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        members = [n for n in z.namelist() if n.lower().endswith(".csv")]
-                        frames = [pd.read_csv(z.open(n), dtype=str, keep_default_na=False) for n in members]
-                except (zipfile.BadZipFile, OSError, EOFError):
+                    with filesystem.open_input_file(path) as fh, zipfile.ZipFile(fh) as z:
+                        for member in z.namelist():
+                            if not member.lower().endswith(".csv"):
+                                continue
+                            with z.open(member) as csv:
+                                for raw in pd.read_csv(csv, dtype=str, keep_default_na=False, chunksize=chunk_rows):
+                                    yield _typed(raw, schema)
+                except (zipfile.BadZipFile, OSError, EOFError, ValueError):  # pyarrow: ArrowInvalid
                     continue
-                for raw in frames:
-                    yield _typed(raw, schema)
     return decode
 
 
@@ -140,7 +154,13 @@ def read_zip_months(spark: SparkSession, path: str, names: list[str],
                     year: int | None = None, month: int | None = None) -> DataFrame:
     """SRC-01: scan ZIP'd monthly CSV archives (optionally one month); a
     missing month gives an empty frame with the full schema, a corrupt
-    archive no rows."""
+    archive no rows.
+
+    Spark lists the archives (only the path column is read, so the file
+    source does not load contents) and partitions the list; each task opens
+    its archives one at a time and streams the CSV in bounded chunks, so no
+    batch ever holds many archives' bytes.
+    """
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.zip")
              .schema("path string, modificationTime timestamp, length long, content binary, Year int, Month int")
              .load(path))
@@ -148,7 +168,7 @@ def read_zip_months(spark: SparkSession, path: str, names: list[str],
         files = files.where(F.col("Year") == year)
     if month is not None:
         files = files.where(F.col("Month") == month)
-    return files.select("content").mapInPandas(_zip_reader(names), ontime_schema(names))
+    return files.select("path").mapInPandas(_zip_reader(names), ontime_schema(names))
 
 
 # ------------------------------------------------------------ coordinates (headerless, positional)
