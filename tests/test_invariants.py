@@ -114,3 +114,28 @@ def test_per_year_airport_classes_are_dense(spark):
         by_year.setdefault(r["YEAR"], set()).add(r["CLASS"])
     for classes in by_year.values():
         assert classes == set(range(len(classes)))
+
+
+def test_create_fails_if_table_exists(spark):
+    import pytest as _pytest
+    from pyspark.errors import AnalysisException
+    path = scratch_path(spark, "create-twice")
+    df = spark.range(3)
+    df.write.mode("errorifexists").parquet(path)
+    with _pytest.raises(AnalysisException):
+        df.write.mode("errorifexists").parquet(path)
+
+
+def test_materialize_builds_once(spark):
+    from tarmac.sources.materialize import materialize
+    path = scratch_path(spark, "build-once")
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(5)
+
+    assert materialize(spark, path, build).count() == 5
+    assert materialize(spark, path, build).count() == 5
+    assert len(calls) == 1
+    assert materialize(spark, path, build, refresh=True).count() == 5 and len(calls) == 2
