@@ -63,9 +63,9 @@ class GaussianNB:
             rows.append((k, int(self.params[f"N{k}"]), self.params[f"PRIOR{k}"],
                          *[self.params[f"MEAN{k}_{f}"] for f in self.features],
                          *[self.params[f"VAR{k}_{f}"] for f in self.features]))
-        cols = (["CLASS", "N", "PRIOR"] + [f"MEAN_{f}" for f in self.features]
-                + [f"VAR_{f}" for f in self.features])
-        return spark.createDataFrame(rows, cols)
+        cols = (["CLASS int", "N bigint", "PRIOR double"] + [f"MEAN_{f} double" for f in self.features]
+                + [f"VAR_{f} double" for f in self.features])
+        return spark.createDataFrame(rows, ", ".join(cols))
 
     @property
     def threshold(self) -> float:

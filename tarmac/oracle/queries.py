@@ -211,7 +211,7 @@ select CLASS, N, round(PRIOR, 6) as PRIOR, round(MEAN_CARRIER, 6) as MEAN_CARRIE
 ORACLE["cls_gnb_proba"] = q("select CARRIER, ORIGIN, DEST, WEEK_OF_YEAR, ARR_DEL15, round(PROBA, 6) as PROBA from scored", GNB)
 ORACLE["cls_threshold"] = q("""
 select round((select t from thr), 6) as THRESHOLD,
-       sum(case when PROBA >= (select t from thr) then 1 else 0 end) as N_PRED_LATE, count(*) as N from scored""", GNB)
+       cast(sum(case when PROBA >= (select t from thr) then 1 else 0 end) as bigint) as N_PRED_LATE, count(*) as N from scored""", GNB)
 EVAL = """
 select round(avg((ARR_DEL15 - p)^2), 6) as MSE, round(avg(case when ARR_DEL15 = p then 1.0 else 0.0 end), 6) as ACCURACY,
        count(*) as N

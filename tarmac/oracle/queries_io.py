@@ -13,7 +13,7 @@ ORACLE["str_monthly_ingest"] = q("select * from camel", CAMEL_SQL)
 ORACLE["src_airport_coords"] = q("""
 select airport as Airport, iata as Iata, lat as Latitude, lon as Longitude,
        cast(cast(substr(iata, 2, 2) as int) * 100 as int) as Altitude,
-       -5.0 - cast(substr(iata, 2, 2) as int) % 4 as Timezone
+       cast(-5.0 - cast(substr(iata, 2, 2) as int) % 4 as double) as Timezone
   from airports where cast(substr(iata, 2, 2) as int) % 4 <> 3""")
 ORACLE["src_airport_ranks"] = q("select * from ranks where Year <= 2015")
 ORACLE["src_lookup_airport"] = q("select iata as Code, city as Description from airports")

@@ -301,7 +301,7 @@ ORACLE["imp_mode_by_year"] = Q(
 # ---------------------------------------------------------------- reshaping
 CODES = [f"C{i:02d}" for i in range(1, 26)]
 ORACLE["pivot_carrier_year"] = q("select YEAR, " + ", ".join(
-    f"sum(case when CARRIER = '{c}' then CNT end) as {c}" for c in CODES)
+    f"cast(sum(case when CARRIER = '{c}' then CNT end) as bigint) as {c}" for c in CODES)
     + " from (select YEAR, CARRIER, count(CARRIER) as CNT from fl group by YEAR, CARRIER) z group by YEAR")
 
 
