@@ -12,6 +12,8 @@ from tarmac.sources.tables import TABLES
 
 from conftest import SMALL
 
+DUCK_TYPES = {"INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "DATE": "date",
+              "BOOLEAN": "boolean"}
 QUERIES = queries()
 ORACLES = oracle_sql()
 
@@ -45,10 +47,14 @@ def duck():
 def test_matches_oracle(spark, duck, key):
     sdf = QUERIES[key](spark, SMALL)
     srows = [tuple(r) for r in sdf.collect()]
+    rel = duck.sql(ORACLES[key])
+    otypes = {c: str(t) for c, t in zip(rel.columns, rel.types)}
     cur = duck.execute(ORACLES[key])
     ocols = [d[0] for d in cur.description]
     orows = cur.fetchall()
     assert sorted(sdf.columns) == sorted(ocols)
+    stypes = dict(sdf.dtypes)
+    assert {c: DUCK_TYPES.get(t, t) for c, t in otypes.items()} == {c: stypes[c] for c in otypes}
     assert len(srows) == len(orows)
     assert _bag(sdf.columns, srows) == _bag(ocols, orows)
 
