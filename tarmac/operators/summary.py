@@ -23,6 +23,20 @@ def _iround(c: Column) -> Column:
     return F.round(c, 0).cast("int")
 
 
+def std_samp(col: str) -> Column:
+    """Sample standard deviation from exact sums.
+
+    The delays are whole minutes, so sum(x) and sum(x^2) are exact in
+    doubles and so is n*sum(x^2) - sum(x)^2; only the final division and
+    square root round. A true 12.5 therefore stays 12.5 and rounds to 13
+    (an incremental algorithm can land on 12.4999... and round to 12).
+    """
+    x = F.col(col).cast("double")
+    n = F.count(x)
+    num = n * F.sum(x * x) - F.sum(x) * F.sum(x)
+    return F.when(n >= 2, F.sqrt(F.greatest(num, F.lit(0.0)) / (n * (n - 1))))
+
+
 ORIGIN_KEY = ["YEAR", "WEEK_OF_YEAR", "CARRIER", "ORIGIN"]
 DEST_KEY = ["YEAR", "WEEK_OF_YEAR", "CARRIER", "DEST"]
 ROUTE_KEY = ["YEAR", "WEEK_OF_YEAR", "CARRIER", "ORIGIN", "DEST"]
@@ -35,7 +49,7 @@ def origin_summary(sub: DataFrame) -> DataFrame:
         _pct("DEP_DEL15").alias("delay_rate"),
         _pct("CANCELLED").alias("cd_rate"),
         _iround(F.avg("DEP_DELAY_NEW")).alias("mean_delay_time"),
-        _iround(F.stddev_samp("DEP_DELAY_NEW")).alias("std_delay_time"))
+        _iround(std_samp("DEP_DELAY_NEW")).alias("std_delay_time"))
 
 
 def destination_summary(sub: DataFrame) -> DataFrame:
@@ -45,7 +59,7 @@ def destination_summary(sub: DataFrame) -> DataFrame:
         _pct("ARR_DEL15").alias("delay_rate"),
         _pct("DIVERTED").alias("cd_rate"),
         _iround(F.avg("ARR_DELAY_NEW")).alias("mean_delay_time"),
-        _iround(F.stddev_samp("ARR_DELAY_NEW")).alias("std_delay_time"))
+        _iround(std_samp("ARR_DELAY_NEW")).alias("std_delay_time"))
 
 
 def _txt(c: Column) -> Column:
@@ -58,8 +72,8 @@ def route_summary(sub: DataFrame) -> DataFrame:
         F.count(F.lit(1)).cast("string").alias("nflights"),
         _txt(_iround(F.avg("ARR_DELAY_NEW"))).alias("mean_adelay_time"),
         _txt(_iround(F.avg("DEP_DELAY_NEW"))).alias("mean_ddelay_time"),
-        _txt(_iround(F.stddev_samp("ARR_DELAY_NEW"))).alias("std_adelay_time"),
-        _txt(_iround(F.stddev_samp("DEP_DELAY_NEW"))).alias("std_ddelay_time"),
+        _txt(_iround(std_samp("ARR_DELAY_NEW"))).alias("std_adelay_time"),
+        _txt(_iround(std_samp("DEP_DELAY_NEW"))).alias("std_ddelay_time"),
         _txt(_pct("ARR_DEL15")).alias("adel_rate"),
         _txt(_pct("DEP_DEL15")).alias("ddel_rate"))
 

@@ -103,19 +103,19 @@ osum as (select YEAR, WEEK_OF_YEAR, CARRIER, ORIGIN, count(*) as nflights,
                 cast(round(100.0 * sum(DEP_DEL15) / count(*), 0) as int) as delay_rate,
                 cast(round(100.0 * sum(CANCELLED) / count(*), 0) as int) as cd_rate,
                 cast(round(avg(DEP_DELAY_NEW), 0) as int) as mean_delay_time,
-                cast(round(stddev_samp(DEP_DELAY_NEW), 0) as int) as std_delay_time
+                cast(round(case when count(DEP_DELAY_NEW) >= 2 then sqrt(greatest(count(DEP_DELAY_NEW) * sum(DEP_DELAY_NEW * DEP_DELAY_NEW) - sum(DEP_DELAY_NEW) * sum(DEP_DELAY_NEW), 0) / (count(DEP_DELAY_NEW) * (count(DEP_DELAY_NEW) - 1))) end, 0) as int) as std_delay_time
            from sub group by YEAR, WEEK_OF_YEAR, CARRIER, ORIGIN),
 dsum as (select YEAR, WEEK_OF_YEAR, CARRIER, DEST, count(*) as nflights,
                 cast(round(100.0 * sum(ARR_DEL15) / count(*), 0) as int) as delay_rate,
                 cast(round(100.0 * sum(DIVERTED) / count(*), 0) as int) as cd_rate,
                 cast(round(avg(ARR_DELAY_NEW), 0) as int) as mean_delay_time,
-                cast(round(stddev_samp(ARR_DELAY_NEW), 0) as int) as std_delay_time
+                cast(round(case when count(ARR_DELAY_NEW) >= 2 then sqrt(greatest(count(ARR_DELAY_NEW) * sum(ARR_DELAY_NEW * ARR_DELAY_NEW) - sum(ARR_DELAY_NEW) * sum(ARR_DELAY_NEW), 0) / (count(ARR_DELAY_NEW) * (count(ARR_DELAY_NEW) - 1))) end, 0) as int) as std_delay_time
            from sub group by YEAR, WEEK_OF_YEAR, CARRIER, DEST),
 rsum as (select YEAR, WEEK_OF_YEAR, CARRIER, ORIGIN, DEST, cast(count(*) as varchar) as nflights,
                 coalesce(cast(cast(round(avg(ARR_DELAY_NEW), 0) as int) as varchar), 'NA') as mean_adelay_time,
                 coalesce(cast(cast(round(avg(DEP_DELAY_NEW), 0) as int) as varchar), 'NA') as mean_ddelay_time,
-                coalesce(cast(cast(round(stddev_samp(ARR_DELAY_NEW), 0) as int) as varchar), 'NA') as std_adelay_time,
-                coalesce(cast(cast(round(stddev_samp(DEP_DELAY_NEW), 0) as int) as varchar), 'NA') as std_ddelay_time,
+                coalesce(cast(cast(round(case when count(ARR_DELAY_NEW) >= 2 then sqrt(greatest(count(ARR_DELAY_NEW) * sum(ARR_DELAY_NEW * ARR_DELAY_NEW) - sum(ARR_DELAY_NEW) * sum(ARR_DELAY_NEW), 0) / (count(ARR_DELAY_NEW) * (count(ARR_DELAY_NEW) - 1))) end, 0) as int) as varchar), 'NA') as std_adelay_time,
+                coalesce(cast(cast(round(case when count(DEP_DELAY_NEW) >= 2 then sqrt(greatest(count(DEP_DELAY_NEW) * sum(DEP_DELAY_NEW * DEP_DELAY_NEW) - sum(DEP_DELAY_NEW) * sum(DEP_DELAY_NEW), 0) / (count(DEP_DELAY_NEW) * (count(DEP_DELAY_NEW) - 1))) end, 0) as int) as varchar), 'NA') as std_ddelay_time,
                 coalesce(cast(cast(round(100.0 * sum(ARR_DEL15) / count(*), 0) as int) as varchar), 'NA') as adel_rate,
                 coalesce(cast(cast(round(100.0 * sum(DEP_DEL15) / count(*), 0) as int) as varchar), 'NA') as ddel_rate
            from sub group by YEAR, WEEK_OF_YEAR, CARRIER, ORIGIN, DEST),

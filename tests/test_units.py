@@ -127,3 +127,10 @@ def test_corr_of_constant_column_is_null(spark):
     r = {(x["F1"], x["F2"]): x["CORR"] for x in stats.corr_matrix(df, ["a", "b", "c"]).collect()}
     assert r[("a", "c")] is None and r[("c", "c")] is None and r[("a", "a")] == 1.0
     assert r[("a", "b")] == r[("b", "a")] and 0.9 < r[("a", "b")] <= 1.0
+
+
+def test_std_half_tie_rounds_up(spark):
+    """Delays 0, 0, 0, 25 have sample std exactly 12.5 -> 13 (half away)."""
+    rows = [(2012, 1, "C01", "A01", "A02", 0.0, 0.0, float(v), 0.0, 0.0, 0.0) for v in (0, 0, 0, 25)]
+    r = summary.origin_summary(_sub(spark, rows)).first()
+    assert r["std_delay_time"] == 13 and r["mean_delay_time"] == 6
