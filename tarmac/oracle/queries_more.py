@@ -401,7 +401,9 @@ def _cov_rows() -> str:
     rows = []
     for i, a in enumerate(CL_FEATS):
         for b in CL_FEATS[i + 1:] + [a]:
-            rows.append(f"select '{a}' as F1, '{b}' as F2, round(covar_samp({a}, {b}), 6) as COV from afeat")
+            # + 0.0 turns a rounded -0.0 into 0.0, as Spark's round returns
+            rows.append(f"select '{a}' as F1, '{b}' as F2, round(covar_samp({a}, {b}), 6) + cast(0 as double) "
+                        f"as COV from afeat")
     return " union all ".join(rows)
 
 
