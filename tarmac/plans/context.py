@@ -118,6 +118,34 @@ class Ctx:
         from tarmac.plans import features as feat
         return self._stored("route_features", lambda: feat.route_features(self.fl))
 
+    @cached_property
+    def train_codes(self) -> dict[str, DataFrame]:
+        """Label codes of the training rows (stored once; one small table)."""
+        from pyspark.sql import functions as F
+
+        from tarmac.operators import classify as cls
+
+        def build() -> DataFrame:
+            clean = self.subset.dropna(how="any")
+            parts = [cls.label_codes(clean, c).select(F.lit(c).alias("FEATURE"), "VALUE", "CODE")
+                     for c in cls.ENCODED]
+            out = parts[0]
+            for p in parts[1:]:
+                out = out.unionByName(p)
+            return out
+
+        codes = self._stored("label_codes", build)
+        return {c: codes.where(F.col("FEATURE") == c).select("VALUE", "CODE") for c in cls.ENCODED}
+
+    @cached_property
+    def train(self) -> DataFrame:
+        """Encoded training rows (CLS-01), stored once and shared by the fit,
+        the evaluation and request scoring."""
+        from tarmac.operators import classify as cls
+
+        return self._stored("training_frame", lambda: cls.encode(self.subset.dropna(how="any"), self.train_codes)
+                            .select(*self.subset.columns))
+
     @cached_property
     def sample(self) -> DataFrame:
         return dims.year_sample(self.fl, self.major_airlines, self.hubs)

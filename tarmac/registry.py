@@ -14,7 +14,6 @@ from tarmac.operators import aggregates as agg
 from tarmac.operators import classify as cls
 from tarmac.operators import summary as sm
 from tarmac.plans.context import Ctx
-from tarmac.session import cut_lineage
 
 QUERIES: dict[str, Callable[[Ctx], DataFrame]] = {}
 
@@ -135,8 +134,7 @@ def q_fn_parse_request(c: Ctx) -> DataFrame:
 
 # ------------------------------------------------------------- classifier
 def _trained(c: Ctx):
-    train, codes = cls.training_frame(c.subset)
-    train = cut_lineage(train)  # read by the fit and again by scoring
+    train, codes = c.train, c.train_codes  # stored: fit, evaluation and scoring share them
     model = cls.fit(train)
     return train, codes, model
 
@@ -220,8 +218,7 @@ def q_cls_proba_histogram(c: Ctx) -> DataFrame:
 def q_cls_evaluate_split(c: Ctx) -> DataFrame:
     """CLS-05 with the dated split the reference sketches: fit on the years
     before 2015, evaluate on 2015 and later (threshold = training prior)."""
-    train, _ = cls.training_frame(c.subset)
-    train = cut_lineage(train)
+    train = c.train
     model = cls.fit(train.where(F.col("YEAR") < 2015))
     valid = train.where(F.col("YEAR") >= 2015)
     return cls.evaluate(cls.proba(valid, model), model.threshold)
