@@ -2,11 +2,12 @@
 
 Which strings can be equal is settled by content. Every SIZE-byte window has a minimiser, the
 smallest hash of the 24-byte grams in it; equal windows have equal minimisers. Consecutive
-windows of one minimiser form a run, about 40 windows in the mean. Only minimisers that occur
-in more than one run can hide a repeat; all other runs end there.
+windows of one minimiser form a run, about 40 windows in the mean. Only minimisers whose gram
+occurs more than once can hide a repeat; all other runs end there.
 
 Of equal runs (128-bit hash of their bytes) every one but the first is covered as a whole.
-What is left are minimisers with several different runs. Those runs are the collection whose
+What is left are minimisers with several different runs, or with one in which their gram
+occurs twice. Those runs are the collection whose
 suffixes are sorted: one bucket of minimisers per task, by column-wise construction of the
 collection's Burrows-Wheeler transform. Round j inserts, for every run at once, the suffix of
 length j + 1 before the symbol that the last round put down; the place is found by counting
@@ -44,24 +45,27 @@ HOT = 2048
 LAST = np.iinfo(np.int64).max
 
 
-def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
+def _sliding(best: np.ufunc, h: np.ndarray, width: int) -> np.ndarray:
+    """Minimum or maximum of every ``width`` neighbours."""
     m, done = h, 1
     while done * 2 <= width:
-        m, done = np.minimum(m[:-done], m[done:]), done * 2
-    return np.minimum(m[:len(m) - (width - done)], m[width - done:]) if width > done else m
+        m, done = best(m[:-done], m[done:]), done * 2
+    return best(m[:len(m) - (width - done)], m[width - done:]) if width > done else m
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
-    """First byte, number of windows, text and minimiser of every run of windows."""
+    """First byte, number of windows, text and minimiser of every run of windows, and whether
+    the minimiser's gram occurs there twice (only then can a run hold a window twice)."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < size:
-        return none, none, none, none.view(np.uint64)
+        return none, none, none, none.view(np.uint64), none.astype(bool)
     with np.errstate(over="ignore"):
         prefix = np.zeros(n + 1, np.uint64)
         np.cumsum(_CODES[data] * tn.powers(tn.BASE, n), out=prefix[1:])
         h = tn.mix((prefix[gram:] - prefix[:-gram]) * tn.powers(tn.inverse(tn.BASE), n + 1)[:n - gram + 1])
-    least = _sliding_min(h, size - gram + 1)
+    width = size - gram + 1
+    least = _sliding(np.minimum, h, width)
     edge = np.zeros(len(least) + 1, np.int64)
     long = np.diff(offsets) >= size
     np.add.at(edge, offsets[:-1][long], 1)
@@ -78,21 +82,25 @@ def runs(data: np.ndarray, offsets: np.ndarray, size: int, gram: int) -> tuple[n
     k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
     first = np.repeat(begin, parts) + k * MOST_WINDOWS
     count = np.minimum(np.repeat(count, parts) - k * MOST_WINDOWS, MOST_WINDOWS)
-    return first, count, np.searchsorted(offsets, first, "right") - 1, least[first]
+    # a gram is some window's minimiser if it equals the largest minimiser around it
+    chosen = np.flatnonzero(_sliding(np.maximum, np.pad(least, width - 1), width) == h)
+    twice = (h[chosen[1:]] == h[chosen[:-1]]) & (np.diff(chosen) < width + MOST_WINDOWS)
+    return first, count, np.searchsorted(offsets, first, "right") - 1, least[first], \
+        np.isin(least[first], h[chosen[1:][twice]])
 
 
 _CODES = tn.mix(np.arange(256, dtype=np.uint64), 7)
 
 
 def _minimisers(size: int, gram: int, per_text: bool):
-    """(v, n): runs per minimiser of a slice; or (v, id): each minimiser of a text once."""
+    """(v, n): grams of a minimiser in a slice; or (v, id): each minimiser of a text once."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tn.slices(batch, "t"):
-                _, _, text, v = runs(*tn.column_bytes(part.column("t")), size, gram)
+                _, _, text, v, own = runs(*tn.column_bytes(part.column("t")), size, gram)
                 v = v.view(np.int64)
                 if not per_text:
-                    v, n = np.unique(v, return_counts=True)
+                    v, n = np.unique(np.concatenate([v, v[own]]), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(n.astype(np.int64))], ["v", "n"])
                 elif len(v):
                     order = np.lexsort((v, text))
@@ -122,7 +130,7 @@ def _unpacked(column: pa.Array) -> Iterator[bytes]:
         yield z.decompress(t.as_buffer()) if len(t.as_buffer()) else b""
 
 
-REPEATED = "id long, th long, pos long, windows int, v long, h1 long, h2 long, lead boolean, run binary"
+REPEATED = "id long, th long, pos long, windows int, v long, h1 long, h2 long, lead boolean, own boolean, run binary"
 
 
 def _repeated_runs(size: int, gram: int):
@@ -132,9 +140,9 @@ def _repeated_runs(size: int, gram: int):
             for i, raw in enumerate(_unpacked(batch.column("z"))):
                 data = np.frombuffer(raw, np.uint8)
                 seen = batch.column("seen")[i].values.to_numpy(zero_copy_only=False).astype(np.int64)
-                first, count, _, v = runs(data, np.array([0, len(data)]), size, gram)
+                first, count, _, v, own = runs(data, np.array([0, len(data)]), size, gram)
                 keep = np.isin(v.view(np.int64), seen)
-                first, count, v = first[keep], count[keep], v[keep].view(np.int64)
+                first, count, v, own = first[keep], count[keep], v[keep].view(np.int64), own[keep]
                 pieces = [raw[a:a + c + size - 1] for a, c in zip(first.tolist(), count.tolist(), strict=True)]
                 digests = np.frombuffer(b"".join(hashlib.blake2b(p, digest_size=16).digest() for p in pieces), "<i8")
                 h1, h2 = digests[::2], digests[1::2]
@@ -144,8 +152,8 @@ def _repeated_runs(size: int, gram: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(same * batch.column("id")[i].as_py()), pa.array(same * batch.column("th")[i].as_py()),
                      pa.array(first), pa.array(count.astype(np.int32)), pa.array(v), pa.array(h1), pa.array(h2),
-                     pa.array(lead), pa.array(pieces, pa.binary())],
-                    ["id", "th", "pos", "windows", "v", "h1", "h2", "lead", "run"])
+                     pa.array(lead), pa.array(own), pa.array(pieces, pa.binary())],
+                    ["id", "th", "pos", "windows", "v", "h1", "h2", "lead", "own", "run"])
     return emit
 
 
@@ -267,15 +275,15 @@ def covered(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT,
     found = stored(packed.join(seen, "id").mapInArrow(_repeated_runs(size, gram), REPEATED), "suffix-runs")
 
     kinds = found.where("lead").groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"),
-                                                        F.min("v").alias("v"))
+                                                        F.min("v").alias("v"), F.max("own").alias("own"))
     kinds = stored(kinds, "suffix-kinds")
     place = ["id", "th", "pos", "windows"]
     later = found.where("lead").select("h1", "h2", *place) \
         .join(kinds.where("first < last").select("h1", "h2", "first"), ["h1", "h2"]).where("id > first").select(*place)
     whole = later.unionByName(found.where("NOT lead").select(*place))
 
-    several = kinds.groupBy("v").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    firsts = kinds.join(several, "v").select("h1", "h2", F.col("first").alias("id"), "kinds")
+    several = kinds.groupBy("v").agg(F.count(F.lit(1)).alias("kinds"), F.max("own").alias("own")).where("kinds > 1 OR own")
+    firsts = kinds.drop("own").join(several.drop("own"), "v").select("h1", "h2", F.col("first").alias("id"), "kinds")
     left = stored(found.where("lead").join(firsts, ["h1", "h2", "id"]).select("v", "kinds", "run", *place), "suffix-left")
     cold = left.where(F.col("kinds") <= hot).select("v", "run", *place)
     ends = F.xxhash64(F.col("v"), F.expr(f"substring(run, 1, {gram})"), F.expr(f"substring(run, {size - gram + 1}, {gram})"))

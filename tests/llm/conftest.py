@@ -1,0 +1,14 @@
+"""Awkward documents, and none, as DataFrames."""
+
+import pytest
+from llm_rows import SCHEMA, rows
+
+
+@pytest.fixture(scope="session")
+def awkward(spark):
+    return spark.createDataFrame(rows(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="session")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
