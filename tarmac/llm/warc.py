@@ -1,7 +1,8 @@
 """WARC (9): writing archives, and reading them back with boundary-chain verification.
 
 Writing: pages with equal payloads are grouped by SHA-256; the smallest page_id writes a
-response with the payload, the others a revisit that refers to it. Spark's text writer lays
+response with the payload, the others a revisit that refers to it. Payloads that occur once
+are responses without further ado: the table joined to the pages holds repeated ones only. Spark's text writer lays
 down the records (its line separator is the record terminator), so commits and retries are
 Spark's own.
 
@@ -49,8 +50,10 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").alias("id"), F.col("url").cast("string").alias("url"), body.alias("body"))
     rows = rows.withColumn("key", F.sha2("body", 256)).withColumn("n", F.octet_length("body"))
-    first = rows.where(F.col("n") >= min_bytes).groupBy("key").agg(F.min("id").alias("first"))
-    rows = rows.join(first, "key", "left")
+    # only payloads that occur again; stored, so that their size decides how payloads are joined
+    first = rows.where(F.col("n") >= min_bytes).groupBy("key") \
+        .agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
+    rows = rows.join(stored(first, "warc-again"), "key", "left")
     again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("id"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     url = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A"), r"[\x00-\x1F]", "%20")
