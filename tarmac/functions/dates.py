@@ -68,6 +68,13 @@ def _holiday_date(y: Column, m: Column, rule: Column, n: Column, w: Column) -> C
     return F.when(rule == "fixed", observed).when(rule == "nth", nth).otherwise(lastw)
 
 
+def years_around(years: DataFrame, year_col: str = "YEAR") -> DataFrame:
+    """Every year from one before the earliest to one after the latest."""
+    y = F.col(year_col)
+    return years.agg(F.min(y).alias("lo"), F.max(y).alias("hi")).where(F.col("lo").isNotNull()) \
+        .select(F.explode(F.sequence(F.col("lo") - 1, F.col("hi") + 1)).alias(year_col))
+
+
 def holidays(years: DataFrame, year_col: str = "YEAR") -> DataFrame:
     """Holiday calendar (Year, Date, Holiday, Month, Week) for the given years.
 

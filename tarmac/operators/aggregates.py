@@ -151,7 +151,7 @@ def airport_day_traffic(fl: DataFrame) -> DataFrame:
                     F.coalesce("IN_FLIGHTS", F.lit(0.0)).alias("IN_FLIGHTS")))
 
 
-def top_per_year(fl: DataFrame, key: str = "ORIGIN", limit: int = 12) -> DataFrame:
+def top_per_year(fl: DataFrame, key: str = "ORIGIN", limit: int = 20) -> DataFrame:
     """WIN-01: top-``limit`` airports per year by departures, code breaks ties.
 
     The window runs over the per-(year, airport) counts, so each window

@@ -79,6 +79,8 @@ def fit(train: DataFrame, features: list[str] = FEATURES, target: str = TARGET)
     One grouped aggregate (two output rows) plus the global variances, in a
     single job; only those ~20 numbers reach the driver. Like the reference's
     estimator, ``VAR_SMOOTHING * max_j var(x_j)`` is added to every variance.
+    A class without rows has prior 0 and no moments; scores are then the
+    share of the other class. Without any row all scores are NULL.
     """
     y = F.col(target).cast("int")
     row = train.agg(
@@ -87,18 +89,42 @@ def fit(train: DataFrame, features: list[str] = FEATURES, target: str = TARGET)
         *[F.avg(F.when(y == k, F.col(f))).alias(f"MEAN{k}_{f}") for k in (0, 1) for f in features],
         *[F.var_pop(F.when(y == k, F.col(f))).alias(f"VAR{k}_{f}") for k in (0, 1) for f in features],
     ).first().asDict()
-    eps = VAR_SMOOTHING * max(row[f"ALLVAR_{f}"] for f in features)
+    eps = VAR_SMOOTHING * max(row[f"ALLVAR_{f}"] or 0.0 for f in features)
     n = row["N0"] + row["N1"]
     params = {}
     for k in (0, 1):
         params[f"N{k}"] = row[f"N{k}"]
-        params[f"PRIOR{k}"] = row[f"N{k}"] / n
+        params[f"PRIOR{k}"] = row[f"N{k}"] / n if n else None
         for f in features:
             params[f"MEAN{k}_{f}"] = row[f"MEAN{k}_{f}"]
-            params[f"VAR{k}_{f}"] = row[f"VAR{k}_{f}"] + eps
+            params[f"VAR{k}_{f}"] = None if row[f"VAR{k}_{f}"] is None else row[f"VAR{k}_{f}"] + eps
     return GaussianNB(list(features), params)
 
 
+def save(model: GaussianNB, codes: dict[str, DataFrame], path: str) -> None:
+    """SNK-07: the parameters and the label codes, as two small tables."""
+    from functools import reduce
+
+    spark = next(iter(codes.values())).sparkSession
+    model.table(spark).write.mode("overwrite").parquet(f"{path}/params")
+    parts = [t.select(F.lit(c).alias("FEATURE"), "VALUE", "CODE") for c, t in codes.items()]
+    reduce(DataFrame.unionByName, parts).write.mode("overwrite").parquet(f"{path}/codes")
+
+
+def load(spark, path: str) -> tuple[GaussianNB, dict[str, DataFrame]]:
+    """The stored model and label codes."""
+    t = spark.read.parquet(f"{path}/params")
+    features = [c[len("MEAN_"):] for c in t.columns if c.startswith("MEAN_")]
+    params = {}
+    for r in t.collect():
+        k = r["CLASS"]
+        params[f"N{k}"], params[f"PRIOR{k}"] = r["N"], r["PRIOR"]
+        for f in features:
+            params[f"MEAN{k}_{f}"], params[f"VAR{k}_{f}"] = r[f"MEAN_{f}"], r[f"VAR_{f}"]
+    codes = spark.read.parquet(f"{path}/codes")
+    return GaussianNB(features, params), {c: codes.where(F.col("FEATURE") == c).select("VALUE", "CODE") for c in ENCODED}
+
+
 def _joint_log_likelihood(m: GaussianNB, k: int) -> Column:
     p = m.params
     acc = F.lit(math.log(p[f"PRIOR{k}"]))
@@ -112,6 +138,12 @@ def _joint_log_likelihood(m: GaussianNB, k: int) -> Column:
 def proba(df: DataFrame, model: GaussianNB, name: str = "PROBA") -> DataFrame:
     """CLS-03: posterior P(late | x) = 1 / (1 + exp(jll0 - jll1)); a narrow
     projection with the parameters as literals (stays in codegen)."""
+    if not model.params["N0"] or not model.params["N1"]:
+        share = model.params["PRIOR1"]
+        known = F.col(model.features[0]).isNotNull()
+        for f in model.features[1:]:
+            known = known & F.col(f).isNotNull()
+        return df.withColumn(name, F.when(known, F.lit(share).cast("double")))
     return df.withColumn(name, F.lit(1.0) / (F.lit(1.0) + F.exp(_joint_log_likelihood(model, 0)
                                                                   - _joint_log_likelihood(model, 1))))
 

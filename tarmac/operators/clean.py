@@ -16,48 +16,56 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NUMERIC = (T.IntegerType, T.LongType, T.DoubleType, T.FloatType, T.ShortType, T.ByteType, T.DecimalType)
+WHOLE = (T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.DateType, T.BooleanType, T.TimestampType)
+#: column type that each kind of value is counted in
+CARRIER = {"int": "bigint", "num": "double", "str": "string"}
 
 
 def _kind(dtype: T.DataType) -> str:
-    if isinstance(dtype, NUMERIC):
-        return "num"
-    if isinstance(dtype, T.DateType):
-        return "date"
-    return "str"
+    if isinstance(dtype, WHOLE):
+        return "int"
+    return "num" if isinstance(dtype, (T.DoubleType, T.FloatType)) else "str"
+
+
+def _carried(df: DataFrame, c: str):
+    """The column as the type it is counted in, without loss: whole numbers,
+    dates, timestamps and booleans as bigint, decimals and text as text."""
+    dt, x = df.schema[c].dataType, F.col(c)
+    if isinstance(dt, T.DateType):
+        x = F.unix_date(x)
+    elif isinstance(dt, T.TimestampType):
+        x = F.unix_micros(x)
+    return x.cast(CARRIER[_kind(dt)]).alias(c)
 
 
 def mode_table(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
-    """AGG-14: (by..., FEATURE, NUM, STR) with the mode of every column.
+    """AGG-14: (by..., FEATURE, INT, NUM, STR) with the mode of every column
+    in the column of its kind.
 
-    Numbers and dates are compared numerically (dates as day numbers),
-    strings in byte order; ties go to the lowest value. Numeric and text
-    columns are each unpivoted (one Expand, no per-row structs), counted per
-    (feature, value) with a partial aggregate, and reduced per feature.
+    Columns of each kind are unpivoted (one Expand, no per-row structs),
+    counted per (feature, value) with a partial aggregate, and reduced per
+    feature; ties go to the lowest value (text in byte order, decimals by
+    value). Whole numbers stay whole, so they are exact beyond 2^53.
     """
     by = by or []
-    kinds = {c: _kind(df.schema[c].dataType) for c in cols}
-    num = [c for c in cols if kinds[c] != "str"]
-    txt = [c for c in cols if kinds[c] == "str"]
+    decimals = {c for c in cols if isinstance(df.schema[c].dataType, T.DecimalType)}
     parts = []
-    if num:
-        n = df.select(*by, *[(F.unix_date(F.col(c)) if kinds[c] == "date" else F.col(c)).cast("double").alias(c)
-                             for c in num])
-        cnt = (n.unpivot(by, num, "FEATURE", "NUM").where(F.col("NUM").isNotNull())
-               .groupBy(*by, "FEATURE", "NUM").agg(F.count(F.lit(1)).alias("CNT")))
-        parts.append(cnt.groupBy(*by, "FEATURE")
-                     .agg(F.min_by("NUM", F.struct((-F.col("CNT")).alias("c"), F.col("NUM").alias("v"))).alias("NUM"))
-                     .withColumn("STR", F.lit(None).cast("string")))
-    if txt:
-        cnt = (df.select(*by, *txt).unpivot(by, txt, "FEATURE", "STR").where(F.col("STR").isNotNull())
-               .groupBy(*by, "FEATURE", "STR").agg(F.count(F.lit(1)).alias("CNT")))
-        parts.append(cnt.groupBy(*by, "FEATURE")
-                     .agg(F.min_by("STR", F.struct((-F.col("CNT")).alias("c"), F.col("STR").alias("v"))).alias("STR"))
-                     .withColumn("NUM", F.lit(None).cast("double"))
-                     .select(*by, "FEATURE", "NUM", "STR"))
+    for kind, typ in CARRIER.items():
+        mine = [c for c in cols if _kind(df.schema[c].dataType) == kind]
+        if not mine:
+            continue
+        cnt = (df.select(*by, *[_carried(df, c) for c in mine]).unpivot(by, mine, "FEATURE", "V")
+               .where(F.col("V").isNotNull()).groupBy(*by, "FEATURE", "V").agg(F.count(F.lit(1)).alias("CNT")))
+        rank = [(-F.col("CNT")).alias("c"), F.col("V").alias("v")]
+        if decimals & set(mine):
+            rank.insert(1, F.when(F.col("FEATURE").isin(*decimals), F.col("V").try_cast("decimal(38,18)")).alias("d"))
+        parts.append(cnt.groupBy(*by, "FEATURE").agg(F.min_by("V", F.struct(*rank)).alias("V")).select(
+            *by, "FEATURE", *[(F.col("V") if t == typ else F.lit(None).cast(t)).alias(k.upper())
+                              for k, t in CARRIER.items()]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select(*by, "FEATURE", "NUM", "STR")
+    return out
 
 
 def fit_modes(df: DataFrame, cols: list[str]) -> dict[str, object]:
@@ -65,11 +73,19 @@ def fit_modes(df: DataFrame, cols: list[str]) -> dict[str, object]:
     kinds = {c: _kind(df.schema[c].dataType) for c in cols}
     out: dict[str, object] = {c: None for c in cols}
     for r in mode_table(df, cols).collect():
-        k = kinds[r["FEATURE"]]
-        out[r["FEATURE"]] = r["STR"] if k == "str" else r["NUM"]
+        out[r["FEATURE"]] = r[kinds[r["FEATURE"]].upper()]
     return out
 
 
+def _restored(value, dt: T.DataType):
+    """A carried value as a column of the original type."""
+    if isinstance(dt, T.DateType):
+        return F.date_from_unix_date(value.cast("int"))
+    if isinstance(dt, T.TimestampType):
+        return F.timestamp_micros(value)
+    return value.cast(dt)
+
+
 def impute_modes(df: DataFrame, cols: list[str], modes: dict[str, object] | None = None) -> DataFrame:
     """IMP-01/02: replace NULL by the column's whole-table mode; a column
     without any value stays NULL. Types are kept."""
@@ -79,9 +95,7 @@ def impute_modes(df: DataFrame, cols: list[str], modes: dict[str, object] | None
         v = modes.get(c)
         if v is None:
             continue
-        dt = df.schema[c].dataType
-        lit = (F.date_from_unix_date(F.lit(int(v))) if isinstance(dt, T.DateType) else F.lit(v).cast(dt))
-        repl[c] = F.coalesce(F.col(c), lit)
+        repl[c] = F.coalesce(F.col(c), _restored(F.lit(v), df.schema[c].dataType))
     return df.withColumns(repl) if repl else df
 
 
@@ -91,7 +105,9 @@ def impute_modes_by(df: DataFrame, cols: list[str], by: list[str], default: floa
     The per-group modes are pivoted to one row per group and joined back on
     the group key (a small table that AQE broadcasts).
     """
-    modes = (mode_table(df, cols, by).groupBy(*by).pivot("FEATURE", cols).agg(F.first("NUM")))
+    modes = mode_table(df, cols, by).withColumn("V", F.coalesce(F.col("INT").cast("string"), F.col("NUM").cast("string"),
+                                                                 F.col("STR")))
+    modes = modes.groupBy(*by).pivot("FEATURE", cols).agg(F.first("V"))
     m = modes.select(*by, *[F.col(c).alias(f"__mode_{c}") for c in cols])
     j = df.join(m, by, "left")
     return j.select(*[F.coalesce(F.col(c), F.col(f"__mode_{c}").cast(df.schema[c].dataType),
@@ -147,6 +163,13 @@ def drop_leakage(df: DataFrame) -> DataFrame:
     return df.drop(*LEAKAGE)
 
 
+def drop_low_variance(df: DataFrame, cols: list[str], threshold: float = 0.1) -> DataFrame:
+    """PRJ-03: ``df`` without the columns whose sample variance is below the
+    threshold (one aggregate row decides)."""
+    low = [r["FEATURE"] for r in variance_profile(df.select(*cols), threshold).where("LOW").collect()]
+    return df.drop(*low)
+
+
 def variance_profile(df: DataFrame, threshold: float = 0.1) -> DataFrame:
     """PRJ-03 / STA-01: sample variance of every numeric column, one pass,
     unpivoted to (FEATURE, VARIANCE, LOW) with LOW = variance < threshold."""

@@ -37,15 +37,39 @@ def standard_scale(df: DataFrame, cols: list[str], stats: dict | None = None) ->
     return df.withColumns({c: (F.col(c) - F.lit(m)) / F.lit(s) for c, (m, s) in stats.items()})
 
 
+def quantiles(df: DataFrame, cols: list[str], shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """(FEATURE, SHARE, VALUE): exact quantiles with linear interpolation.
+
+    Values are counted first (partial aggregate), cumulated per feature over
+    blocks of about sqrt(distinct) values, and the one or two values around
+    each rank are kept: no buffer ever holds a column's values.
+    """
+    counts = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "FEATURE", "V") \
+        .where(F.col("V").isNotNull()).groupBy("FEATURE", "V").agg(F.count(F.lit(1)).alias("n"))
+    span = counts.groupBy("FEATURE").agg(F.min("V").alias("lo"), F.max("V").alias("hi"), F.sum("n").alias("total"),
+                                         F.ceil(F.sqrt(F.count(F.lit(1)))).alias("parts"))
+    part = F.when(F.col("hi") > F.col("lo"),
+                  F.floor((F.col("V") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("parts"))).otherwise(F.lit(0))
+    d = counts.join(span, "FEATURE").withColumn("part", part)
+    parts = d.groupBy("FEATURE", "part").agg(F.sum("n").alias("m"))
+    earlier = W.partitionBy("FEATURE").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select("FEATURE", "part", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("before"))
+    inside = W.partitionBy("FEATURE", "part").orderBy("V").rowsBetween(W.unboundedPreceding, 0)
+    d = d.withColumn("upto", F.sum("n").over(inside)).join(parts, ["FEATURE", "part"])
+    d = d.withColumn("upto", F.col("upto") + F.col("before"))
+    wanted = F.explode(F.array(*[F.lit(float(x)) for x in shares])).alias("SHARE")
+    d = d.select("FEATURE", "V", "n", "upto", "total", wanted)
+    rank = F.col("SHARE") * (F.col("total") - 1)
+    at = lambda r: F.max(F.when((F.col("upto") > r) & (F.col("upto") - F.col("n") <= r), F.col("V")))
+    low, high = at(F.floor(rank)), at(F.ceil(rank))
+    d = d.groupBy("FEATURE", "SHARE").agg(low.alias("a"), high.alias("b"), F.max(rank - F.floor(rank)).alias("w"))
+    return d.select("FEATURE", "SHARE", (F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias("VALUE"))
+
+
 def fit_robust(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
     """Median and inter-quartile range (exact, linear interpolation)."""
-    r = df.agg(*[F.percentile(F.col(c), [0.25, 0.5, 0.75]).alias(c) for c in cols]).first()
-    out = {}
-    for c in cols:
-        q1, q2, q3 = r[c]
-        iqr = q3 - q1
-        out[c] = (q2, iqr if iqr else 1.0)
-    return out
+    q = {(r["FEATURE"], r["SHARE"]): r["VALUE"] for r in quantiles(df, cols).collect()}
+    return {c: (q[c, 0.5], (q[c, 0.75] - q[c, 0.25]) or 1.0) for c in cols if (c, 0.5) in q}
 
 
 def robust_scale(df: DataFrame, cols: list[str], stats: dict | None = None) -> DataFrame:
@@ -130,12 +154,14 @@ def merge_map(df: DataFrame, mapping: dict[int, int], name: str = "CLASS") -> Da
 
 # ------------------------------------------------------------ MLlib fits
 def _vec(df: DataFrame, cols: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="skip").transform(df)
+    """A NULL feature is an error: rows are imputed before, never dropped."""
+    return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="error").transform(df)
 
 
 def kmeans(df: DataFrame, cols: list[str], k: int, seed: int = 1234, name: str = "CLASS",
            max_iter: int = 30) -> tuple[DataFrame, float, list[list[float]]]:
-    """ML-05: k-means fit + assignment; returns (rows with class, cost, centroids)."""
+    """ML-05: k-means fit + assignment; returns (rows with class, cost,
+    centroids). Fewer distinct points than k give fewer centroids."""
     v = _vec(df, cols)
     model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol=name).fit(v)
     out = model.transform(v).drop("features")

@@ -48,10 +48,11 @@ def role_join(flights: DataFrame, airports: DataFrame, role: str, suffix: str) -
 
 
 def holiday_week(weekly: DataFrame, hol: DataFrame) -> DataFrame:
-    """JOIN-09: weekly series LEFT JOIN holidays of the same (year, ISO week);
+    """JOIN-09: weekly series LEFT JOIN holidays of the same (year, ISO week),
+    by the year of the date itself (New Year may be observed a year early);
     the holidays of a week become one label 'weekday - name; ...' ordered by
     date (a week holds at most a few holidays)."""
-    h = (hol.select(F.col("Year").alias("YEAR"), F.col("Week").alias("WEEK_OF_YEAR"), "Date",
+    h = (hol.select(F.year("Date").alias("YEAR"), F.col("Week").alias("WEEK_OF_YEAR"), "Date",
                     label_text(iso_dow(F.col("Date")), F.col("Holiday")).alias("label"))
          .groupBy("YEAR", "WEEK_OF_YEAR")
          .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("Date", "label"))),

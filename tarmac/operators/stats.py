@@ -1,7 +1,6 @@
 """Column statistics (STA-*, ML-04).
 
-Every statistic over many columns is computed in ONE aggregate pass (fixed
-size buffers per column or column pair) and unpivoted afterwards; the
+Every statistic over many columns is computed in ONE aggregate pass; the
 histogram bins rows with a column expression and counts per bin.
 """
 
@@ -20,38 +19,38 @@ def _pairs(cols: list[str], with_diag: bool) -> list[tuple[str, str]]:
     return p
 
 
-def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """STA-02: Pearson correlation of every ordered pair, pairwise-complete.
+def corr_matrix(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
+    """STA-02: Pearson correlation of every ordered pair, pairwise-complete
+    (per group of ``by``).
 
-    r = covar_pop(a, b) / (sd_a * sd_b), all from aggregates that are safe
-    under ANSI mode (Spark's ``corr`` fails on a constant column). Covariance
-    already skips rows where either value is NULL; the deviations are taken
-    over the same rows -- per column when neither column has a NULL (known
-    from a cheap first pass), per pair otherwise. One aggregate pass over the
-    data; its single row (features^2 numbers, independent of the data size)
-    is reshaped into the long (F1, F2, CORR) table with both orders and the
-    diagonal. A constant column has no correlation (NULL).
+    A row becomes one row per pair of features, NULL in both where either is;
+    covariance and deviations of a pair come from one grouped aggregate with
+    partial aggregation, whatever the number of features. A constant column
+    has no correlation (NULL; Spark's ``corr`` fails on it under ANSI mode).
     """
-    nn = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
-    has_null = {c: nn[c] > 0 for c in cols}
-    pairs = _pairs(cols, False)
-    aggs = [F.stddev_pop(c).alias(f"s_{j}") for j, c in enumerate(cols)]
-    for i, (a, b) in enumerate(pairs):
-        aggs.append(F.covar_pop(a, b).alias(f"c_{i}"))
-        if has_null[a] or has_null[b]:
-            both = F.col(a).isNotNull() & F.col(b).isNotNull()
-            aggs.append(F.stddev_pop(F.when(both, F.col(a))).alias(f"sa_{i}"))
-            aggs.append(F.stddev_pop(F.when(both, F.col(b))).alias(f"sb_{i}"))
-    row = df.agg(*aggs).first().asDict()
-    sd = {c: row[f"s_{j}"] for j, c in enumerate(cols)}
-    out = []
-    for i, (a, b) in enumerate(pairs):
-        sa, sb = (row[f"sa_{i}"], row[f"sb_{i}"]) if f"sa_{i}" in row else (sd[a], sd[b])
-        cov = row[f"c_{i}"]
-        v = None if (cov is None or not sa or not sb) else round(max(-1.0, min(1.0, cov / (sa * sb))), 6)
-        out += [(a, b, v), (b, a, v)]
-    out += [(c, c, 1.0 if sd[c] else None) for c in cols]
-    return df.sparkSession.createDataFrame(out, "F1 string, F2 string, CORR double")
+    by = by or []
+
+    # one small expression for any number of features: values by position,
+    # then every pair of positions
+    n = len(cols)
+    values = F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).cast("double").alias("v")) for c in cols])
+
+    def pair(a, b):
+        both = a["v"].isNotNull() & b["v"].isNotNull()
+        return F.struct(a["f"].alias("F1"), b["f"].alias("F2"), F.when(both, a["v"]).alias("x"), F.when(both, b["v"]).alias("y"))
+
+    each = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.transform(
+        F.slice("_values", i, F.lit(n)), lambda y: pair(F.element_at("_values", i), y)))
+    pairs = df.select(*by, values.alias("_values")).select(*by, F.inline(F.flatten(each)))
+    m = pairs.groupBy(*by, "F1", "F2").agg(F.covar_pop("x", "y").alias("c"), F.stddev_pop("x").alias("sx"),
+                                           F.stddev_pop("y").alias("sy"))
+    r = F.col("c") / (F.col("sx") * F.col("sy"))
+    r = F.when((F.col("sx") > 0) & (F.col("sy") > 0), F.when(F.col("F1") == F.col("F2"), F.lit(1.0)).otherwise(
+        F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)), 6)))
+    m = m.select(*by, "F1", "F2", r.alias("CORR"))
+    sides = F.when(F.col("F1") == F.col("F2"), F.array(F.struct("F1", "F2"))).otherwise(
+        F.array(F.struct("F1", "F2"), F.struct(F.col("F2").alias("F1"), F.col("F1").alias("F2"))))
+    return m.select(*by, F.explode(sides).alias("p"), "CORR").select(*by, "p.F1", "p.F2", "CORR")
 
 
 def corr_filter(corr: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -26,14 +26,16 @@ def _iround(c: Column) -> Column:
 def std_samp(col: str) -> Column:
     """Sample standard deviation from exact sums.
 
-    The delays are whole minutes, so sum(x) and sum(x^2) are exact in
-    doubles and so is n*sum(x^2) - sum(x)^2; only the final division and
-    square root round. A true 12.5 therefore stays 12.5 and rounds to 13
-    (an incremental algorithm can land on 12.4999... and round to 12).
+    The delays are whole minutes, so the sums are taken as bigint and
+    n*sum(x^2) - sum(x)^2 as decimal(38, 0): exact while sum(x^2) is below
+    2^63 (4 * 10^12 flights of a day's delay in one slice; beyond, the sum
+    raises). Only the final division and square root round. A true 12.5 therefore stays 12.5 and rounds to 13 (an
+    incremental algorithm can land on 12.4999... and round to 12).
     """
-    x = F.col(col).cast("double")
+    x = F.col(col).cast("bigint")
+    whole = lambda c: c.cast("decimal(19,0)")  # noqa: E731  a product of two has 38 digits and one of carry
     n = F.count(x)
-    num = n * F.sum(x * x) - F.sum(x) * F.sum(x)
+    num = (whole(n) * whole(F.sum(x * x)) - whole(F.sum(x)) * whole(F.sum(x))).cast("double")
     return F.when(n >= 2, F.sqrt(F.greatest(num, F.lit(0.0)) / (n * (n - 1))))
 
 
@@ -111,6 +113,14 @@ def _prefixed(df: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     return df.select(*keys, *[F.col(c).alias(prefix + c) for c in df.columns if c not in keys])
 
 
+def requested_slices(sub: DataFrame, parsed: DataFrame) -> DataFrame:
+    """The flights that some request asks about: a semi join on (year - 1,
+    week, carrier) before anything is aggregated; with flights stored by YEAR
+    only the requested years are read."""
+    wanted = parsed.select((F.col("YEAR") - 1).alias("YEAR"), "WEEK_OF_YEAR", "CARRIER").distinct()
+    return sub.join(wanted, ["YEAR", "WEEK_OF_YEAR", "CARRIER"], "left_semi")
+
+
 def request_answer(scored: DataFrame, osum: DataFrame, dsum: DataFrame, rsum: DataFrame) -> DataFrame:
     """SUM-09: probability + origin / destination / route summaries of the
     same ISO week one year earlier, with the reference's empty-slice

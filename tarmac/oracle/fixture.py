@@ -87,7 +87,7 @@ ranks as (
     from fl where YEAR <= 2015),
 requests as (
   select concat(ORIGIN, '__', DEST, '__', CARRIER, '__', cast(MONTH as varchar), '/', cast(DAY_OF_MONTH as varchar), '/', cast(YEAR as varchar)) as variables
-    from (select distinct ORIGIN, DEST, CARRIER, YEAR, MONTH, DAY_OF_MONTH from fl where YEAR = 2012 and DAY_OF_MONTH = 15) q
+    from (select distinct ORIGIN, DEST, CARRIER, YEAR, MONTH, DAY_OF_MONTH from fl) q
   union all select 'A00__ZZZ__C01__6/15/2012')
 """
 

@@ -17,7 +17,7 @@ mc as (select CARRIER from (select CARRIER, count(distinct YEAR) as n from fl wh
 major_airlines as (select distinct Code as CARRIER, Description as CARRIER_NM from carriers where Code in (select CARRIER from mc)),
 top_air as (select * from (select YEAR, ORIGIN, count(ORIGIN) as CNT,
                    cast(row_number() over (partition by YEAR order by count(ORIGIN) desc, ORIGIN) as int) as RANK
-              from fl group by YEAR, ORIGIN) q where RANK <= 12),
+              from fl group by YEAR, ORIGIN) q where RANK <= 20),
 major_airports as (select distinct iata as CODE, airport as HUB_NM, city as CITY, state as STATE, lat as LAT, lon as LON
                      from airports where iata in (select ORIGIN from top_air)),
 sub as (select YEAR, MONTH, DAY_OF_MONTH, CARRIER, ORIGIN, DEST, FLIGHTS, DEP_DEL15, ARR_DEL15, DEP_DELAY, ARR_DELAY,

@@ -15,7 +15,7 @@ select airport as Airport, iata as Iata, lat as Latitude, lon as Longitude,
        cast(cast(substr(iata, 2, 2) as int) * 100 as int) as Altitude,
        cast(-5.0 - cast(substr(iata, 2, 2) as int) % 4 as double) as Timezone
   from airports where cast(substr(iata, 2, 2) as int) % 4 <> 3""")
-ORACLE["src_airport_ranks"] = q("select * from ranks where Year <= 2015")
+ORACLE["src_airport_ranks"] = q("select * from ranks")
 ORACLE["src_lookup_airport"] = q("select iata as Code, city as Description from airports")
 ORACLE["src_lookup_cancellation"] = q("""
 select distinct CANCELLATION_CODE as Code, case CANCELLATION_CODE when 'A' then 'Carrier' when 'B' then 'Weather'
@@ -44,5 +44,6 @@ ORACLE["snk_append"] = q("select * from sub")
 ORACLE["snk_create"] = q("select * from sub")
 ORACLE["snk_overwrite"] = q("select * from sub")
 ORACLE["snk_model_params"] = ORACLE["cls_gnb_fit"]
+ORACLE["snk_model_score"] = ORACLE["cls_score_requests"]
 ORACLE["snk_partitioned_layout"] = q("select YEAR, MONTH, FL_DATE, CARRIER, ORIGIN, DEST, ARR_DELAY from fl "
                                      "where YEAR = 2012 and MONTH = 6")

@@ -53,8 +53,8 @@ ROUTE_NUMERIC = ["FLIGHTS", "CARRIER", "DEP_DEL", "ARR_DEL", "DISTANCE", "AIR_TI
                  "ADEL2", "DIVERTED", "CANCELLED", "SEC_DEL", "CAR_DEL", "NAS_DEL", "WEA_DEL", "LAD_DEL"]
 ROUTE_NORM = ["DEP_DEL", "ARR_DEL", "DDEL1", "DDEL2", "ADEL1", "ADEL2", "DIVERTED", "CANCELLED", "SEC_DEL",
               "CAR_DEL", "NAS_DEL", "WEA_DEL", "LAD_DEL", "REC_TIME", "REL_DDEL", "REL_ADEL", "REL_RTIME"]
-CL_FEATS = ["DEP_DEL", "DDEL2", "CANCELLED", "ARR_DEL", "ADEL2", "DIVERTED"]
-ROUTE_CL_FEATS = ["DEP_DEL", "ARR_DEL", "DDEL2", "ADEL2", "CANCELLED", "AVE_SPEED"]
+CL_FEATS = ["REC_TIME", "LAD_DEL", "CAR_DEL", "NAS_DEL", "WEA_DEL", "SEC_DEL"]
+ROUTE_CL_FEATS = ROUTE_NUMERIC + ["AVE_SPEED", "REC_TIME", "REL_DDEL", "REL_ADEL", "REL_RTIME"]
 
 FEAT = f"""
 ao as (select YEAR, ORIGIN as IATA, sum(FLIGHTS) as DEP_FLIGHTS, sum(DEP_DEL15) as DEP_DEL, sum(DEP_DELAY) as DDEL1,
@@ -74,7 +74,11 @@ rder as (select *, DISTANCE / nullif(AIR_TIME, 0) as AVE_SPEED, DDEL2 - ADEL2 as
                 DDEL1 / nullif(AIR_TIME, 0) as REL_DDEL, ADEL1 / nullif(AIR_TIME, 0) as REL_ADEL,
                 (DDEL2 - ADEL2) / nullif(AIR_TIME, 0) as REL_RTIME from rimp),
 rfeat as (select YEAR, ORIGIN, DEST, FLIGHTS, CARRIER, DISTANCE, AIR_TIME, AVE_SPEED,
-                 {", ".join(f"{c} / nullif(FLIGHTS, 0) as {c}" for c in ROUTE_NORM)} from rder)
+                 {", ".join(f"{c} / nullif(FLIGHTS, 0) as {c}" for c in ROUTE_NORM)} from rder),
+rfi as ({impute_select("rfeat", ROUTE_CL_FEATS, ["YEAR", "ORIGIN", "DEST"] + ROUTE_CL_FEATS)}),
+rscl as (select f.YEAR, f.ORIGIN, f.DEST, {", ".join(f"(f.{c} - s.m_{c}) / s.s_{c} as {c}" for c in ROUTE_CL_FEATS)}
+           from rfi f, (select {", ".join(f"avg({c}) as m_{c}, coalesce(nullif(stddev_pop({c}), 0), 1) as s_{c}"
+                                           for c in ROUTE_CL_FEATS)} from rfi) s)
 """
 
 
@@ -93,9 +97,10 @@ def nearest_sql(name: str, src: str, keys: list[str], feats: list[str], k: int,
 CLASSES = FEAT + ",\n" + ",\n".join([
     nearest_sql("ac1", "afeat", ["YEAR", "IATA"], CL_FEATS, 4, "C1"),
     nearest_sql("ac2", "afeat", ["YEAR", "IATA"], ["LAT", "LON"], 3, "C2"),
-    nearest_sql("rc", "rfeat", ["YEAR", "ORIGIN", "DEST"], ROUTE_CL_FEATS, 5, "C"),
+    nearest_sql("rc", "rscl", ["YEAR", "ORIGIN", "DEST"], ROUTE_CL_FEATS, 5, "C"),
     nearest_sql("as4", "afeat", ["YEAR", "IATA"], CL_FEATS, 4, "CLASS"),
     nearest_sql("as6", "afeat", ["YEAR", "IATA"], CL_FEATS, 6, "CLASS"),
+    nearest_sql("as10", "afeat", ["YEAR", "IATA"], CL_FEATS, 10, "CLASS"),
 ]) + """,
 aclass as (select a.YEAR, a.IATA, a.C1, b.C2 from ac1 a join ac2 b using (YEAR, IATA)),
 mc15 as (select CARRIER from (select CARRIER, count(distinct YEAR) as n from fl where YEAR <= 2015 and CARRIER is not null
@@ -260,6 +265,8 @@ hol as (select Year, cast(case
     h as Holiday from hb),
 holm as (select *, cast(month(Date) as int) as Month, cast(weekofyear(Date) as int) as Week from hol)
 """
+HOL_AROUND = HOL.replace("select distinct YEAR as Year from fl",
+                         "select unnest(range(min(YEAR) - 1, max(YEAR) + 2)) as Year from fl")
 ORACLE["fn_iso_week"] = q("select distinct YEAR, MONTH, DAY_OF_MONTH, cast(weekofyear(make_date(YEAR, MONTH, "
                           "DAY_OF_MONTH)) as int) as WEEK from fl")
 ORACLE["fn_clean_date"] = q("select Year, Holiday, strftime(Date, '%A, %B %-d') as TEXT, "
@@ -354,30 +361,44 @@ select p.variables, p.ORIGIN, a.HUB_NM as ORIGIN_NM, b.CODE as ORIGIN_BACK, p.CA
 ORACLE["join_holiday_week"] = q("""
 select w.YEAR, w.WEEK_OF_YEAR, w.FLIGHTS, h.HOLIDAYS
   from (select YEAR, WEEK_OF_YEAR, sum(FLIGHTS) as FLIGHTS from fl group by YEAR, WEEK_OF_YEAR) w
-  left join (select Year, Week, string_agg(cast(isodow(Date) as varchar) || ' - ' || Holiday, '; ' order by Date)
-               as HOLIDAYS from holm group by Year, Week) h on h.Year = w.YEAR and h.Week = w.WEEK_OF_YEAR""", HOL)
+  left join (select year(Date) as Year, Week, string_agg(cast(isodow(Date) as varchar) || ' - ' || Holiday, '; ' order by Date)
+               as HOLIDAYS from holm group by 1, 2) h on h.Year = w.YEAR and h.Week = w.WEEK_OF_YEAR""", HOL_AROUND)
 ORACLE["join_nearest_holiday"] = q("""
 select FL_DATE, Date as HOLIDAY_DATE, Holiday as HOLIDAY, cast(Date - FL_DATE as int) as DAYS_TO_HOLIDAY
   from (select d.FL_DATE, h.Date, h.Holiday,
                row_number() over (partition by d.FL_DATE order by abs(h.Date - d.FL_DATE), h.Date, h.Holiday) as rn
-          from (select distinct FL_DATE from fl) d, hol h) z where rn = 1""", HOL)
+          from (select distinct FL_DATE from fl) d, hol h) z where rn = 1""", HOL_AROUND)
+ORACLE["join_flight_holiday"] = q("""
+select f.FL_DATE, f.CARRIER, f.ORIGIN, f.DEST, f.ARR_DELAY, n.HOLIDAY_DATE, n.HOLIDAY, n.DAYS_TO_HOLIDAY
+  from fl f left join near n on n.FL_DATE = f.FL_DATE""", HOL_AROUND + """,
+near as (select FL_DATE, Date as HOLIDAY_DATE, Holiday as HOLIDAY, cast(Date - FL_DATE as int) as DAYS_TO_HOLIDAY
+  from (select d.FL_DATE, h.Date, h.Holiday,
+               row_number() over (partition by d.FL_DATE order by abs(h.Date - d.FL_DATE), h.Date, h.Holiday) as rn
+          from (select distinct FL_DATE from fl) d, hol h) z where rn = 1)""")
 
 # ---------------------------------------------------------------- statistics
 CORR_FEATS = AFEAT_NUM
 
 
-def _corr_rows() -> str:
+def _corr_rows(feats: list[str] = CORR_FEATS, src: str = "afeat", by: str = "") -> str:
     rows = []
-    for i, a in enumerate(CORR_FEATS):
-        for b in CORR_FEATS[i + 1:]:
+    key, group = (f"{by}, ", f" group by {by}") if by else ("", "")
+    for i, a in enumerate(feats):
+        for b in feats[i + 1:]:
             e = (f"case when stddev_pop({a}) = 0 or stddev_pop({b}) = 0 then null else corr({a}, {b}) end")
-            rows.append(f"select '{a}' as F1, '{b}' as F2, round({e}, 6) as CORR from afeat")
-            rows.append(f"select '{b}' as F1, '{a}' as F2, round({e}, 6) as CORR from afeat")
-        rows.append(f"select '{a}' as F1, '{a}' as F2, case when stddev_pop({a}) > 0 then 1.0 end as CORR from afeat")
+            rows.append(f"select {key}'{a}' as F1, '{b}' as F2, round({e}, 6) as CORR from {src}{group}")
+            rows.append(f"select {key}'{b}' as F1, '{a}' as F2, round({e}, 6) as CORR from {src}{group}")
+        rows.append(f"select {key}'{a}' as F1, '{a}' as F2, case when stddev_pop({a}) > 0 then 1.0 end as CORR "
+                    f"from {src}{group}")
     return " union all ".join(rows)
 
 
 ORACLE["stat_corr_matrix"] = Q(f"select * from ({_corr_rows()}) c")
+RFEAT_NUM = ["FLIGHTS", "CARRIER", "DISTANCE", "AIR_TIME", "AVE_SPEED"] + ROUTE_NORM
+ORACLE["stat_corr_route"] = Q(f"select * from ({_corr_rows(RFEAT_NUM, 'rfeat')}) c")
+ORACLE["stat_corr_by_year"] = Q(f"select * from ({_corr_rows(['SEC_DEL', 'WEA_DEL', 'LAT', 'LON'], 'afeat', 'YEAR')}) c")
+ORACLE["stat_variance_route"] = Q(" union all ".join(
+    f"select '{c}' as FEATURE, round(var_samp({c}), 6) as VARIANCE from rfeat" for c in RFEAT_NUM))
 ORACLE["stat_corr_filter"] = Q(f"""
 select F1 as FEATURE, max(abs(CORR)) as MAX_ABS_CORR, coalesce(max(abs(CORR)) < 0.5, true) as LOW
   from ({_corr_rows()}) c where F1 <> F2 group by F1""")
@@ -430,4 +451,11 @@ select YEAR, IATA, cast(dense_rank() over (partition by YEAR order by C2) - 1 as
   from (select a.YEAR, a.IATA, case when n.n < 3 then 10000 else a.CLASS end as C2
           from as6 a join (select YEAR, CLASS, count(*) as n from as6 group by YEAR, CLASS) n
             on n.YEAR = a.YEAR and n.CLASS = a.CLASS) z""")
-ORACLE["ml_merge_map"] = Q("select YEAR, IATA, case CLASS when 5 then 1 when 4 then 3 else CLASS end as CLASS from as6")
+ORACLE["ml_merge_map"] = Q("select YEAR, IATA, case CLASS when 6 then 1 when 8 then 3 else CLASS end as CLASS from as10")
+ORACLE["ml_pca_norms"] = Q("select f.YEAR, f.IATA, round(" + " + ".join(
+    f"(f.{c} - m.{c}) * (f.{c} - m.{c})" for c in CL_FEATS) + ", 4) as D2 from afeat f, (select " + ", ".join(
+    f"avg({c}) as {c}" for c in CL_FEATS) + " from afeat) m")
+ORACLE["ml_kmeans_nearest"] = Q("select YEAR, IATA, true as NEAREST, true as MEAN from afeat")
+ORACLE["ml_total_ss"] = Q(" union all ".join(
+    f"select '{c}' as FEATURE, round(case when stddev_pop({c}) > 0 then count({c}) else 0 end, 4)::double as SSE from afeat"
+    for c in ["SEC_DEL", "WEA_DEL", "LAT", "LON"]))

@@ -26,9 +26,11 @@ from tarmac.streaming.ingest import ingest_available, read_table
 ONTIME_NAMES = [c for c, _ in CAMEL_COLUMNS]
 
 
-def _years(c: Ctx) -> list[int]:
-    """The (few) distinct years of the data, for per-year file layouts."""
-    return sorted(r["YEAR"] for r in c.fl.select("YEAR").distinct().collect())
+def append_months(df: DataFrame, path: str) -> None:
+    """SNK-01: add months to a table laid out by (YEAR, MONTH); months that
+    are there already are replaced, so a month can be run again."""
+    (df.repartition("YEAR", "MONTH").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("YEAR", "MONTH").parquet(path))
 
 
 @query("src_ontime_scan")
@@ -57,9 +59,9 @@ def q_src_airport_coords(c: Ctx) -> DataFrame:
 @query("src_airport_ranks")
 def q_src_airport_ranks(c: Ctx) -> DataFrame:
     path = scratch_path(c.spark, "ranks")
-    years = [y for y in _years(c) if y <= 2015]
+    years = sorted(r["Year"] for r in c.ranks.select("Year").distinct().collect())
     files.land_rank_years(c.ranks, path, years)
-    return files.read_rank_years(c.spark, path, years)
+    return files.read_rank_years(c.spark, path)
 
 
 def _lookup(c: Ctx, name: str, df: DataFrame) -> DataFrame:
@@ -146,11 +148,14 @@ def q_src_table(c: Ctx) -> DataFrame:
 
 @query("snk_append")
 def q_snk_append(c: Ctx) -> DataFrame:
-    """SNK-01: append two batches to one table."""
+    """SNK-01: two batches of months appended to one table, the first of them
+    twice: a re-run replaces its months and leaves every row once."""
     path = scratch_path(c.spark, "append")
-    c.subset.where(F.col("YEAR") <= 2012).write.mode("append").parquet(path)
-    c.subset.where(F.col("YEAR") > 2012).write.mode("append").parquet(path)
-    return c.spark.read.parquet(path)
+    first = c.subset.where(F.col("YEAR") <= 2012)
+    append_months(first, path)
+    append_months(c.subset.where(F.col("YEAR") > 2012), path)
+    append_months(first, path)
+    return c.spark.read.parquet(path).select(*c.subset.columns)
 
 
 @query("snk_create")
@@ -182,21 +187,29 @@ def q_snk_materialize(c: Ctx) -> DataFrame:
 def q_snk_model_params(c: Ctx) -> DataFrame:
     """SNK-07: fitted model parameters stored as a table and reloaded."""
     path = scratch_path(c.spark, "model")
-    train, _ = cls.training_frame(c.subset)
-    model = cls.fit(train)
-    model.table(c.spark).write.mode("overwrite").parquet(path)
-    t = c.spark.read.parquet(path)
+    cls.save(cls.fit(c.train), c.train_codes, path)
+    model, _ = cls.load(c.spark, path)
+    t = model.table(c.spark)
     return t.select("CLASS", "N", *[F.round(x, 6).alias(x) for x in t.columns[2:]])
 
 
+@query("snk_model_score")
+def q_snk_model_score(c: Ctx) -> DataFrame:
+    """SNK-07: parameters and label codes stored, both reloaded, and requests
+    scored with what was read back."""
+    from tarmac.operators.summary import parse_requests
+
+    path = scratch_path(c.spark, "model")
+    cls.save(cls.fit(c.train), c.train_codes, path)
+    model, codes = cls.load(c.spark, path)
+    return cls.score_requests(parse_requests(c.requests), codes, model)
+
+
 @query("snk_partitioned_layout")
 def q_snk_partitioned_layout(c: Ctx) -> DataFrame:
     """SNK-08: (YEAR, MONTH) partitioned layout; a month read prunes to one
     folder (PartitionFilters in the scan)."""
-    path = scratch_path(c.spark, "layout")
-    (c.fl.sortWithinPartitions("YEAR", "MONTH", "FL_DATE").write.mode("overwrite")
-     .partitionBy("YEAR", "MONTH").parquet(path))
-    t = c.spark.read.parquet(path)
+    t = c.monthly_layout
     return t.where((F.col("YEAR") == 2012) & (F.col("MONTH") == 6)).select(
         "YEAR", "MONTH", "FL_DATE", "CARRIER", "ORIGIN", "DEST", "ARR_DELAY")
 

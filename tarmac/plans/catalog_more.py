@@ -13,7 +13,7 @@ from tarmac.operators import clean, cluster, joins, reshape, stats
 from tarmac.operators.aggregates import top_per_year
 from tarmac.plans import dims
 from tarmac.plans import features as feat
-from tarmac.plans.context import Ctx
+from tarmac.plans.context import TOP_AIRPORTS, Ctx
 from tarmac.registry import query
 from tarmac.sources.tables import CAUSE_COLUMNS
 from tarmac.session import cut_lineage
@@ -35,7 +35,7 @@ def q_src_flights(c: Ctx) -> DataFrame:
 def model_data(c: Ctx) -> DataFrame:
     """The modelling query: flights between large hubs by carriers flying
     in every year up to 2015, booking-time columns with short aliases."""
-    carriers = dims.major_carriers(c.fl, max_year=2015)
+    carriers = c.model_carriers
     h = c.hubs.select("Locid")
     return (c.fl.join(carriers, "CARRIER", "left_semi")
             .join(h.withColumnRenamed("Locid", "ORIGIN"), "ORIGIN", "left_semi")
@@ -73,12 +73,15 @@ def q_prj_upper_names(c: Ctx) -> DataFrame:
     return r.toDF(*[x.upper() for x in r.columns])
 
 
-def _sample_camel(c: Ctx) -> DataFrame:
-    """The EDA sample in the camel-case layout."""
+SAMPLE_YEAR = 2010  # the reference's sample
+
+
+def _sample_camel(c: Ctx, year: int = SAMPLE_YEAR) -> DataFrame:
+    """The EDA sample (one year) in the camel-case layout."""
     s = c.camel.alias("s")
     carriers = c.major_airlines.select(F.col("CARRIER").alias("Carrier"))
     h = c.hubs.select("Locid")
-    return (s.where(F.col("Year") == 2010).join(carriers, "Carrier", "left_semi")
+    return (s.where(F.col("Year") == year).join(carriers, "Carrier", "left_semi")
             .join(h.withColumnRenamed("Locid", "Origin"), "Origin", "left_semi")
             .join(h.withColumnRenamed("Locid", "Dest"), "Dest", "left_semi"))
 
@@ -193,7 +196,7 @@ def q_agg_value_counts(c: Ctx) -> DataFrame:
 def q_agg_mode(c: Ctx) -> DataFrame:
     """AGG-14: mode of every column of the raw table (lowest on ties)."""
     m = clean.mode_table(c.fl, c.fl.columns)
-    return m.select("FEATURE", F.round("NUM", 6).alias("NUM"), "STR")
+    return m.select("FEATURE", F.round(F.coalesce(F.col("INT").cast("double"), F.col("NUM")), 6).alias("NUM"), "STR")
 
 
 @query("agg_airport_mean")
@@ -210,7 +213,7 @@ def q_win_airport_day_traffic(c: Ctx) -> DataFrame:
 # ------------------------------------------------------------- windows
 @query("win_top_airports")
 def q_win_top_airports(c: Ctx) -> DataFrame:
-    return top_per_year(c.fl, "ORIGIN", 12)
+    return top_per_year(c.fl, "ORIGIN", TOP_AIRPORTS)
 
 
 @query("win_row_percent")
@@ -277,20 +280,14 @@ def q_srt_topk(c: Ctx) -> DataFrame:
 # ------------------------------------------------------------- set ops
 @query("set_union_all")
 def q_set_union_all(c: Ctx) -> DataFrame:
-    """SET-01: per-year slices re-assembled with unionByName (the plan is
-    one scan per slice; in the library the loop is not needed at all)."""
-    base = c.airport_base
-    years = [2010, 2011, 2012, 2013, 2014, 2015, 2016]
-    parts = [base.where(F.col("YEAR") == y) for y in years]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """SET-01: per-year slices put together again. One table holds all
+    years, so the union over slices is the scan itself, whatever the years."""
+    return c.airport_base
 
 
 @query("set_major_airports")
 def q_set_major_airports(c: Ctx) -> DataFrame:
-    return dims.major_airport_codes(c.fl, 12)
+    return dims.major_airport_codes(c.fl, TOP_AIRPORTS)
 
 
 @query("set_carrier_exclusion")
@@ -305,6 +302,12 @@ def q_fn_iso_week(c: Ctx) -> DataFrame:
     return d.withColumn("WEEK", fd.iso_week("YEAR", "MONTH", "DAY_OF_MONTH"))
 
 
+def _calendar(c: Ctx) -> DataFrame:
+    """Holidays from a year before the data to a year after: observed dates
+    move over New Year, and the nearest holiday may lie beyond the data."""
+    return fd.holidays(fd.years_around(c.fl.select("YEAR")))
+
+
 def _holidays(c: Ctx) -> DataFrame:
     return fd.holidays(c.fl.select("YEAR"))
 
@@ -474,8 +477,8 @@ def q_join_rank_left(c: Ctx) -> DataFrame:
     return joins.rank_left(cl, c.ranks)
 
 
-def _hub_airports(c: Ctx) -> DataFrame:
-    cl = _airport_classes(c).join(c.hubs, F.col("IATA") == F.col("Locid"), "left_semi")
+def _hub_airports(c: Ctx, classes: DataFrame | None = None) -> DataFrame:
+    cl = (_airport_classes(c) if classes is None else classes).join(c.hubs, F.col("IATA") == F.col("Locid"), "left_semi")
     return joins.rank_left(cl, c.ranks)
 
 
@@ -491,11 +494,16 @@ def q_join_flight_dest(c: Ctx) -> DataFrame:
 
 @query("join_model_table")
 def q_join_model_table(c: Ctx) -> DataFrame:
-    """JOIN-06: flights + origin / destination airport classes and ranks +
-    route class -> the 21-column modelling table."""
-    ha = _hub_airports(c)
+    """JOIN-06 with classes of fixed centroids, which SQL can reproduce;
+    ``pipe_model_table`` is the same table with the k-means classes."""
+    return model_table(c, _airport_classes(c), feat.route_classes(c.route_features))
+
+
+def model_table(c: Ctx, airport_classes: DataFrame, rc: DataFrame) -> DataFrame:
+    """Flights + origin / destination airport classes and ranks + route class
+    -> the 21-column modelling table."""
+    ha = _hub_airports(c, airport_classes)
     j = joins.role_join(joins.role_join(model_data(c), ha, "ORIGIN", "ORIG"), ha, "DEST", "DEST")
-    rc = feat.route_classes(c.route_features)
     j = j.join(rc, ["YEAR", "ORIGIN", "DEST"], "left")
     return j.select("YEAR", "MONTH", "DAY_OF_MONTH", "DAY_OF_WEEK", "ORIGIN", "DEST", "CARRIER", "DEP_DEL",
                     "DDEL1", "DDEL2",
@@ -531,12 +539,19 @@ def q_join_name_code(c: Ctx) -> DataFrame:
 @query("join_holiday_week")
 def q_join_holiday_week(c: Ctx) -> DataFrame:
     wk = c.fl.groupBy("YEAR", "WEEK_OF_YEAR").agg(F.sum("FLIGHTS").alias("FLIGHTS"))
-    return joins.holiday_week(wk, _holidays(c))
+    return joins.holiday_week(wk, _calendar(c))
 
 
 @query("join_nearest_holiday")
 def q_join_nearest_holiday(c: Ctx) -> DataFrame:
-    return joins.nearest_holiday(c.fl, _holidays(c))
+    return joins.nearest_holiday(c.fl, _calendar(c))
+
+
+@query("join_flight_holiday")
+def q_join_flight_holiday(c: Ctx) -> DataFrame:
+    """JOIN-10: the nearest holiday of every flight (found once per date)."""
+    near = joins.nearest_holiday(c.fl, _calendar(c))
+    return c.fl.select("FL_DATE", "CARRIER", "ORIGIN", "DEST", "ARR_DELAY").join(near, "FL_DATE", "left")
 
 
 # ------------------------------------------------------------- statistics
@@ -550,6 +565,33 @@ def _airport_feature_cols(f: DataFrame) -> list[str]:
     return [x for x in f.columns if x not in ("YEAR", "IATA")]
 
 
+def _route_feature_cols(f: DataFrame) -> list[str]:
+    return [x for x in f.columns if x not in ("YEAR", "ORIGIN", "DEST")]
+
+
+@query("stat_variance_route")
+def q_stat_variance_route(c: Ctx) -> DataFrame:
+    return clean.variance_profile(c.route_features.drop("YEAR")).drop("LOW")
+
+
+@query("stat_corr_route")
+def q_stat_corr_route(c: Ctx) -> DataFrame:
+    f = c.route_features
+    return stats.corr_matrix(f, _route_feature_cols(f))
+
+
+@query("stat_corr_by_year")
+def q_stat_corr_by_year(c: Ctx) -> DataFrame:
+    """STA-02 per year, on the four features of the yearly clustering."""
+    return stats.corr_matrix(c.airport_features, feat.AIRPORT_YEAR_FEATURES, ["YEAR"])
+
+
+@query("prj_drop_low_variance")
+def q_prj_drop_low_variance(c: Ctx) -> DataFrame:
+    """PRJ-03: the airport features without those of low variance."""
+    return clean.drop_low_variance(c.airport_features, _airport_feature_cols(c.airport_features))
+
+
 @query("stat_corr_matrix")
 def q_stat_corr_matrix(c: Ctx) -> DataFrame:
     f = c.airport_features
@@ -629,5 +671,5 @@ def q_ml_merge_small(c: Ctx) -> DataFrame:
 
 @query("ml_merge_map")
 def q_ml_merge_map(c: Ctx) -> DataFrame:
-    a = _fixed_airport_assign(c, 6).select("YEAR", "IATA", "CLASS")
-    return cluster.merge_map(a, {5: 1, 4: 3})
+    a = _fixed_airport_assign(c, feat.AIRPORT_K).select("YEAR", "IATA", "CLASS")
+    return cluster.merge_map(a, feat.AIRPORT_MERGE)

@@ -17,14 +17,13 @@ from tarmac.operators.aggregates import top_per_year
 def major_carriers(fl: DataFrame, max_year: int | None = None) -> DataFrame:
     """PRE-09: carriers with flights in every year present in the data.
 
-    (YEAR, CARRIER) is reduced first (partial aggregate), then the number of
-    years per carrier is compared with the number of years overall, which is
-    a one-row scalar subquery.
+    (YEAR, CARRIER) is reduced first (partial aggregate); years per carrier
+    and years overall (a one-row scalar subquery) are counted from it.
     """
     src = fl if max_year is None else fl.where(F.col("YEAR") <= max_year)
-    yc = src.where(F.col("CARRIER").isNotNull()).groupBy("CARRIER", "YEAR").agg(F.count(F.lit(1)).alias("n"))
-    n_years = src.select(F.countDistinct("YEAR")).scalar()
-    return (yc.groupBy("CARRIER").agg(F.count(F.lit(1)).alias("N_YEARS"))
+    yc = src.groupBy("CARRIER", "YEAR").agg(F.count(F.lit(1)).alias("n"))
+    n_years = yc.select(F.countDistinct("YEAR")).scalar()
+    return (yc.where(F.col("CARRIER").isNotNull()).groupBy("CARRIER").agg(F.count(F.lit(1)).alias("N_YEARS"))
             .where(F.col("N_YEARS") == n_years).select("CARRIER"))
 
 
@@ -35,12 +34,12 @@ def major_airlines(fl: DataFrame, carriers: DataFrame) -> DataFrame:
             .select(F.col("Code").alias("CARRIER"), F.col("Description").alias("CARRIER_NM")).distinct())
 
 
-def major_airport_codes(fl: DataFrame, limit: int = 12) -> DataFrame:
+def major_airport_codes(fl: DataFrame, limit: int = 20) -> DataFrame:
     """SET-02: union over years of the per-year top airports."""
     return top_per_year(fl, "ORIGIN", limit).select("ORIGIN").distinct()
 
 
-def major_airports(fl: DataFrame, airports: DataFrame, limit: int = 12) -> DataFrame:
+def major_airports(fl: DataFrame, airports: DataFrame, limit: int = 20) -> DataFrame:
     """SUM-06: major airports with names and coordinates."""
     codes = major_airport_codes(fl, limit)
     return (airports.join(codes, airports.iata == codes.ORIGIN, "left_semi")

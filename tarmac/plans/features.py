@@ -20,10 +20,14 @@ ROUTE_NUMERIC = ["FLIGHTS", "CARRIER", "DEP_DEL", "ARR_DEL", "DISTANCE", "AIR_TI
                  "ADEL2", "DIVERTED", "CANCELLED", "SEC_DEL", "CAR_DEL", "NAS_DEL", "WEA_DEL", "LAD_DEL"]
 ROUTE_NORM = ["DEP_DEL", "ARR_DEL", "DDEL1", "DDEL2", "ADEL1", "ADEL2", "DIVERTED", "CANCELLED", "SEC_DEL",
               "CAR_DEL", "NAS_DEL", "WEA_DEL", "LAD_DEL", "REC_TIME", "REL_DDEL", "REL_ADEL", "REL_RTIME"]
-AIRPORT_CLUSTER_FEATURES = ["DEP_DEL", "DDEL2", "CANCELLED", "ARR_DEL", "ADEL2", "DIVERTED"]
+AIRPORT_CLUSTER_FEATURES = ["REC_TIME", "LAD_DEL", "CAR_DEL", "NAS_DEL", "WEA_DEL", "SEC_DEL"]
 AIRPORT_YEAR_FEATURES = ["SEC_DEL", "WEA_DEL", "LAT", "LON"]
-ROUTE_CLUSTER_FEATURES = ["DEP_DEL", "ARR_DEL", "DDEL2", "ADEL2", "CANCELLED", "AVE_SPEED"]
+ROUTE_CLUSTER_FEATURES = ROUTE_NUMERIC + ["AVE_SPEED", "REC_TIME", "REL_DDEL", "REL_ADEL", "REL_RTIME"]
 GEO = ["LAT", "LON"]
+# Clusters and manual class merges {from: to} of the reference (fixed values).
+AIRPORT_K, GEO_K, ROUTE_K = 10, 6, 21
+AIRPORT_MERGE, GEO_MERGE = {6: 1, 8: 3}, {3: 4}
+SEED = 1234
 
 
 def airport_base(fl: DataFrame, airports: DataFrame) -> DataFrame:
@@ -69,7 +73,36 @@ def airport_classes(features: DataFrame, k1: int = 4, k2: int = 3) -> DataFrame:
 
 
 def route_classes(features: DataFrame, k: int = 5) -> DataFrame:
-    """Deterministic route classes (fixed first-k-rows centroids)."""
-    cen = cluster.first_rows(features, ["YEAR", "ORIGIN", "DEST"], ROUTE_CLUSTER_FEATURES, k)
-    return features.select("YEAR", "ORIGIN", "DEST",
-                           cluster.nearest(ROUTE_CLUSTER_FEATURES, cen)["id"].alias("C"))
+    """Deterministic route classes: fixed first-k-rows centroids on the 22
+    scaled features."""
+    scaled = scaled_routes(features)
+    cen = cluster.first_rows(scaled, ["YEAR", "ORIGIN", "DEST"], ROUTE_CLUSTER_FEATURES, k)
+    return scaled.select("YEAR", "ORIGIN", "DEST",
+                         cluster.nearest(ROUTE_CLUSTER_FEATURES, cen)["id"].alias("C"))
+
+
+def scaled_routes(features: DataFrame) -> DataFrame:
+    """All 22 route features, imputed (a ratio over zero air time takes the
+    feature's mode) and standard-scaled."""
+    return cluster.standard_scale(clean.impute_modes(features, ROUTE_CLUSTER_FEATURES), ROUTE_CLUSTER_FEATURES)
+
+
+def airport_clusters(features: DataFrame) -> DataFrame:
+    """ML-14, the cluster table: the feature table with C1 (k-means on two
+    principal components of the six delay features) and C2 (k-means on the
+    coordinates), each with its manual merge."""
+    pcs, _ = cluster.pca(features, AIRPORT_CLUSTER_FEATURES, 2, ["YEAR", "IATA"])
+    c1, _, _ = cluster.kmeans(pcs, ["PC1", "PC2"], AIRPORT_K, SEED, name="C1")
+    c2, _, _ = cluster.kmeans(features.select("YEAR", "IATA", *GEO), GEO, GEO_K, SEED, name="C2")
+    c1 = cluster.merge_map(c1, AIRPORT_MERGE, "C1").select("YEAR", "IATA", F.col("C1").cast("int").alias("C1"))
+    c2 = cluster.merge_map(c2, GEO_MERGE, "C2").select("YEAR", "IATA", F.col("C2").cast("int").alias("C2"))
+    return features.join(c1, ["YEAR", "IATA"]).join(c2, ["YEAR", "IATA"])
+
+
+def route_clusters(features: DataFrame) -> DataFrame:
+    """ML-15, the cluster table: route features with C (k-means on two
+    principal components of the 22 scaled features)."""
+    pcs, _ = cluster.pca(scaled_routes(features), ROUTE_CLUSTER_FEATURES, 2, ["YEAR", "ORIGIN", "DEST"])
+    c, _, _ = cluster.kmeans(pcs, ["PC1", "PC2"], ROUTE_K, SEED, name="C")
+    return features.join(c.select("YEAR", "ORIGIN", "DEST", F.col("C").cast("int").alias("C")),
+                         ["YEAR", "ORIGIN", "DEST"])

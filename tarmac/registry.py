@@ -199,9 +199,10 @@ def q_cls_score_requests(c: Ctx) -> DataFrame:
 @query("pipe_request_answer")
 def q_pipe_request_answer(c: Ctx) -> DataFrame:
     _, codes, model = _trained(c)
-    scored = cls.score_requests(sm.parse_requests(c.requests), codes, model)
-    return sm.request_answer(scored, sm.origin_summary(c.subset), sm.destination_summary(c.subset),
-                             sm.route_summary(c.subset))
+    parsed = sm.parse_requests(c.requests)
+    sub = sm.requested_slices(c.subset, parsed)
+    return sm.request_answer(cls.score_requests(parsed, codes, model), sm.origin_summary(sub),
+                             sm.destination_summary(sub), sm.route_summary(sub))
 
 
 @query("cls_proba_histogram")

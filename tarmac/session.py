@@ -4,7 +4,6 @@ scratch location that jobs write intermediate tables to.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -33,10 +32,11 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "tarma
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
         # small row groups so that the few-MB test tables still split across
         # all local cores (clusters keep the 128 MB default)
         .config("spark.hadoop.parquet.block.size", str(4 * 1024 * 1024))
+        .config("spark.sql.files.minPartitionNum", str(cores))
     )
     for k, v in BASE_CONF.items():
         builder = builder.config(k, v)
@@ -47,35 +47,51 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "tarma
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``
+    as a fully qualified URI.
 
     On a cluster the folder is provided by the deployment (a shared file
-    system every executor can reach). Only when it is unset -- local tests --
-    a private folder is created and registered.
+    system every executor can reach) and a session without one is refused.
+    Only in local mode, where driver and executors are one process, a private
+    folder is created and registered when the setting is absent.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="tarmac-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-        spark.sparkContext.setCheckpointDir(d)
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
-    return d
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
+    return qualified(spark, d)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and authority of the file system it is on, so
+    that Spark and other readers resolve it alike."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    uri = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return "file://" + uri[len("file:"):] if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder below the shared checkpoint location."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, "tarmac-scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tarmac-scratch/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def release(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder whose contents nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def cut_lineage(df):
-    """Reliable checkpoint into the shared folder: the data is written once
-    and later stages (a fit and its transform) read it instead of
+    """Write the data once as Parquet into the shared folder: later stages (a
+    fit and its transform) read it, with pruned columns, instead of
     recomputing the input; a lost executor does not lose it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

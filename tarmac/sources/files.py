@@ -4,7 +4,8 @@ Readers always pass an explicit schema (no inference pass over the data).
 The only Python on the data path is the ZIP decoder: ZIP is not a Spark
 format, so the ``binaryFile`` listing of archives is handed to
 ``mapInPandas``, which opens one archive at a time and yields Arrow batches
-of bounded size. A corrupt archive yields no rows instead of failing the job.
+of bounded size. A corrupt archive yields no rows (``bad_archives`` lists it);
+any other error fails the task.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import io
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -61,44 +63,60 @@ def read_csv_months(spark: SparkSession, path: str, names: list[str]) -> DataFra
 
 
 def _zip_writer(path: str, names: list[str]):
+    """One archive per run of rows of one month; the rows arrive sorted."""
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs as pafs
         from pyspark import TaskContext
 
         ctx = TaskContext.get()
-        pid = ctx.partitionId() if ctx else 0
-        attempt = ctx.attemptNumber() if ctx else 0
+        pid, attempt = (ctx.partitionId(), ctx.attemptNumber()) if ctx else (0, 0)
         filesystem, root = pafs.FileSystem.from_uri(path)
-        for b, pdf in enumerate(batches):
+        month, rows, member, archive, stream, tmp, final = None, 0, None, None, None, "", ""
+
+        def close() -> tuple[int, int, int]:
+            member.close()
+            archive.close()
+            stream.close()
+            filesystem.move(tmp, final)
+            return (*month, rows)
+
+        for pdf in batches:
             out = []
-            for (y, m), part in pdf.groupby(["Year", "Month"]):
-                d = f"{root}/Year={int(y)}/Month={int(m)}"
-                filesystem.create_dir(d, recursive=True)
+            for key, part in pdf.groupby(["Year", "Month"], sort=False):
+                key = tuple(int(k) for k in key)
+                if key != month:
+                    if month is not None:
+                        out.append(close())
+                    month, rows = key, 0
+                    d = f"{root}/Year={key[0]}/Month={key[1]}"
+                    filesystem.create_dir(d, recursive=True)
+                    # one name per partition and month: a retried or
+                    # speculative attempt replaces the file instead of adding
+                    # a duplicate; written under a temporary name, then moved
+                    final = f"{d}/part-{pid:05d}.zip"
+                    tmp = f"{d}/.part-{pid:05d}.zip.{attempt}-{uuid.uuid4().hex[:6]}"
+                    stream = filesystem.open_output_stream(tmp)
+                    archive = zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED)
+                    member = archive.open(f"On_Time_{key[0]}_{key[1]}.csv", "w", force_zip64=True)
+                    member.write((",".join(names) + "\n").encode())
                 buf = io.StringIO()
-                part[names].to_csv(buf, index=False)
-                data = io.BytesIO()
-                with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
-                    z.writestr(f"On_Time_{int(y)}_{int(m)}.csv", buf.getvalue())
-                # deterministic name per (partition, batch, month): a retried
-                # or speculative attempt replaces the file instead of adding a
-                # duplicate; written under a temporary name, then moved
-                final = f"{d}/part-{pid:05d}-{b:05d}.zip"
-                tmp = f"{d}/.part-{pid:05d}-{b:05d}.zip.{attempt}-{uuid.uuid4().hex[:6]}"
-                with filesystem.open_output_stream(tmp) as f:
-                    f.write(data.getvalue())
-                filesystem.move(tmp, final)
-                out.append((int(y), int(m), len(part)))
+                part[names].to_csv(buf, index=False, header=False)
+                member.write(buf.getvalue().encode())
+                rows += len(part)
             yield pd.DataFrame(out, columns=["Year", "Month", "rows"])
+        if month is not None:
+            yield pd.DataFrame([close()], columns=["Year", "Month", "rows"])
     return write
 
 
-def land_zip_months(df: DataFrame, path: str, names: list[str]) -> DataFrame:
-    """Write ZIP'd monthly CSV archives; every task writes its own archives
-    (per batch and month), so no month is gathered into one task. The input
-    is a deterministic scan, so a re-run task sees the same batches and
-    rewrites the same file names."""
-    w = df.select(*names).mapInPandas(_zip_writer(path, names), "Year int, Month int, rows long")
-    return w
+def land_zip_months(df: DataFrame, path: str, names: list[str], salts: int = 4) -> DataFrame:
+    """Write ZIP'd monthly CSV archives: rows are dealt out by month and salt
+    and sorted, and each task streams one archive per month that it holds. A
+    month has at most ``salts`` archives, however many batches there are, and
+    its rows are spread over as many tasks."""
+    salt = F.pmod(F.xxhash64(*names), F.lit(salts))
+    d = df.select(*names).repartition("Year", "Month", salt).sortWithinPartitions("Year", "Month")
+    return d.mapInPandas(_zip_writer(path, names), "Year int, Month int, rows long")
 
 
 def _open_uri(uri: str):
@@ -112,26 +130,56 @@ def _open_uri(uri: str):
     return pafs.FileSystem.from_uri(uri)
 
 
+def _intact(fh) -> zipfile.ZipFile | None:
+    """The archive, if its directory is there and every member decompresses
+    and matches its checksum; else None."""
+    if fh.size() < 22:  # less than an empty directory
+        return None
+    try:
+        z = zipfile.ZipFile(fh)
+        return z if z.testzip() is None else None
+    except (zipfile.BadZipFile, zlib.error, EOFError):
+        return None
+
+
 def _zip_reader(names: list[str], chunk_rows: int = 100_000):
+    """Rows of intact archives. Whether an archive is corrupt is decided
+    before its first chunk leaves; storage and parse errors fail the task, so
+    that Spark retries it, and never lose rows silently."""
     schema = ontime_schema(names)
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for uri in pdf["path"]:
                 filesystem, path = _open_uri(uri)
-                try:
-                    with filesystem.open_input_file(path) as fh, zipfile.ZipFile(fh) as z:
-                        for member in z.namelist():
-                            if not member.lower().endswith(".csv"):
-                                continue
+                with filesystem.open_input_file(path) as fh:
+                    z = _intact(fh)
+                    if z is None:
+                        continue
+                    for member in z.namelist():
+                        if member.lower().endswith(".csv"):
                             with z.open(member) as csv:
                                 for raw in pd.read_csv(csv, dtype=str, keep_default_na=False, chunksize=chunk_rows):
                                     yield _typed(raw, schema)
-                except (zipfile.BadZipFile, OSError, EOFError, ValueError):  # pyarrow: ArrowInvalid
-                    continue
     return decode
 
 
+def _find_bad(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        bad = []
+        for uri in pdf["path"]:
+            filesystem, path = _open_uri(uri)
+            with filesystem.open_input_file(path) as fh:
+                if _intact(fh) is None:
+                    bad.append(uri)
+        yield pd.DataFrame({"path": pd.Series(bad, dtype=object)})
+
+
+def bad_archives(spark: SparkSession, path: str) -> DataFrame:
+    """The archives that ``read_zip_months`` leaves out because they are corrupt."""
+    return _zip_files(spark, path).select("path").mapInPandas(_find_bad, "path string")
+
+
 def _typed(raw: pd.DataFrame, schema: T.StructType) -> pd.DataFrame:
     out = {}
     for f in schema.fields:
@@ -150,6 +198,12 @@ def _typed(raw: pd.DataFrame, schema: T.StructType) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
+def _zip_files(spark: SparkSession, path: str) -> DataFrame:
+    return (spark.read.format("binaryFile").option("pathGlobFilter", "*.zip")
+            .schema("path string, modificationTime timestamp, length long, content binary, Year int, Month int")
+            .load(path))
+
+
 def read_zip_months(spark: SparkSession, path: str, names: list[str],
                     year: int | None = None, month: int | None = None) -> DataFrame:
     """SRC-01: scan ZIP'd monthly CSV archives (optionally one month); a
@@ -161,9 +215,7 @@ def read_zip_months(spark: SparkSession, path: str, names: list[str],
     its archives one at a time and streams the CSV in bounded chunks, so no
     batch ever holds many archives' bytes.
     """
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.zip")
-             .schema("path string, modificationTime timestamp, length long, content binary, Year int, Month int")
-             .load(path))
+    files = _zip_files(spark, path)
     if year is not None:
         files = files.where(F.col("Year") == year)
     if month is not None:
@@ -209,19 +261,12 @@ def land_rank_years(ranks: DataFrame, path: str, years: list[int]) -> None:
          .coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/year={y}"))
 
 
-def read_rank_years(spark: SparkSession, path: str, years: list[int]) -> DataFrame:
-    """SRC-05: read each year's file, rename the last two columns by
-    position, tag the year, union by name, keep six columns."""
-    out = None
-    for y in years:
-        df = spark.read.option("header", True).csv(f"{path}/year={y}")
-        cols = df.columns
-        df = df.withColumnsRenamed({cols[-2]: "Enplanement", cols[-1]: "Change"})
-        df = df.select(F.lit(y).cast("int").alias("Year"), F.col("Rank").cast("int").alias("Rank"), "Locid", "Hub",
-                       F.col("Enplanement").cast("double").alias("Enplanement"),
-                       F.col("Change").cast("double").alias("Change"))
-        out = df if out is None else out.unionByName(df)
-    return out
+def read_rank_years(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-05: one scan over every year's file; columns go by position (the
+    last two headers differ by year), the year is that of the folder."""
+    df = (spark.read.schema("Rank int, Locid string, Hub string, Enplanement double, Change double, year int")
+          .option("header", True).option("enforceSchema", True).csv(path))
+    return df.select(F.col("year").alias("Year"), "Rank", "Locid", "Hub", "Enplanement", "Change")
 
 
 # ------------------------------------------------------------ lookups

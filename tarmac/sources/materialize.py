@@ -1,8 +1,11 @@
 """Load-or-build materialised tables (SNK-05) in the shared checkpoint folder.
 
-A table is built once by a Spark write to ``<name>.tmp-<uuid>`` and then
-renamed into place, so a reader never sees a half-written table and a lost
-executor only retries tasks of the write. Later calls read the parquet back,
+A table is a folder of builds ``g<generation>-<unique>``. A build is written
+by one Spark write into a folder of its own and counts once its ``_SUCCESS``
+marker exists; nothing is renamed, and no build that another job may be
+reading is ever deleted, so this also holds on object stores. Readers take
+the newest generation and, of equal builds, the first by name. A job that
+loses a race discards only its own build. Later calls read the parquet back,
 which also cuts the lineage of everything built on it.
 """
 
@@ -23,9 +26,21 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def builds(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(-generation, folder) of the finished builds, the one to read first."""
     fs, p, jvm = _fs(spark, path)
-    return fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS"))
+    if not fs.exists(p):
+        return []
+    out = []
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if name.startswith("g") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            out.append((-int(name[1:].split("-")[0]), f"{path}/{name}"))
+    return sorted(out)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    return bool(builds(spark, path))
 
 
 def table_path(spark: SparkSession, name: str, *key_parts: str) -> str:
@@ -42,36 +57,33 @@ def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame],
     filters on those columns prune whole folders (PartitionFilters); the
     column order of the built frame is restored on read.
     """
-    if refresh or not exists(spark, path):
-        tmp = f"{path}.tmp-{uuid.uuid4().hex[:8]}"
-        df = build()
-        w = df.write.mode("overwrite")
+    path = path.rstrip("/")
+    found = builds(spark, path)
+    if refresh or not found:
+        generation = 1 - found[0][0] if found else 0
+        mine = f"{path}/g{generation:06d}-{uuid.uuid4().hex[:12]}"
+        w = build().write
         if partition_by:
             w = w.partitionBy(*partition_by)
-        w.parquet(tmp)
-        fs, dst, jvm = _fs(spark, path)
-        if fs.exists(dst):
-            fs.delete(dst, True)
-        if not fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), dst):
-            # another job won the race; its table is equivalent
-            fs.delete(jvm.org.apache.hadoop.fs.Path(tmp), True)
-    out = spark.read.parquet(path)
-    return out
+        w.parquet(mine)
+        found = builds(spark, path)
+        if not refresh and found[0][1] != mine:
+            fs, own, _ = _fs(spark, mine)  # another job was first; its table is equivalent
+            fs.delete(own, True)
+    return spark.read.parquet(found[0][1])
 
 
 def source_key(sf_dir: str, names: list[str], spark: SparkSession | None = None) -> list[str]:
     """Cache key of a derived table: input paths with their size and
-    modification time (through the Hadoop file system, so any storage)."""
+    modification time (through the Hadoop file system, so any storage). A
+    missing or unreadable input raises."""
     parts = [sf_dir.rstrip("/")]
     spark = spark or SparkSession.getActiveSession()
     for n in names:
         p = f"{sf_dir.rstrip('/')}/{n}.parquet"
-        try:
-            fs, path, _ = _fs(spark, p)
-            st = fs.getContentSummary(path)
-            mt = max(f.getModificationTime() for f in fs.listStatus(path)) if fs.getFileStatus(path).isDirectory() \
-                else fs.getFileStatus(path).getModificationTime()
-            parts.append(f"{n}:{st.getLength()}:{mt}")
-        except Exception:  # noqa: BLE001 -- a missing input just does not contribute
-            parts.append(f"{n}:?")
+        fs, path, _ = _fs(spark, p)
+        st = fs.getContentSummary(path)
+        mt = max(f.getModificationTime() for f in fs.listStatus(path)) if fs.getFileStatus(path).isDirectory() \
+            else fs.getFileStatus(path).getModificationTime()
+        parts.append(f"{n}:{st.getLength()}:{mt}")
     return parts

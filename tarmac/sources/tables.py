@@ -52,11 +52,6 @@ def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw flights table (upper snake case, the reference's ``data`` table)."""
     li = load(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate")
-    par = spark.sparkContext.defaultParallelism
-    if li.rdd.getNumPartitions() < par:
-        # a few large row groups (small inputs) would leave cores idle; at
-        # scale the scan has thousands of splits and this never applies
-        li = li.repartition(par)
     o = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     s = load(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     c = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
@@ -254,11 +249,10 @@ def ranks(fl: DataFrame) -> DataFrame:
 def requests(fl: DataFrame) -> DataFrame:
     """Batch of prediction requests ``origin__dest__airline__m/d/yyyy``.
 
-    Every distinct (route, carrier) flown on the 15th of a month in 2012,
-    plus one request with an unknown destination code.
+    Every distinct (route, carrier, date) that was flown, plus one request
+    with an unknown destination code.
     """
-    r = (fl.where((F.col("YEAR") == 2012) & (F.col("DAY_OF_MONTH") == 15))
-         .select("ORIGIN", "DEST", "CARRIER", "YEAR", "MONTH", "DAY_OF_MONTH").distinct()
+    r = (fl.select("ORIGIN", "DEST", "CARRIER", "YEAR", "MONTH", "DAY_OF_MONTH").distinct()
          .select(F.concat_ws("__", "ORIGIN", "DEST", "CARRIER",
                              F.concat_ws("/", F.col("MONTH").cast("string"), F.col("DAY_OF_MONTH").cast("string"),
                                          F.col("YEAR").cast("string"))).alias("variables")))

@@ -18,7 +18,9 @@ from tarmac.sources.files import ontime_schema
 
 
 def ingest_available(spark: SparkSession, landing: str, names: list[str], table: str, checkpoint: str) -> int:
-    """Process every not-yet-seen monthly file; returns the rows written."""
+    """Process every not-yet-seen monthly file; returns the rows written
+    (from the row counts in the table's footers, before and after)."""
+    before = _rows(spark, table)
     schema = ontime_schema(names)
     stream = (spark.readStream.schema(schema).option("header", True).option("dateFormat", "yyyy-MM-dd")
               .option("maxFilesPerTrigger", 1000).csv(landing))
@@ -26,8 +28,15 @@ def ingest_available(spark: SparkSession, landing: str, names: list[str], table:
     q = (out.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
-    progress = q.recentProgress
-    return sum(int(p.get("numInputRows", 0)) for p in progress)
+    return _rows(spark, table) - before
+
+
+def _rows(spark: SparkSession, table: str) -> int:
+    jvm = spark.sparkContext._jvm
+    log = jvm.org.apache.hadoop.fs.Path(f"{table}/_spark_metadata")
+    if not log.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(log):
+        return 0
+    return spark.read.parquet(table).count()
 
 
 def read_table(spark: SparkSession, table: str) -> DataFrame:

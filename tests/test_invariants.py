@@ -73,15 +73,18 @@ def test_zip_source_skips_corrupt_and_missing(spark, ctx):
     # a corrupt archive in one month folder
     import glob
     import os
-    d = glob.glob(f"{path}/Year=2012/Month=6")[0]
+    d = glob.glob(f"{path.removeprefix('file://')}/Year=2012/Month=6")[0]
     with open(os.path.join(d, "part-corrupt.zip"), "wb") as fh:
         fh.write(b"not a zip archive")
     got = files.read_zip_months(spark, path, ONTIME_NAMES)
     assert got.count() == src.count()
     assert files.read_zip_months(spark, path, ONTIME_NAMES, 2013, 1).count() == 0
     assert files.read_zip_months(spark, path, ONTIME_NAMES, 2012, 6).columns == ONTIME_NAMES
+    assert [r["path"].rsplit("/", 1)[1] for r in files.bad_archives(spark, path).collect()] == ["part-corrupt.zip"]
     good = [f for f in glob.glob(f"{d}/*.zip") if "corrupt" not in f]
     assert good and all(zipfile.is_zipfile(f) for f in good)
+    # archives per month do not grow with the number of batches
+    assert len(good) <= 4
     # landing the same data again (a re-run task) replaces, not duplicates
     files.land_zip_months(src, path, ONTIME_NAMES).count()
     assert files.read_zip_months(spark, path, ONTIME_NAMES).count() == src.count()
@@ -139,3 +142,118 @@ def test_materialize_builds_once(spark):
     assert materialize(spark, path, build).count() == 5
     assert len(calls) == 1
     assert materialize(spark, path, build, refresh=True).count() == 5 and len(calls) == 2
+
+
+def test_interleaved_builds_keep_the_first_reader(spark):
+    """A second build of the same table that ends later neither deletes nor
+    changes what the first one's reader reads."""
+    from tarmac.sources.materialize import builds, materialize
+    path = scratch_path(spark, "race")
+    readers = []
+
+    def slow():
+        readers.append(materialize(spark, path, lambda: spark.range(7)))  # the winner, in the meantime
+        return spark.range(7)
+
+    mine = materialize(spark, path, slow)
+    assert readers[0].count() == 7 and mine.count() == 7
+    assert 1 <= len(builds(spark, path)) <= 2
+    newer = materialize(spark, path, lambda: spark.range(3), refresh=True)
+    assert newer.count() == 3 and readers[0].count() == 7
+    assert materialize(spark, path, lambda: spark.range(1)).count() == 3
+
+
+def test_changed_parameter_changes_the_table_key(spark, tmp_path):
+    import shutil
+    from pathlib import Path
+
+    import tarmac
+    from tarmac.plans.context import _code_digest
+    from tarmac.sources.materialize import source_key, table_path
+    root = tmp_path / "tarmac"
+    shutil.copytree(Path(tarmac.__file__).parent, root, ignore=shutil.ignore_patterns("__pycache__", "llm"))
+    before = _code_digest(str(root))
+    for module in ("plans/context.py", "operators/classify.py", "plans/features.py", "sources/tables.py"):
+        text = (root / module).read_text()
+        (root / module).write_text(text + "\n# changed\n")
+        after = _code_digest(str(root))
+        assert after != before, module
+        before = after
+    assert table_path(spark, "t", "a") != table_path(spark, "t", "b")
+    import pytest as _pytest
+    with _pytest.raises(Exception):
+        source_key(str(tmp_path), ["lineitem"], spark)
+
+
+def test_no_private_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest as _pytest
+
+    from tarmac.session import ensure_checkpoint_dir
+    sc = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with _pytest.raises(ValueError):
+        ensure_checkpoint_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=sc))
+
+
+def test_null_features_are_refused_not_dropped(spark):
+    import pytest as _pytest
+
+    from tarmac.operators import clean
+    df = spark.createDataFrame([(1, 1.0, 2.0), (2, 3.0, None), (3, 1.0, 2.0), (4, 5.0, 1.0)], "id int, a double, b double")
+    with _pytest.raises(Exception):
+        cluster.kmeans(df, ["a", "b"], 2)[0].count()
+    out, _, _ = cluster.kmeans(clean.impute_modes(df, ["a", "b"]), ["a", "b"], 2)
+    assert out.count() == 4
+
+
+def test_more_clusters_than_points(spark):
+    df = spark.createDataFrame([(1, 1.0), (2, 3.0), (3, 1.0)], "id int, a double")
+    out, cost, centres = cluster.kmeans(df, ["a"], 10)
+    assert out.count() == 3 and len(centres) <= 3 and cost < 1e-9
+
+
+def test_storage_error_fails_the_task():
+    import pandas as pd
+    import pytest as _pytest
+    decode = files._zip_reader(ONTIME_NAMES)
+    with _pytest.raises(OSError):
+        list(decode(iter([pd.DataFrame({"path": ["file:///no/such/archive.zip"]})])))
+
+
+def test_rerun_month_leaves_each_row_once(spark, ctx):
+    from tarmac.plans.catalog_io import append_months
+    path = scratch_path(spark, "rerun")
+    src = ctx.subset
+    append_months(src.where("YEAR = 2012"), path)
+    append_months(src.where("YEAR = 2013"), path)
+    append_months(src.where("YEAR = 2012 AND MONTH = 3"), path)
+    got = spark.read.parquet(path).select(*src.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, src.where("YEAR IN (2012, 2013)").collect()))
+
+
+def test_yearly_clusters_with_several_classes(ctx):
+    from tarmac.plans.catalog_ml import q_ml_cluster_airports_by_year
+    rows = q_ml_cluster_airports_by_year(ctx, k=3, min_size=1).collect()
+    by_year: dict[int, set[int]] = {}
+    for r in rows:
+        by_year.setdefault(r["YEAR"], set()).add(r["CLASS"])
+    assert all(c == set(range(len(c))) for c in by_year.values())
+    assert max(len(c) for c in by_year.values()) > 1
+    assert len(rows) == ctx.airport_base.count()
+
+
+def test_carrier_exclusion_finds_a_carrier(spark):
+    from tarmac.plans.dims import carrier_exclusion
+    airlines = spark.createDataFrame([("C01", "a"), ("C02", "b"), ("C03", "c")], "CARRIER string, CARRIER_NM string")
+    subset = spark.createDataFrame([("C01",), ("C03",), ("C01",)], "CARRIER string")
+    assert [r["CARRIER"] for r in carrier_exclusion(airlines, subset).collect()] == ["C02"]
+
+
+def test_answer_reads_only_requested_slices(ctx):
+    from tarmac.operators import summary as sm
+    one = sm.parse_requests(ctx.requests.where("variables LIKE '%/2013'"))
+    sub = sm.requested_slices(ctx.subset, one)
+    plan = sub._jdf.queryExecution().toString()
+    assert "LeftSemi" in plan
+    assert {r["YEAR"] for r in sub.select("YEAR").distinct().collect()} <= {2012}

@@ -134,3 +134,91 @@ def test_std_half_tie_rounds_up(spark):
     rows = [(2012, 1, "C01", "A01", "A02", 0.0, 0.0, float(v), 0.0, 0.0, 0.0) for v in (0, 0, 0, 25)]
     r = summary.origin_summary(_sub(spark, rows)).first()
     assert r["std_delay_time"] == 13 and r["mean_delay_time"] == 6
+
+
+def test_mode_keeps_large_and_odd_types(spark):
+    import datetime as dt
+    from decimal import Decimal
+    big = 9007199254740993
+    df = spark.createDataFrame(
+        [(big, True, dt.datetime(2020, 1, 1, 2, 3, 4), Decimal("10.50"), dt.date(2020, 5, 1)),
+         (big, True, dt.datetime(2020, 1, 1, 2, 3, 4), Decimal("9.25"), dt.date(2020, 5, 1)),
+         (big - 1, False, None, Decimal("9.25"), None), (None, None, None, None, None)],
+        "a bigint, b boolean, c timestamp, d decimal(10,2), e date")
+    out = clean.impute_modes(df, df.columns).collect()[-1]
+    assert (out["a"], out["b"], out["d"], out["e"]) == (big, True, Decimal("9.25"), dt.date(2020, 5, 1))
+    assert out["c"] == df.first()["c"] and out["c"] is not None
+
+
+def test_decimal_mode_tie_by_value(spark):
+    from decimal import Decimal
+    df = spark.createDataFrame([(Decimal("10.0"),), (Decimal("9.0"),)], "d decimal(5,1)")
+    assert Decimal(clean.fit_modes(df, ["d"])["d"]) == Decimal("9.0")
+
+
+def test_new_year_observed_in_the_old_year(spark):
+    from tarmac.functions import dates as fd
+    from tarmac.operators import joins
+    years = spark.createDataFrame([(2010,), (2011,)], "YEAR int")
+    weekly = spark.createDataFrame([(2010, 52, 1.0), (2011, 52, 1.0)], "YEAR int, WEEK_OF_YEAR int, FLIGHTS double")
+    got = {r["YEAR"]: r["HOLIDAYS"] for r in joins.holiday_week(weekly, fd.holidays(fd.years_around(years))).collect()}
+    assert "New Year" in got[2010] and "New Year" not in got[2011] and "Christmas" in got[2011]
+
+
+def test_nearest_holiday_beyond_the_data(spark):
+    import datetime as dt
+
+    from tarmac.functions import dates as fd
+    from tarmac.operators import joins
+    fl = spark.createDataFrame([(2010, dt.date(2010, 12, 30)), (2010, dt.date(2010, 1, 2))], "YEAR int, FL_DATE date")
+    near = joins.nearest_holiday(fl, fd.holidays(fd.years_around(fl.select("YEAR"))))
+    got = {r["FL_DATE"]: (r["HOLIDAY_DATE"], r["DAYS_TO_HOLIDAY"]) for r in near.collect()}
+    assert got[dt.date(2010, 12, 30)] == (dt.date(2010, 12, 31), 1)
+
+
+def test_fit_with_one_class_or_no_rows(spark):
+    from tarmac.operators import classify as cls
+    df = spark.createDataFrame([(1, 2, 3, 4, 0.0), (1, 2, 3, 5, 0.0)],
+                               "CARRIER int, ORIGIN int, DEST int, WEEK_OF_YEAR int, ARR_DEL15 double")
+    m = cls.fit(df)
+    assert m.threshold == 0 and {r["PROBA"] for r in cls.proba(df, m).collect()} == {0.0}
+    empty = cls.fit(df.limit(0))
+    assert {r["PROBA"] for r in cls.proba(df, empty).collect()} == {None}
+
+
+def test_model_round_trip(spark):
+    from tarmac.operators import classify as cls
+    from tarmac.session import scratch_path
+    df = spark.createDataFrame([(1, 2, 3, 4, 0.0), (1, 5, 3, 5, 0.0), (2, 2, 3, 9, 1.0), (2, 3, 1, 7, 1.0)],
+                               "CARRIER int, ORIGIN int, DEST int, WEEK_OF_YEAR int, ARR_DEL15 double")
+    codes = {c: spark.createDataFrame([("x", 0), ("y", 1)], "VALUE string, CODE int") for c in cls.ENCODED}
+    path = scratch_path(spark, "model-test")
+    m = cls.fit(df)
+    cls.save(m, codes, path)
+    back, again = cls.load(spark, path)
+    assert back == m and all(again[c].count() == 2 for c in cls.ENCODED)
+
+
+def test_std_of_a_large_slice_is_exact(spark):
+    from pyspark.sql import functions as F
+
+    from tarmac.operators.summary import std_samp
+    df = spark.range(4).select((F.col("id") % 2 * 2 + 30_000_000).cast("double").alias("x"))
+    assert abs(df.agg(std_samp("x").alias("s")).first()["s"] - (4 / 3) ** 0.5) < 1e-12
+
+
+def test_low_variance_columns_are_dropped(spark):
+    df = spark.createDataFrame([(1, 1.0, 5.0), (2, 1.1, 9.0), (3, 1.0, 1.0)], "id int, flat double, wide double")
+    assert clean.drop_low_variance(df, ["flat", "wide"]).columns == ["id", "wide"]
+
+
+def test_quantiles_match_linear_interpolation(spark):
+    import numpy as np
+
+    from tarmac.operators import cluster
+    x = np.random.default_rng(4).integers(0, 50, 301).astype(float)
+    df = spark.createDataFrame([(float(v), float(-v * v)) for v in x] + [(None, 1.0)], "a double, b double")
+    got = {(r["FEATURE"], r["SHARE"]): r["VALUE"] for r in cluster.quantiles(df, ["a", "b"]).collect()}
+    for s in (0.25, 0.5, 0.75):
+        assert abs(got["a", s] - np.quantile(x, s)) < 1e-9
+        assert abs(got["b", s] - np.quantile(np.append(-x * x, 1.0), s)) < 1e-9
