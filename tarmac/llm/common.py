@@ -34,7 +34,7 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def running_sum(df: DataFrame, group: list[str], order: str, value: str, out: str, block: int = 1024) -> DataFrame:
+def running_sum(df: DataFrame, group: list[str], order: str, value: str, out: str, block: int = 128) -> DataFrame:
     """``out`` = sum of ``value`` over rows of the group with a smaller ``order``.
 
     ``order`` is a non-negative integer, unique in its group. Rows are summed inside

@@ -89,14 +89,15 @@ def every_limit(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """For each occurring length taken as the limit: documents and tokens up to it, the share
     of documents (the quantile that the length is), and all tokens after cutting at it."""
     h = stored(histogram(docs, vocabulary), "token-sums")
-    total = h.agg(F.sum("n_docs").alias("all_docs"), F.sum("tokens").alias("all_tokens"))
+    total = h.agg(F.sum("n_docs"), F.sum("tokens")).first()
+    all_docs, all_tokens = (F.lit(n).cast("long") for n in total)
     docs_fit = F.col("docs_below") + F.col("n_docs")
     tokens_fit = F.col("tokens_below") + F.col("tokens")
-    return h.join(total, F.lit(True)).select(
+    return h.select(
         "length", "n_docs", docs_fit.alias("docs_fit"), tokens_fit.alias("tokens_fit"),
-        (docs_fit / F.col("all_docs")).alias("quantile"),
-        (tokens_fit + F.col("length") * (F.col("all_docs") - docs_fit)).alias("truncated_tokens"),
-        F.col("all_docs").alias("total_docs"), F.col("all_tokens").alias("total_tokens"))
+        (docs_fit / all_docs).alias("quantile"),
+        (tokens_fit + F.col("length") * (all_docs - docs_fit)).alias("truncated_tokens"),
+        all_docs.alias("total_docs"), all_tokens.alias("total_tokens"))
 
 
 def at_limits(sums: DataFrame, limits=LIMITS) -> DataFrame:
