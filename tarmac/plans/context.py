@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.plans import dims
+from tarmac.session import ship_package
 from tarmac.sources import tables
 from tarmac.sources.materialize import materialize, source_key, table_path
 
@@ -42,6 +43,7 @@ class Ctx:
     fresh tag so that it measures the builds)."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, tag: str = ""):
+        ship_package(spark)
         self.spark = spark
         self.sf_dir = sf_dir
         self.tag = tag

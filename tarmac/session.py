@@ -6,6 +6,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -43,9 +45,26 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "tarma
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors (once a session), so that Python
+    workers find it wherever they start; what ``--py-files`` does for a
+    submitted job."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tarmac_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="tarmac-ship-")) / "tarmac.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    sc.addPyFile(str(target))
+    sc._tarmac_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``
     as a fully qualified URI.
