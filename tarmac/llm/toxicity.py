@@ -4,8 +4,10 @@ Folding lower-cases, strips accents, maps look-alike letters of other scripts an
 signs used as letters to the letter they imitate, and turns everything else into blanks.
 
 The lexicon is learned from labelled training rows: words and word beginnings that toxic texts
-use far more often than others, each weighted by its log odds. Of nested entries the longest
-that still covers nearly all uses stays. Phrases of an entry with its neighbour that only
+use far more often than others, each weighted by its log odds. An entry needs uses in MIN_USES and a share of MIN_SHARE of
+the different toxic training texts, beside as many different pairs of words, so that a text's
+copies and near copies teach no words. Of nested entries
+the longest that still covers nearly all uses stays. Phrases of an entry with its neighbour that only
 non-toxic texts use are exceptions and cancel the entry's match. A text's evidence is the sum
 of its matched weights divided by a length that grows with the text; a logistic curve fitted
 on the training rows turns evidence into a score.
@@ -38,7 +40,7 @@ from tarmac.llm.common import stored, text_of
 
 MAX_TRAIN = 20_000
 MAX_ENTRIES = 5_000
-MIN_USES = 5
+MIN_USES, MIN_SHARE = 5, 0.01
 MIN_ODDS = 3.0
 COVERS = 0.9
 BRANCHES = 3
@@ -152,7 +154,7 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def learn(train: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Lexicon, exceptions and curve from rows (t, toxic); a few small jobs over bounded rows."""
-    train = stored(train, "toxic-train")
+    train = stored(train.dropDuplicates(["t", "toxic"]), "toxic-train")
     size = {int(r["toxic"] != 0): r["n"] for r in train.groupBy((F.col("toxic") != 0).cast("int").alias("toxic"))
             .agg(F.count(F.lit(1)).alias("n")).collect()}
     clean, toxic = size.get(0, 0), size.get(1, 0)
@@ -167,8 +169,9 @@ def learn(train: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon
         .groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     whole = words.where(F.length("word") >= 2).select(F.concat(F.lit(" "), "word", F.lit(" ")).alias("entry"), "clean", "toxic")
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
-    found = begins.unionByName(whole).where(F.col("toxic") >= MIN_USES).withColumn("odds", odds) \
+    found = begins.unionByName(whole).where(F.col("toxic") >= max(MIN_USES, MIN_SHARE * toxic)).withColumn("odds", odds) \
         .where(F.col("odds") >= MIN_ODDS).orderBy(F.desc("toxic"), F.desc("odds"), "entry").limit(MAX_ENTRIES).toPandas()
+    found = _varied(train, found, max(MIN_USES, MIN_SHARE * toxic))
     entries = _outermost(found)
     lexicon = Lexicon(entries, exceptions)
     lexicon.exceptions = (*exceptions, *_spared(train, lexicon))
@@ -176,6 +179,30 @@ def learn(train: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon
     return lexicon
 
 
+def _around(folded: str, a: int, b: int) -> tuple[str, str, str]:
+    """The word that a match lies in, and its neighbours."""
+    end = folded.index(" ", b - 1)
+    return folded[a + 1:end], folded[:a].rsplit(" ", 1)[-1], folded[end + 1:].split(" ", 1)[0]
+
+
+def _varied(train: DataFrame, found: pd.DataFrame, least: float) -> pd.DataFrame:
+    """The entries that toxic texts use beside at least ``least`` different pairs of words."""
+    candidates = Lexicon(dict.fromkeys(found["entry"], 1.0))
+
+    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = candidates.automaton()
+        for batch in batches:
+            seen = set()
+            for folded in map(fold, batch["t"]):
+                for a, b, _ in matches(automaton, folded):
+                    seen.add((folded[a:b], *_around(folded, a, b)[1:]))
+            yield pd.DataFrame(list(seen), columns=["entry", "left", "right"], dtype=object)
+
+    counts = train.where("toxic <> 0").mapInPandas(contexts, "entry string, left string, right string").distinct() \
+        .groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).toPandas()
+    return found[found["entry"].isin(set(counts["entry"]))]
+
+
 def _outermost(found: pd.DataFrame) -> dict[str, float]:
     """Of nested entries the longest that cover nearly all uses of the shortest: an entry gives
     way to at most BRANCHES continuations that together hold COVERS of its uses."""
@@ -208,10 +235,8 @@ def _spared(train: DataFrame, lexicon: Lexicon) -> list[str]:
                 folded = fold(text)
                 seen = set()
                 for a, b, _ in matches(automaton, folded):
-                    end = folded.index(" ", b - 1)
-                    word = folded[a + 1:end]
-                    seen.add(f"{word} {folded[end + 1:].split(' ', 1)[0]}".strip())
-                    seen.add(f"{folded[:a].rsplit(' ', 1)[-1]} {word}".strip())
+                    word, left, right = _around(folded, a, b)
+                    seen |= {f"{word} {right}".strip(), f"{left} {word}".strip()}
                 rows += [(p, int(toxic == 0), int(toxic != 0)) for p in seen if " " in p]
             yield pd.DataFrame(rows, columns=["phrase", "clean", "toxic"])
 
