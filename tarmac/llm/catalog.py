@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarmac.llm import decontaminate, exact_dedup, sharding, warc
+from tarmac.llm import decontaminate, exact_dedup, mixing, sharding, substring_dedup, suffix_dedup, warc
 from tarmac.llm.common import table
 from tarmac.llm.decontaminate import op6_decontaminate
 from tarmac.llm.exact_dedup import op7_exact_dedup
@@ -41,6 +41,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_mix_sources": mixing.ORACLE,
+    "op3_substring_dedup": substring_dedup.ORACLE,
+    "op4_suffix_dedup": suffix_dedup.ORACLE,
     "op5_shard": sharding.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,

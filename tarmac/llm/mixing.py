@@ -68,9 +68,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     text = text_of()
     rows = docs.select(F.col("doc_id").alias("id"), F.col("source").cast("string").alias("s"), text.alias("t"))
     rows = rows.withColumn("size", word_count(F.col("t")))
-    unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("id"), F.col("t")), 11).cast("double") + 0.5) / 2.0**53
+    rows = rows.withColumn("th", F.md5(F.col("t").cast("binary")))
+    bits = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")), "th").cast("binary"))
+    unit = (F.conv(F.substring(bits, 1, 13), 16, 10).cast("double") + 0.5) / 2.0**52
     w = quality(F.col("t"), F.col("size"))
-    rows = stored(rows.select("id", "s", "size", F.xxhash64("t").alias("th"), w.alias("w"),
+    rows = stored(rows.select("id", "s", "size", "th", w.alias("w"),
                               (-F.log(unit) / w).alias("key")), "mix-sizes")
 
     sizes = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"), F.avg("w").alias("w_mean"))
@@ -108,7 +110,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         (F.col("epochs") + F.when(F.col("part") * 2 > F.col("size"), 1).otherwise(0)).alias("_mx_n"))
     # rows alike in all three are interchangeable: one of their counts, the same for each, is used
     plan = plan.groupBy("_mx_id", "_mx_th", "_mx_s").agg(F.max("_mx_n").alias("_mx_n"))
-    same = (F.col("doc_id").eqNullSafe(F.col("_mx_id")) & (F.xxhash64(text_of()) == F.col("_mx_th"))
+    same = (F.col("doc_id").eqNullSafe(F.col("_mx_id")) & (F.md5(text_of().cast("binary")) == F.col("_mx_th"))
             & F.col("source").cast("string").eqNullSafe(F.col("_mx_s")))
     copies = F.explode(F.sequence(F.lit(1), F.col("_mx_n").cast("int")))
     kept = docs.join(plan.where("_mx_n > 0"), same)
@@ -117,3 +119,28 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 def op2_mix_sources(docs: DataFrame) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "epochs", "part")
+
+
+ORACLE = rf"""
+WITH z0 AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+z1 AS (SELECT *, len(regexp_extract_all(t, '{WORD}'))::BIGINT AS size, md5(t) AS th FROM z0),
+z AS (SELECT doc_id, source, size, th,
+             0.5::DOUBLE + 0.5::DOUBLE / (1.0::DOUBLE + abs(length(t)::DOUBLE / greatest(size, 1) - 6.0::DOUBLE)) AS w,
+             (('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '') || ':' || th), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE)
+             / 4503599627370496.0::DOUBLE AS u FROM z1),
+s0 AS (SELECT source, sum(size)::DOUBLE AS words FROM z GROUP BY source),
+s1 AS (SELECT source, words, 2.0::DOUBLE * words AS cap,
+              CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE
+              ELSE 1.0::DOUBLE END AS weight FROM s0),
+s2 AS (SELECT *, (1.5::DOUBLE * sum(words) OVER () - coalesce(sum(cap) OVER f, 0.0::DOUBLE))
+              / (sum(weight) OVER () - coalesce(sum(weight) OVER f, 0.0::DOUBLE)) AS level
+       FROM s1 WINDOW f AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s3 AS (SELECT *, max(CASE WHEN level <= cap / weight THEN level END) OVER () AS lam FROM s2),
+s AS (SELECT source, words, least(cap, coalesce(lam * weight, cap)) AS target FROM s3),
+x AS (SELECT z.*, s.words, s.target, CASE WHEN words > 0 THEN floor(target / words) ELSE 0 END::BIGINT AS epochs,
+             coalesce(sum(size) OVER (PARTITION BY z.source ORDER BY -ln(u) / w, doc_id NULLS LAST, th
+                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM z JOIN s ON z.source IS NOT DISTINCT FROM s.source),
+y AS (SELECT *, least(size, greatest(0, round(target - epochs * words) - before))::BIGINT AS part FROM x)
+SELECT doc_id, size, words::BIGINT AS source_size, target, (epochs * size + part)::BIGINT AS taken, source, epochs, part FROM y
+"""

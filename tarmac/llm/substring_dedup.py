@@ -151,3 +151,21 @@ def substring_dedup(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS)
 
 def op3_substring_dedup(docs: DataFrame) -> DataFrame:
     return substring_dedup(docs)
+
+
+#: Sentences keep the white space after them; chr(1) marks their ends.
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract(coalesce(text, ''), '^[\x20\x09-\x0D]*') AS lead FROM documents),
+s AS (SELECT doc_id, t, lead, list_filter(string_split(regexp_replace(substr(t, length(lead) + 1),
+        '([.!?][\x20\x09-\x0D]+|[\x20\x09-\x0D]*\n[\x20\x09-\x0D]*)', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS parts FROM d),
+w AS (SELECT *, list_transform(parts, lambda x: regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS ws, least(len(parts), {RUN}) AS n FROM s),
+r AS (SELECT doc_id, n, k, flatten(list_slice(ws, k, k + n - 1)) AS run
+      FROM (SELECT doc_id, ws, n, unnest(range(1, greatest(len(ws) - n, -1) + 2)) AS k FROM w WHERE len(ws) > 0)),
+q AS (SELECT doc_id, n, k, row_number() OVER (PARTITION BY array_to_string(run, ' ') ORDER BY doc_id, k) AS place
+      FROM r WHERE len(run) >= {MIN_WORDS}),
+c AS (SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(range(k, k + n)) AS i FROM q WHERE place > 1) GROUP BY doc_id)
+SELECT w.doc_id, len(parts)::BIGINT AS n_sentences, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       CASE WHEN gone IS NULL THEN t ELSE lead || array_to_string(list_transform(list_filter(range(1, len(parts) + 1),
+            lambda i: NOT list_contains(gone, i)), lambda i: parts[i]), '') END AS text
+FROM w LEFT JOIN c ON c.doc_id = w.doc_id
+"""

@@ -316,3 +316,22 @@ def suffix_dedup(docs: DataFrame, size: int = SIZE, **options) -> DataFrame:
 
 def op4_suffix_dedup(docs: DataFrame) -> DataFrame:
     return suffix_dedup(docs)
+
+
+#: Every window as hex digits; its later occurrences; their union per document as islands.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, (2 * i + 1)::BIGINT, {2 * SIZE}) AS s
+      FROM (SELECT doc_id, h, unnest(range(0, greatest(strlen(h) // 2 - {SIZE - 1}, 0))) AS i FROM d)),
+r AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+g AS (SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -{SIZE + 1}) + {SIZE} AS fresh FROM r),
+k AS (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM g),
+e AS (SELECT doc_id, island, min(i) AS a, max(i) + {SIZE} AS b FROM k GROUP BY ALL),
+p AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS last FROM e),
+c AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS fin,
+             string_agg(substr(h, (2 * last + 1)::BIGINT, (2 * (a - last))::BIGINT), '' ORDER BY a) AS kept
+      FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, strlen(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, (2 * coalesce(fin, 0) + 1)::BIGINT))) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id)
+"""
