@@ -17,8 +17,8 @@ fit); scoring reads every row and whole text. Only the text is scored.
 
 Defined results: null and empty texts have no evidence and get the curve's lowest score; a
 null label or a label without a document is not used; several labels of one document each
-count; without both classes among the training rows every score is the share of toxic ones
-(0 without rows). A null doc_id hashes as the empty text. Other columns play no part.
+count; without both classes among the training rows nothing is learned and every score is 0
+(to 13 digits). A null doc_id hashes as the empty text. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -159,8 +159,7 @@ def learn(train: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon
             .agg(F.count(F.lit(1)).alias("n")).collect()}
     clean, toxic = size.get(0, 0), size.get(1, 0)
     if not clean or not toxic:
-        share = toxic / max(clean + toxic, 1)
-        return Lexicon({}, (), math.log((share + 1e-9) / (1 - share + 1e-9)), 0.0)
+        return Lexicon({}, (), -30.0, 0.0)
     words = train.mapInPandas(_count_words, "word string, clean long, toxic long") \
         .groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     starts = F.explode(F.sequence(F.lit(SHORTEST), F.least(F.length("word") - 1, F.lit(LONGEST))))
