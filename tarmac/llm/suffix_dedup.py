@@ -11,7 +11,8 @@ occurs twice. Those runs are the collection whose
 suffixes are sorted: one bucket of minimisers per task, by column-wise construction of the
 collection's Burrows-Wheeler transform. Round j inserts, for every run at once, the suffix of
 length j + 1 before the symbol that the last round put down; the place is found by counting
-symbols, and old and new rows are merged in one sequential pass. Suffixes whose common prefix
+symbols, and old and new rows are merged in one sequential pass. Before, runs are cut to the
+windows whose first and last grams occur again in the bucket. Suffixes whose common prefix
 with their neighbour reaches SIZE are equal windows; all but the earliest are covered. One
 prefix length matters, so the common prefix is compared once, when the order is complete,
 and not kept up each round.
@@ -40,8 +41,9 @@ from tarmac.llm.common import stored, text_of
 SIZE = 100
 GRAM = 24
 MOST_WINDOWS = 128
-PER_BUCKET = 8192
-HOT = 2048
+PER_BUCKET = 2048
+HOT = 65_536
+BLOCK = 128
 LAST = np.iinfo(np.int64).max
 
 
@@ -60,10 +62,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, size: int, gram: int) -> tuple[n
     none = np.zeros(0, np.int64)
     if n < size:
         return none, none, none, none.view(np.uint64), none.astype(bool)
-    with np.errstate(over="ignore"):
-        prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(_CODES[data] * tn.powers(tn.BASE, n), out=prefix[1:])
-        h = tn.mix((prefix[gram:] - prefix[:-gram]) * tn.powers(tn.inverse(tn.BASE), n + 1)[:n - gram + 1])
+    h = _gram_hashes(data, gram)
     width = size - gram + 1
     least = _sliding(np.minimum, h, width)
     edge = np.zeros(len(least) + 1, np.int64)
@@ -137,50 +136,77 @@ def _repeated_runs(size: int, gram: int):
     """The runs of a text whose minimiser is among its ``seen``; lead: first of its kind in the text."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, raw in enumerate(_unpacked(batch.column("z"))):
-                data = np.frombuffer(raw, np.uint8)
-                seen = batch.column("seen")[i].values.to_numpy(zero_copy_only=False).astype(np.int64)
-                first, count, _, v, own = runs(data, np.array([0, len(data)]), size, gram)
-                keep = np.isin(v.view(np.int64), seen)
-                first, count, v, own = first[keep], count[keep], v[keep].view(np.int64), own[keep]
-                pieces = [raw[a:a + c + size - 1] for a, c in zip(first.tolist(), count.tolist(), strict=True)]
+            texts = pa.array(_unpacked(batch.column("z")), pa.large_binary())
+            whole = pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), batch.column("seen"), texts],
+                                               ["id", "th", "seen", "t"])
+            for part in tn.slices(whole, "t"):
+                data, offsets = tn.column_bytes(part.column("t").cast(pa.large_string()))
+                first, count, text, v, own = runs(data, offsets, size, gram)
+                seen = part.column("seen")
+                owner = np.repeat(np.arange(part.num_rows), seen.value_lengths().to_numpy())
+                known = seen.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                in_text = lambda t, x: tn.mix(x ^ tn.mix(t.astype(np.uint64), 5))
+                keep = np.isin(in_text(text, v), in_text(owner, known))
+                first, count, text, v, own = first[keep], count[keep], text[keep], v[keep].view(np.int64), own[keep]
+                raw = data.tobytes()
+                pieces = [raw[a:b] for a, b in zip(first.tolist(), (first + count + size - 1).tolist(), strict=True)]
                 digests = np.frombuffer(b"".join(hashlib.blake2b(p, digest_size=16).digest() for p in pieces), "<i8")
                 h1, h2 = digests[::2], digests[1::2]
-                lead = np.zeros(len(first), bool)
-                lead[np.unique(digests.reshape(-1, 2), axis=0, return_index=True)[1]] = True
-                same = np.ones(len(first), np.int64)
+                order = np.lexsort((first, h2, h1, text))
+                lead = np.ones(len(first), bool)
+                a, b = order[1:], order[:-1]
+                lead[a] = (text[a] != text[b]) | (h1[a] != h1[b]) | (h2[a] != h2[b])
+                ids, th = (part.column(c).to_numpy(zero_copy_only=False)[text] for c in ("id", "th"))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(same * batch.column("id")[i].as_py()), pa.array(same * batch.column("th")[i].as_py()),
-                     pa.array(first), pa.array(count.astype(np.int32)), pa.array(v), pa.array(h1), pa.array(h2),
-                     pa.array(lead), pa.array(own), pa.array(pieces, pa.binary())],
+                    [pa.array(x) for x in (ids, th, first - offsets[:-1][text], count.astype(np.int32), v, h1, h2, lead, own)]
+                    + [pa.array(pieces, pa.binary())],
                     ["id", "th", "pos", "windows", "v", "h1", "h2", "lead", "own", "run"])
     return emit
 
 
+def _places(bwt: np.ndarray, at: np.ndarray, symbol: np.ndarray, n: int) -> np.ndarray:
+    """Where the suffixes that extend those at ``at`` by ``symbol`` go: behind the n empty
+    ones, all with a smaller first symbol, and those of the same symbol further up. Symbols are
+    counted per block of rows, and inside the block of each place."""
+    blocks = -(-len(bwt) // BLOCK)
+    kinds = int(bwt.max()) + 1
+    rows = np.zeros((blocks, BLOCK), np.uint8)
+    rows.reshape(-1)[:len(bwt)] = bwt
+    index = rows + (np.arange(blocks) * kinds)[:, None]
+    counts = np.bincount(index.ravel(), minlength=blocks * kinds).reshape(blocks, kinds)
+    above = np.cumsum(counts, axis=0) - counts
+    total = counts.sum(axis=0)
+    total[0] = 0
+    smaller = np.cumsum(total) - total
+    block, inside = at // BLOCK, at % BLOCK
+    same = (rows[block] == symbol[:, None]) & (np.arange(BLOCK) < inside[:, None])
+    return n + smaller[symbol] + above[block, symbol] + same.sum(axis=1)
+
+
 def sorted_suffixes(data: np.ndarray, start: np.ndarray, end: np.ndarray, least: int) -> np.ndarray:
     """First bytes of all suffixes of at least ``least`` bytes of the strings data[start:end),
     in lexical order (equal ones by string), by column-wise insertion.
 
     ``bwt`` holds, in suffix order, the symbol before each suffix inserted so far (0: none).
-    Bytes count as 1 and up; the byte 255 does not occur in UTF-8.
+    Bytes are numbered in their order, from 1.
     """
     n, size = len(start), end - start
-    bwt = np.where(size > 0, data[np.maximum(end - 1, 0)] + 1, 0).astype(np.uint8)
+    used = np.zeros(256, bool)
+    used[data] = True
+    code = np.cumsum(used).astype(np.uint8)
+    bwt = np.where(size > 0, code[data[np.maximum(end - 1, 0)]], 0).astype(np.uint8)
     live, at = np.flatnonzero(size > 0), np.flatnonzero(size > 0)
     done = 0
     while len(live):
-        symbol = bwt[at]
-        mark = np.zeros(len(bwt), bool)
-        mark[at] = True
-        by_symbol = np.argsort(bwt, kind="stable")
-        place = np.flatnonzero(mark[by_symbol]) - np.count_nonzero(bwt == 0) + n
-        order = np.lexsort((at, symbol))
-        live, done = live[order], done + 1
-        ahead = np.where(size[live] > done, data[np.maximum(end[live] - 1 - done, 0)] + 1, 0).astype(np.uint8)
-        new = np.zeros(len(bwt) + len(live), bool)
-        new[place] = True
-        merged = np.empty(len(new), np.uint8)
-        merged[new], merged[~new] = ahead, bwt
+        place = _places(bwt, at, bwt[at], n)
+        order = np.argsort(place)
+        live, place, done = live[order], place[order], done + 1
+        ahead = np.where(size[live] > done, code[data[np.maximum(end[live] - 1 - done, 0)]], 0).astype(np.uint8)
+        old = np.ones(len(bwt) + len(live), bool)
+        old[place] = False
+        merged = np.empty(len(old), np.uint8)
+        merged[old] = bwt
+        merged[place] = ahead
         bwt = merged
         more = ahead > 0
         live, at = live[more], place[more]
@@ -213,7 +239,30 @@ def _same_prefix(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: int) -> n
 COVER = "id long, th long, pos long, windows int"
 
 
-def _cover(size: int):
+def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    n = len(data)
+    with np.errstate(over="ignore"):
+        prefix = np.zeros(n + 1, np.uint64)
+        np.cumsum(_CODES[data] * tn.powers(tn.BASE, n), out=prefix[1:])
+        return tn.mix((prefix[gram:] - prefix[:-gram]) * tn.powers(tn.inverse(tn.BASE), n + 1)[:n - gram + 1])
+
+
+def _trimmed(data: np.ndarray, start: np.ndarray, end: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each run the part from its first to its last window whose first and last grams some
+    other window of the bucket has too; other windows are equal to none."""
+    count = end - start - size + 1
+    run = np.repeat(np.arange(len(start)), count)
+    window = start[run] + np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+    h = _gram_hashes(data, gram)
+    _, kind, times = np.unique(h[window] ^ tn.mix(h[window + size - gram], 2), return_inverse=True, return_counts=True)
+    kept = np.flatnonzero(times[kind] > 1)
+    run, window = run[kept], window[kept]
+    head = np.flatnonzero(np.diff(run, prepend=-1))
+    last = np.append(head[1:], len(run))[:len(head)] - 1
+    return window[head], window[last] + size
+
+
+def _cover(size: int, gram: int):
     """Windows of a bucket's runs that an earlier equal window repeats, as runs of windows."""
     def find(bucket: pa.Table) -> pa.Table:
         column = bucket.column("run").combine_chunks().cast(pa.large_binary())
@@ -221,7 +270,7 @@ def _cover(size: int):
         data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
         offsets = offsets - offsets[0]
         ids, th, pos = (bucket.column(c).to_numpy() for c in ("id", "th", "pos"))
-        window = sorted_suffixes(data, offsets[:-1], offsets[1:], size)
+        window = sorted_suffixes(data, *_trimmed(data, offsets[:-1], offsets[1:], size, gram), size)
         if len(window):
             group = np.cumsum(np.concatenate([[True], ~_same_prefix(data, window[1:], window[:-1], size)]))
             run = np.searchsorted(offsets, window, "right") - 1
@@ -294,7 +343,7 @@ def covered(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT,
     collection = cold.unionByName(dealt.join(met, "v"))
     buckets = left.count() // per_bucket + 1
     bucket = F.pmod(F.xxhash64("v"), F.lit(buckets)).alias("bucket")
-    part = collection.groupBy(bucket).applyInArrow(_cover(size), COVER)
+    part = collection.groupBy(bucket).applyInArrow(_cover(size, gram), COVER)
     return whole.unionByName(part)
 
 
