@@ -17,8 +17,8 @@ fit); scoring reads every row and whole text. Only the text is scored.
 
 Defined results: null and empty texts have no evidence and get the curve's lowest score; a
 null label or a label without a document is not used; several labels of one document each
-count; without both classes among the training rows nothing is learned and every score is 0
-(to 13 digits). A null doc_id hashes as the empty text. Other columns play no part.
+count; without both classes among the training rows, or without an entry, nothing is learned and
+every score is 0 (to 13 digits). A null doc_id hashes as the empty text. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -172,6 +172,8 @@ def learn(train: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon
         .where(F.col("odds") >= MIN_ODDS).orderBy(F.desc("toxic"), F.desc("odds"), "entry").limit(MAX_ENTRIES).toPandas()
     found = _varied(train, found, max(MIN_USES, MIN_SHARE * toxic))
     entries = _outermost(found)
+    if not entries:
+        return Lexicon({}, (), -30.0, 0.0)
     lexicon = Lexicon(entries, exceptions)
     lexicon.exceptions = (*exceptions, *_spared(train, lexicon))
     lexicon.bias, lexicon.slope = _curve(train, lexicon)
