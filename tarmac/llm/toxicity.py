@@ -271,13 +271,17 @@ def _curve(train: DataFrame, lexicon: Lexicon) -> tuple[float, float]:
     return float(beta[0]), float(max(beta[1], 0.0))
 
 
+def _scores(lexicon: Lexicon, automaton, texts: pa.Array) -> np.ndarray:
+    x = np.fromiter((evidence(automaton, fold(t.as_py())) for t in texts), np.float64, len(texts))
+    return 1 / (1 + np.exp(-np.clip(lexicon.bias + lexicon.slope * x, -30, 30)))
+
+
 def score(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
     """(doc_id, score) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for batch in batches:
-            x = np.fromiter((evidence(automaton, fold(t.as_py())) for t in batch.column("t")), np.float64, batch.num_rows)
-            p = 1 / (1 + np.exp(-np.clip(lexicon.bias + lexicon.slope * x, -30, 30)))
+            p = _scores(lexicon, automaton, batch.column("t"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p)], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(text).alias("t"))
@@ -289,10 +293,17 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that score below the threshold, with all their columns."""
-    bad = toxicity(docs, labels).where(F.col("score") >= threshold).select(F.col("doc_id").alias("_tx_id")).distinct()
-    out = docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_tx_id")), "left_anti")
-    return out.select(*[out[c] for c in docs.columns])
+    """The documents that score below the threshold, with all their columns: a filter on each
+    row's own text, without a join or a shuffle."""
+    lexicon = learn(training_rows(docs, labels))
+
+    @F.arrow_udf("double")
+    def score_of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        automaton = lexicon.automaton()
+        for batch in texts:
+            yield pa.array(_scores(lexicon, automaton, batch))
+
+    return docs.where(score_of(text_of()) < threshold)
 
 
 def op10_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
