@@ -21,6 +21,16 @@ from tarmac.llm.components import components
 DATA = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(scope="session")
+def awkward(spark):
+    return spark.createDataFrame(rows(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="session")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
 def plain(seed=5):
     return [(r[0], r[1] or "", r[3]) for r in rows(seed)]
 
