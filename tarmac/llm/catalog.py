@@ -13,7 +13,7 @@ from tarmac.llm.exact_dedup import op7_exact_dedup
 from tarmac.llm.mixing import op2_mix_sources
 from tarmac.llm.near_dedup import op1_dart_minhash
 from tarmac.llm.sharding import op5_shard
-from tarmac.llm.substring_dedup import op3_substring_dedup
+from tarmac.llm.substring_dedup import op3_substring_dedup, op3_substring_dedup_grown
 from tarmac.llm.suffix_dedup import op4_suffix_dedup
 from tarmac.llm.token_counts import op8_token_counts
 from tarmac.llm.toxicity import op10_toxicity
@@ -31,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_dart_minhash": _over(op1_dart_minhash, "documents"),
     "op2_mix_sources": _over(op2_mix_sources, "documents"),
     "op3_substring_dedup": _over(op3_substring_dedup, "documents"),
+    "op3_substring_dedup_grown": _over(op3_substring_dedup_grown, "documents"),
     "op4_suffix_dedup": _over(op4_suffix_dedup, "documents"),
     "op5_shard": _over(op5_shard, "documents"),
     "op6_decontaminate": _over(op6_decontaminate, "documents", "benchmark"),

@@ -8,6 +8,11 @@ document are seen locally. Sentences covered by a repeated run are removed.
 A sentence ends at white space after . ! or ?, or at a line break. A text of fewer sentences is
 one run. Runs of fewer than MIN_WORDS words are too short to count as a passage.
 
+With ``grow`` (query op3_substring_dedup_grown) no run is dropped for being short while its text
+is long enough: it grows by whole sentences until it holds RUN sentences and MIN_WORDS words; at
+the end of the text it grows backwards. So short lines, verse and dialogue are compared too. Only
+texts of fewer than MIN_WORDS words have no run.
+
 A hot run (a passage in a third of all documents) reaches the shuffle once per task, and the
 join back to its documents is an equi-join that adaptive execution splits.
 
@@ -40,7 +45,7 @@ STOPS[[ord(c) for c in ".!?"]] = True
 class Sentences:
     """Sentences of the texts of a slice (first word, end word, text) and their runs."""
 
-    def __init__(self, column: pa.Array, run: int):
+    def __init__(self, column: pa.Array, run: int, grow: int = 0):
         data, offsets = tn.column_bytes(column)
         self.words = w = tn.Words(data, offsets, tn.NOT_SPACE)
         n = len(w.start)
@@ -61,6 +66,25 @@ class Sentences:
         self.run_first = (np.arange(len(self.run_text)) - np.repeat(np.cumsum(runs) - runs, runs)
                           + self.first[:-1][self.run_text])
         self.run_end = np.minimum(self.run_first + run, self.first[1:][self.run_text])
+        if grow:
+            self._grown(run, grow)
+
+    def _grown(self, run: int, least: int) -> None:
+        """From each sentence the shortest run of ``run`` sentences and ``least`` words; the
+        shortest that ends the text where too little follows."""
+        low, limit = self.first[:-1][self.text], self.first[1:][self.text]
+        first = np.arange(len(self.start))
+        end = np.maximum(first + run, np.searchsorted(self.end, self.start + least) + 1)
+        back = np.minimum(limit - run, np.searchsorted(self.start, self.end[limit - 1] - least, "right") - 1)
+        over = end > limit
+        first, end = np.where(over, np.maximum(back, low), first), np.minimum(end, limit)
+        self._runs(first, end)
+
+    def _runs(self, first: np.ndarray, end: np.ndarray) -> None:
+        """Each of the runs of sentences first .. end once."""
+        n = len(self.start) + 1
+        self.run_first, self.run_end = np.divmod(np.unique(first * n + end), n)
+        self.run_text = self.text[self.run_first]
 
     def hashes(self, min_words: int) -> tuple[np.ndarray, np.ndarray]:
         """Two hashes per run; runs that are too short are left out of the run arrays."""
@@ -72,11 +96,11 @@ class Sentences:
         return tuple(tn.run_hashes(h, a, b, seed).view(np.int64) for seed in (1, 2))
 
 
-def _runs(run: int, min_words: int):
+def _runs(run: int, min_words: int, grow: bool = False):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tn.slices(batch, "t"):
-                s = Sentences(part.column("t"), run)
+                s = Sentences(part.column("t"), run, min_words if grow else 0)
                 h1, h2 = s.hashes(min_words)
                 ids = part.column("id").to_numpy(zero_copy_only=False)
                 if len(h1):  # a run counts once per text
@@ -89,11 +113,11 @@ def _runs(run: int, min_words: int):
     return emit
 
 
-def _rebuild(run: int, min_words: int):
+def _rebuild(run: int, min_words: int, grow: bool = False):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tn.slices(batch, "t"):
-                s = Sentences(part.column("t"), run)
+                s = Sentences(part.column("t"), run, min_words if grow else 0)
                 h1, h2 = s.hashes(min_words)
                 column = part.column("seen")
                 seen = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -137,15 +161,15 @@ def _kept(s: Sentences, covered: np.ndarray, per_text: np.ndarray, column: pa.Ar
     return texts
 
 
-def substring_dedup(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
+def substring_dedup(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, grow: bool = False) -> DataFrame:
     """doc_id, n_sentences, n_removed and the text that is left, for every row."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("id"), text_of().alias("t"))
-    runs = rows.mapInArrow(_runs(run, min_words), "h1 long, h2 long, id long")
+    runs = rows.mapInArrow(_runs(run, min_words, grow), "h1 long, h2 long, id long")
     first = runs.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")) \
         .where("first < last").drop("last")
     seen = runs.join(first, ["h1", "h2"]).where("id > first").groupBy("id").agg(F.collect_set("h1").alias("seen"))
     out = rows.join(seen, "id", "left").mapInArrow(
-        _rebuild(run, min_words), "doc_id long, n_sentences long, n_removed long, text string")
+        _rebuild(run, min_words, grow), "doc_id long, n_sentences long, n_removed long, text string")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != int(LAST), F.col("doc_id")))
 
 
@@ -153,6 +177,10 @@ def op3_substring_dedup(docs: DataFrame) -> DataFrame:
     return substring_dedup(docs)
 
 
+def op3_substring_dedup_grown(docs: DataFrame) -> DataFrame:
+    return substring_dedup(docs, grow=True)
+
+
 #: Sentences keep the white space after them; chr(1) marks their ends.
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract(coalesce(text, ''), '^[\x20\x09-\x0D]*') AS lead FROM documents),

@@ -279,6 +279,55 @@ def test_substring_dedup(awkward, run):
     assert Counter(map(tuple, got)) == brute_spans(plain(), run, 8)
 
 
+def grown_spans(sent, run, least):
+    """Runs (first, end) that grow to ``run`` sentences and ``least`` words."""
+    enough = lambda a, b: b - a >= run and sum(map(len, sent[a:b])) >= least
+    n, spans = len(sent), set()
+    for a in range(n):
+        ends = [b for b in range(a + 1, n + 1) if enough(a, b)]
+        if ends:
+            spans.add((a, ends[0]))
+        else:
+            spans.add((max([b for b in range(n) if enough(b, n)], default=0), n))
+    return sorted(x for x in spans if sum(map(len, sent[x[0]:x[1]])) >= least)
+
+
+def brute_grown(docs, run, least):
+    first, parts = {}, []
+    for i, t in docs:
+        lead = len(t) - len(t.lstrip())
+        cuts = [lead, *[m.end() for m in re.finditer(r"(?<=[.!?])\s+|\s*\n\s*", t) if lead < m.end() < len(t)], len(t)]
+        s = [t[a:b] for a, b in zip(cuts, cuts[1:], strict=False)] if t.split() else []
+        sent = [tuple(x.split()) for x in s]
+        runs = [(a, b, sum(sent[a:b], ())) for a, b in grown_spans(sent, run, least)]
+        parts.append((i, t, s, runs))
+        for *_, x in runs:
+            first[x] = min(first.get(x, math.inf), i)
+    out = {}
+    for i, t, s, runs in parts:
+        gone, here = set(), set()
+        for a, b, x in runs:
+            if first[x] < i or x in here:
+                gone.update(range(a, b))
+            here.add(x)
+        lead = t[:len(t) - len("".join(s))] if s else t
+        out[i] = (len(s), len(gone), lead + "".join(x for k, x in enumerate(s) if k not in gone))
+    return out
+
+
+def test_substring_dedup_grown(spark):
+    verse = "\n".join(f"line {k} here" for k in range(12))
+    shout = " ".join(f"W{k}!!" for k in range(30))
+    d = [(1, verse), (2, verse), (3, shout), (4, "Other words come first here today. " + shout), (5, "One two. Three."),
+         (6, "One two. Three."), (7, "a b c d e f g h i. Last."), (8, "x y. a b c d e f g h i. Last."), (9, ""), (10, "\n" + verse)]
+    rng = np.random.default_rng(3)
+    d += [(i, " ".join(rng.choice(["Yes.", "No!", "So it is.", "a b c d e.", "Well\n"], 25))) for i in range(11, 40)]
+    df = spark.createDataFrame(d, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in substring_dedup.op3_substring_dedup_grown(df).collect()}
+    assert got == brute_grown(d, substring_dedup.RUN, substring_dedup.MIN_WORDS)
+    assert got[2][2] == "" and got[4][2] == "Other words come first here today. " and got[6][1] == 0
+
+
 # ------------------------------------------------------------- 4
 def brute_bytes(docs, size):
     first = {}
