@@ -11,7 +11,11 @@ one run. Runs of fewer than MIN_WORDS words are too short to count as a passage.
 With ``grow`` (query op3_substring_dedup_grown) no run is dropped for being short while its text
 is long enough: it grows by whole sentences until it holds RUN sentences and MIN_WORDS words; at
 the end of the text it grows backwards. So short lines, verse and dialogue are compared too. Only
-texts of fewer than MIN_WORDS words have no run.
+texts of fewer than MIN_WORDS words have no run. A sentence of LONG_SENTENCE words or more is a run
+of its own besides, so a passage is found by one long sentence between cut ones. Closing quotes and
+brackets after a stop belong to the sentence, and the wide stops of Chinese and Japanese end one
+without white space. A passage whose whole sentences are fewer than RUN and shorter than
+LONG_SENTENCE words stays (figures in the README).
 
 A hot run (a passage in a third of all documents) reaches the shuffle once per task, and the
 join back to its documents is an equi-join that adaptive execution splits.
@@ -36,10 +40,54 @@ from tarmac.llm.common import text_of
 
 RUN = 2
 MIN_WORDS = 8
+LONG_SENTENCE = 25
 LAST = np.iinfo(np.int64).max
 #: Characters that end a sentence before white space.
 STOPS = np.zeros(256, bool)
 STOPS[[ord(c) for c in ".!?"]] = True
+#: Stops that end a sentence without white space; what closes a quote behind a stop.
+WIDE_STOPS = "。！？｡"
+CLOSERS = "\"')]}”’»」』）"
+
+
+def _found(data: np.ndarray, signs: str) -> np.ndarray:
+    """For each byte the size of the sign that ends there, or 0."""
+    size = np.zeros(len(data), np.int64)
+    for sign in signs:
+        code = np.frombuffer(sign.encode(), np.uint8)
+        at = np.flatnonzero(data == code[-1])
+        at = at[at >= len(code) - 1]
+        for k in range(1, len(code)):
+            at = at[data[at - k] == code[-1 - k]]
+        size[at] = len(code)
+    return size
+
+
+def _stopped(w: tn.Words) -> np.ndarray:
+    """Whether each word ends with a stop, but for closing signs; words are cut behind wide
+    stops first."""
+    n = len(w.data)
+    closer, wide = _found(w.data, CLOSERS), _found(w.data, WIDE_STOPS) > 0
+    at = np.flatnonzero(wide) + 1  # first byte behind a wide stop and its closing signs
+    ahead = np.zeros(n + 4, np.int64)
+    ahead[np.maximum(np.flatnonzero(closer) + 1 - closer[closer > 0], 0)] = closer[closer > 0]
+    while (ahead[at] > 0).any():
+        at = at + ahead[at]
+    at = np.unique(at)
+    word = np.searchsorted(w.start, at, "right") - 1
+    inside = (at > w.start[word]) & (at < w.end[word]) if len(at) else np.zeros(0, bool)
+    at, word = at[inside], word[inside]
+    w.text = np.insert(w.text, word + 1, w.text[word])
+    w.start = np.sort(np.concatenate([w.start, at]))
+    w.end = np.sort(np.concatenate([w.end, at]))
+    w.first = np.searchsorted(w.start, w.offsets)
+    end = w.end.copy()
+    while True:
+        size = closer[end - 1]
+        more = (size > 0) & (end - size > w.start)
+        if not more.any():
+            return STOPS[w.data[end - 1]] | wide[end - 1]
+        end = np.where(more, end - size, end)
 
 
 class Sentences:
@@ -48,12 +96,13 @@ class Sentences:
     def __init__(self, column: pa.Array, run: int, grow: int = 0):
         data, offsets = tn.column_bytes(column)
         self.words = w = tn.Words(data, offsets, tn.NOT_SPACE)
+        stopped = _stopped(w) if grow and len(w.start) else STOPS[data[w.end - 1]]
         n = len(w.start)
         starts = np.zeros(n, bool)
         if n:
             breaks = np.concatenate([[0], np.cumsum(data == 10)])
             starts[0] = True
-            starts[1:] = (STOPS[data[w.end[:-1] - 1]] | (breaks[w.start[1:]] > breaks[w.end[:-1]])
+            starts[1:] = (stopped[:-1] | (breaks[w.start[1:]] > breaks[w.end[:-1]])
                           | (w.text[1:] != w.text[:-1]))
         self.start = np.flatnonzero(starts)
         self.end = np.append(self.start[1:], n)[:len(self.start)]
@@ -77,8 +126,9 @@ class Sentences:
         end = np.maximum(first + run, np.searchsorted(self.end, self.start + least) + 1)
         back = np.minimum(limit - run, np.searchsorted(self.start, self.end[limit - 1] - least, "right") - 1)
         over = end > limit
-        first, end = np.where(over, np.maximum(back, low), first), np.minimum(end, limit)
-        self._runs(first, end)
+        long = np.flatnonzero(self.end - self.start >= LONG_SENTENCE)
+        first = np.concatenate([np.where(over, np.maximum(back, low), first), long])
+        self._runs(first, np.concatenate([np.minimum(end, limit), long + 1]))
 
     def _runs(self, first: np.ndarray, end: np.ndarray) -> None:
         """Each of the runs of sentences first .. end once."""

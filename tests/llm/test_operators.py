@@ -328,6 +328,20 @@ def test_substring_dedup_grown(spark):
     assert got[2][2] == "" and got[4][2] == "Other words come first here today. " and got[6][1] == 0
 
 
+def test_substring_dedup_long_sentences_and_quotes(spark):
+    long = " ".join(f"w{k}" for k in range(60)) + "."
+    said = "\u201cWe left the house at nine.\u201d He went home (late that night.) Then all was dark and quiet."
+    wide = "".join(f"第{k}天下雨。" for k in range(9)) + "「他说好！」"
+    d = [(1, f"Cut at the front. {long} And some end"), (2, f"Another front part. {long} With another end"),
+         (3, said), (4, f"New words stand here. {said}"), (5, wide), (6, f"另外一句。{wide}"), (7, "No stop")]
+    df = spark.createDataFrame(d, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in substring_dedup.op3_substring_dedup_grown(df).collect()}
+    assert got[2] == (3, 1, "Another front part. With another end")
+    assert got[4] == (4, 3, "New words stand here. ")
+    assert got[6] == (11, 10, "另外一句。")
+    assert [got[k][1] for k in (1, 3, 5, 7)] == [0, 0, 0, 0]
+
+
 # ------------------------------------------------------------- 4
 def brute_bytes(docs, size):
     first = {}
