@@ -18,7 +18,9 @@ prefix length matters, so the common prefix is compared once, when the order is
 and not kept up each round.
 
 A minimiser with more than HOT different runs (a passage of a third of all documents meets as
-many contexts) is dealt out anew by window, keyed by the window's first and last 24 bytes.
+many contexts) is dealt out by window. Windows have one length, so their equality is settled
+like that of runs: a partial aggregate finds the earliest place per 128-bit hash, and an equi-join
+covers the later ones. No task gathers a hot minimiser or window.
 
 Defined results: a null text is empty; texts under SIZE bytes have no windows. Order is by
 doc_id (null last), then start; rows that share a doc_id but not the text are not earlier than
@@ -335,16 +337,16 @@ def covered(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT,
     firsts = kinds.drop("own").join(several.drop("own"), "v").select("h1", "h2", F.col("first").alias("id"), "kinds")
     left = stored(found.where("lead").join(firsts, ["h1", "h2", "id"]).select("v", "kinds", "run", *place), "suffix-left")
     cold = left.where(F.col("kinds") <= hot).select("v", "run", *place)
-    ends = F.xxhash64(F.col("v"), F.expr(f"substring(run, 1, {gram})"), F.expr(f"substring(run, {size - gram + 1}, {gram})"))
     dealt = left.where(F.col("kinds") > hot).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("windows") - 1))) \
-        .withColumn("run", F.expr(f"substring(run, k + 1, {size})")).withColumn("pos", F.col("pos") + F.col("k")) \
-        .withColumn("windows", F.lit(1)).withColumn("v", ends).select("v", "run", *place)
-    met = dealt.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("v")
-    collection = cold.unionByName(dealt.join(met, "v"))
-    buckets = left.count() // per_bucket + 1
+        .select(F.unhex(F.md5(F.expr(f"substring(run, k + 1, {size})"))).alias("h"), "id", "th",
+                (F.col("pos") + F.col("k")).alias("pos"), F.lit(1).alias("windows"))
+    best = dealt.groupBy("h").agg(F.min(F.struct("id", "th", "pos")).alias("best"), F.count(F.lit(1)).alias("n")) \
+        .where("n > 1").drop("n")
+    single = dealt.join(best, "h").where("id > best.id OR (th = best.th AND pos > best.pos)").select(*place)
+    buckets = cold.count() // per_bucket + 1
     bucket = F.pmod(F.xxhash64("v"), F.lit(buckets)).alias("bucket")
-    part = collection.groupBy(bucket).applyInArrow(_cover(size, gram), COVER)
-    return whole.unionByName(part)
+    part = cold.groupBy(bucket).applyInArrow(_cover(size, gram), COVER)
+    return whole.unionByName(single).unionByName(part)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

@@ -374,6 +374,27 @@ def test_suffix_dedup(spark, hot):
     assert Counter(map(tuple, got)) == brute_bytes([(r[0], r[1] or "", r[3]) for r in d], 100)
 
 
+def test_suffix_dedup_hot_passage(spark, monkeypatch):
+    """A passage of all documents: no bucket gathers its windows."""
+    rng = np.random.default_rng(9)
+    text = lambda n: bytes(rng.integers(97, 123, n).tolist()).decode()
+    passage = text(180)
+    d = [(i, text(120) + passage + text(120)) for i in range(300)]
+    cover = suffix_dedup._cover
+
+    def bounded(size, gram):
+        def find(bucket):
+            if bucket.num_rows > 200:
+                raise ValueError(f"a bucket of {bucket.num_rows} rows")
+            return cover(size, gram)(bucket)
+        return find
+
+    monkeypatch.setattr(suffix_dedup, "_cover", bounded)
+    df = spark.createDataFrame(d, "doc_id long, text string").repartition(3)
+    got = suffix_dedup.suffix_dedup(df, hot=50, per_bucket=20).collect()
+    assert Counter(map(tuple, got)) == brute_bytes([(i, t, None) for i, t in d], 100)
+
+
 def test_suffix_dedup_all_rows(awkward):
     assert Counter(r.doc_id for r in suffix_dedup.suffix_dedup(awkward).collect()) == Counter(i for i, _, _ in plain())
 
