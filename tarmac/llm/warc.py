@@ -12,7 +12,9 @@ of the successor. Magic strings inside payloads make false candidates, so per ar
 candidates' successor links are followed from the start of the file by pointer jumping, and
 only records that are reached count. Of every candidate only offsets and header fields are
 gathered (a few hundred bytes each; an archive is limited in size by the writer). A record
-whose payload holds a magic spans several pieces; these are read again and put together.
+whose payload holds a magic spans several pieces; these are read again, found by their SHA-256
+(splits, and so places, may differ between two scans), and put together. A record of the chain
+that can't be put together is an error.
 
 Defined results: a null html is an empty payload; a null page_id counts as larger than any
 (a group of null ids writes responses only) and comes back as null; rows that repeat a
@@ -85,6 +87,10 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("row"), F.col("value"))
 
 
+def _key() -> Column:
+    return F.unhex(F.sha2("value", 256))
+
+
 def _parsed(pieces: DataFrame) -> DataFrame:
     """Header fields of a candidate, and its payload's size and digest if it ends where its header says."""
     head = F.substring_index("value", END, 1)
@@ -101,7 +107,7 @@ def _parsed(pieces: DataFrame) -> DataFrame:
     http_length = F.regexp_extract("http_head", r"(?i)\r\nContent-Length:[ \t]*(\d+)", 1).try_cast("long")
     d = d.withColumn("payload", payload)
     return d.select(
-        "file", "block", "row", "size", "head_bytes", "block_bytes", "whole", field("WARC-Type").alias("type"),
+        "file", "block", "row", _key().alias("key"), "size", "head_bytes", "block_bytes", "whole", field("WARC-Type").alias("type"),
         F.regexp_extract("head", r"(?i)\r\nWARC-Record-ID:[ \t]*<urn:page:(-?\d*)>", 1).try_cast("long").alias("id"),
         F.regexp_extract("head", r"(?i)\r\nWARC-Refers-To:[ \t]*<urn:page:(-?\d*)>", 1).try_cast("long").alias("refers"),
         F.regexp_extract("head", r"(?i)\r\nWARC-Payload-Digest:[ \t]*sha1:(\w+)", 1).alias("said"),
@@ -111,7 +117,7 @@ def _parsed(pieces: DataFrame) -> DataFrame:
 
 #: What the chain passes on of a record.
 CARRIED = ["type", "id", "refers", "said", "http_length", "payload_bytes", "digest"]
-CHAINED = ("file string, block long, row long, start long, piece int, pieces int, type string, id long, refers long, "
+CHAINED = ("file string, key binary, start long, piece int, pieces int, type string, id long, refers long, "
            "said string, http_length long, payload_bytes long, digest string")
 
 
@@ -151,7 +157,8 @@ def _chain(group: pd.DataFrame) -> pd.DataFrame:
     last = np.where(exact[heads], successor[heads], len(start))
     n = last - heads
     rows = np.repeat(heads, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-    out = g.iloc[rows][["file", "block", "row"]].reset_index(drop=True)
+    out = g.iloc[rows][["file", "key"]].reset_index(drop=True)
+    out.loc[np.repeat(n, n) == 1, "key"] = None
     out["start"] = np.repeat(start[heads], n)
     out["piece"] = rows - np.repeat(heads, n)
     out["pieces"] = np.repeat(n, n)
@@ -165,13 +172,16 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     narrow = _parsed(_pieces(spark, path)).drop("whole")
     chain = stored(narrow.groupBy("file").applyInPandas(_chain, CHAINED), "warc-chain")
     found = chain.where("pieces = 1").select(*CARRIED)
-    parts = chain.where("pieces > 1").select("file", "block", "row", "start", "piece")
+    parts = chain.where("pieces > 1").select("file", "key", "start", "piece")
     if not parts.isEmpty():
-        joined = _pieces(spark, path).join(parts, ["file", "block", "row"]) \
+        values = _pieces(spark, path).select(_key().alias("key"), "value") \
+            .join(parts.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.any_value("value").alias("value"))
+        joined = parts.join(values, "key", "left") \
             .groupBy("file", "start").agg(F.sort_array(F.collect_list(F.struct("piece", "value"))).alias("p"))
         whole = joined.select("file", F.col("start").alias("block"), F.lit(0).cast("long").alias("row"),
                               F.array_join("p.value", MAGIC).alias("value"))
-        found = found.unionByName(_parsed(whole).where("whole").select(*CARRIED))
+        lost = F.raise_error(F.concat(F.lit("pieces of a record are missing in "), F.col("file"))).cast("boolean")
+        found = found.unionByName(_parsed(whole).where(F.when(F.col("whole"), True).otherwise(lost)).select(*CARRIED))
     response = F.col("type") == "response"
     return found.where(F.col("type").isin("response", "revisit")).select(
         F.col("id").alias("page_id"),

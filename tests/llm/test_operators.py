@@ -197,6 +197,28 @@ def test_warc(spark, split):
     assert all(r.digest_verified for r in got)
 
 
+@pytest.mark.parametrize("split, later", [("128m", "97b"), ("97b", "128m"), ("97b", "211b")])
+def test_warc_splits_change_between_scans(spark, monkeypatch, split, later):
+    data, df = pages(spark)
+    path = shared_path(spark, "warc-test")
+    warc.write_warc(df.repartition(2), path)
+    keep, store = spark.conf.get("spark.sql.files.maxPartitionBytes"), warc.stored
+
+    def and_split(*args):
+        out = store(*args)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", later)
+        return out
+
+    monkeypatch.setattr(warc, "stored", and_split)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = warc.read_warc(spark, path).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
+    assert Counter(r.page_id for r in got) == Counter(i for i, *_ in data)
+    assert all(r.digest_verified for r in got)
+
+
 def test_pointer_jumping():
     rng = np.random.default_rng(1)
     for n in (1, 2, 7, 100):
