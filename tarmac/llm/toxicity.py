@@ -1,7 +1,9 @@
 """Toxicity (10): a weighted lexicon matched by Aho-Corasick on folded text.
 
 Folding lower-cases, strips accents, maps look-alike letters of other scripts and digits or
-signs used as letters to the letter they imitate, and turns everything else into blanks.
+signs used as letters to the letter they imitate, and turns everything else into blanks. A sign
+with several readings (1 for i or l, a stroke for a letter or a blank) takes the one that makes
+an entry of the lexicon; every reading is tried.
 
 The lexicon is learned from labelled training rows: words and word beginnings that toxic texts
 use far more often than others, each weighted by its log odds. An entry needs uses in MIN_USES and a share of MIN_SHARE of
@@ -55,6 +57,9 @@ LOOKALIKES = {
     "υ": "u", "χ": "x", "ω": "w", "ı": "i", "ɡ": "g", "ł": "l", "ø": "o", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe",
 }
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
+#: What digits and signs may be read as, inside a word.
+READINGS = {"0": "o", "1": "il", "2": "z ", "3": "e", "4": "a", "5": "s", "6": "gb ", "7": "t", "8": "b", "9": "gq ", "@": "a",
+            "$": "s", "!": "il ", "|": "il ", "+": "t "}
 #: Phrases that contain an entry but are harmless.
 EXCEPTIONS = ("trash can", "trash bin", "class clown")
 
@@ -79,10 +84,13 @@ _SIGNED = _Folding({ord(k): v for k, v in SIGNS.items()})
 _WITH_SIGN = re.compile(r"(?<!\S)[^\s0134578@$!]*[0134578@$!]\S*")
 
 
+_MARKS = "!.,;:?\"')]}"
+
+
 def _unsign(found: re.Match) -> str:
     """A word with letters in place of its signs. Signs at its end stay ("st0p!" keeps its mark)."""
     word = found.group()
-    core = word.rstrip("!.,;:?\"')]}")
+    core = word.rstrip(_MARKS)
     return core.translate(_SIGNED) + word[len(core):] if any(c.isalpha() for c in core) else word
 
 
@@ -91,6 +99,64 @@ def fold(text: str) -> str:
     return f" {' '.join(_WITH_SIGN.sub(_unsign, text).translate(_PLAIN).split())} "
 
 
+_WITH_READINGS = re.compile(r"(?<!\S)[^\s0-9@$!|+]*[0-9@$!|+]\S*")
+
+
+class Reader:
+    """Folds texts like ``fold``, but reads words with signs as the entries that they may spell:
+    a walk through the tree of entries along all readings."""
+
+    def __init__(self, entries: dict[str, float]):
+        self.tree: dict = {}
+        for entry, weight in entries.items():
+            node = self.tree
+            for c in entry:
+                node = node.setdefault(c, {})
+            node[""] = weight
+
+    def __call__(self, text: str) -> str:
+        return f" {' '.join(_WITH_SIGN.sub(_unsign, _WITH_READINGS.sub(self._spelled, text)).translate(_PLAIN).split())} "
+
+    def _spelled(self, found: re.Match) -> str:
+        word = found.group()
+        core = word.rstrip(_MARKS)
+        if not any(c.isalpha() for c in core):
+            return word
+        options = [READINGS.get(c) or (_PLAIN[ord(c)],) for c in core]
+        out, done, k = [], 0, 0
+        while k < len(core):
+            best = self._entry(options, k) if not k or " " in options[k - 1] or "" in options[k - 1] else None
+            if best is None:
+                k += 1
+                continue
+            _, end, spelled = best
+            before = core[done:k]
+            out += [before[:-1] + " " if before and " " in options[k - 1] else before, spelled]
+            done = k = end
+        return "".join(out) + core[done:] + word[len(core):] if out else word
+
+    def _entry(self, options: list, start: int) -> tuple[float, int, str] | None:
+        """Weight, end and spelling of the heaviest entry that may start here."""
+        best = None
+        open_ = [(self.tree.get(" "), start, "")]
+        while open_:
+            node, at, spelled = open_.pop()
+            if node is None:
+                continue
+            ends = " " in node and (at == len(options) or " " in options[at])
+            for weight, end, text in ((node.get(""), at, spelled),
+                                      (node[" "].get("") if ends else None, min(at + 1, len(options)), spelled + " ")):
+                if weight is not None and at > start and (best is None or (weight, end) > best[:2]):
+                    best = weight, end, text
+            if at < len(options):
+                for letters in options[at]:
+                    below = node
+                    for c in letters:
+                        below = below.get(c) if below is not None and c != " " else None
+                    open_.append((below, at + 1, spelled + letters))
+        return best
+
+
 @dataclass
 class Lexicon:
     """Entries (folded, with a leading blank; a trailing one ends the word) and their weights,
@@ -113,6 +179,9 @@ class Lexicon:
         a.make_automaton()
         return a
 
+    def reader(self) -> Reader:
+        return Reader(self.entries)
+
 
 def matches(automaton, folded: str) -> list[tuple[int, int, float]]:
     """Entries found outside of exception phrases."""
@@ -229,11 +298,11 @@ def _outermost(found: pd.DataFrame) -> dict[str, float]:
 def _spared(train: DataFrame, lexicon: Lexicon) -> list[str]:
     """Two-word phrases of an entry that only non-toxic training texts use."""
     def phrases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = lexicon.automaton()
+        automaton, read = lexicon.automaton(), lexicon.reader()
         for batch in batches:
             rows = []
             for text, toxic in zip(batch["t"], batch["toxic"], strict=True):
-                folded = fold(text)
+                folded = read(text)
                 seen = set()
                 for a, b, _ in matches(automaton, folded):
                     word, left, right = _around(folded, a, b)
@@ -252,9 +321,9 @@ def _curve(train: DataFrame, lexicon: Lexicon) -> tuple[float, float]:
     """Bias and slope of the logistic curve, fitted by Newton steps with a slight penalty on
     counts per rounded evidence."""
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = lexicon.automaton()
+        automaton, read = lexicon.automaton(), lexicon.reader()
         for batch in batches:
-            yield pd.DataFrame({"x": [round(evidence(automaton, fold(t)), 2) for t in batch["t"]],
+            yield pd.DataFrame({"x": [round(evidence(automaton, read(t)), 2) for t in batch["t"]],
                                 "y": (batch["toxic"] != 0).astype("int32")})
 
     h = train.mapInPandas(weigh, "x double, y int").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).toPandas()
@@ -271,17 +340,17 @@ def _curve(train: DataFrame, lexicon: Lexicon) -> tuple[float, float]:
     return float(beta[0]), float(max(beta[1], 0.0))
 
 
-def _scores(lexicon: Lexicon, automaton, texts: pa.Array) -> np.ndarray:
-    x = np.fromiter((evidence(automaton, fold(t.as_py())) for t in texts), np.float64, len(texts))
+def _scores(lexicon: Lexicon, automaton, read: Reader, texts: pa.Array) -> np.ndarray:
+    x = np.fromiter((evidence(automaton, read(t.as_py())) for t in texts), np.float64, len(texts))
     return 1 / (1 + np.exp(-np.clip(lexicon.bias + lexicon.slope * x, -30, 30)))
 
 
 def score(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
     """(doc_id, score) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = lexicon.automaton()
+        automaton, read = lexicon.automaton(), lexicon.reader()
         for batch in batches:
-            p = _scores(lexicon, automaton, batch.column("t"))
+            p = _scores(lexicon, automaton, read, batch.column("t"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p)], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(text).alias("t"))
@@ -299,9 +368,9 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
     @F.arrow_udf("double")
     def score_of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        automaton = lexicon.automaton()
+        automaton, read = lexicon.automaton(), lexicon.reader()
         for batch in texts:
-            yield pa.array(_scores(lexicon, automaton, batch))
+            yield pa.array(_scores(lexicon, automaton, read, batch))
 
     return docs.where(score_of(text_of()) < threshold)
 

@@ -531,6 +531,27 @@ def test_lexicon_and_exceptions():
     assert short > long > 0
 
 
+def test_every_reading_of_signs():
+    lex = toxicity.Lexicon({" clown ": 2.0, " loser": 2.0, " worthless ": 2.0, " idio": 3.0, " zbig ": 1.0}, ("class clown",))
+    a, read = lex.automaton(), lex.reader()
+    found = lambda t: len(toxicity.matches(a, read(t)))
+    for t in ("c1own", "1oser", "worth1ess", "C|0WN!", "l0$er5", "w0rth!e55.", "!d|0+s", "(c1own)", "2b1g", "26i9", "1diot", "сl0wn",
+              "a|clown", "stop!idiot", "rock+c1own", "clown|x", "c1own|x", "1|1|1|1|1|1|1|1|1|1|1x c1own"):
+        assert found(t) == 1, t
+    for t in ("class c1own", "c1owns", "c10wn5", "1ose", "worth1es", "1105", "d1own", "clow|n|"):
+        assert found(t) == 0, t
+    assert found("c1own and 1osers, idiot") == 3
+    for t in ("St0p! 45.3 a|b 2019 rock+roll x2 mp3", "", "…", "Plain words, no signs!"):
+        assert read(t) == toxicity.fold(t)
+
+
+def test_toxicity_scores_spellings_alike(spark):
+    lex = toxicity.Lexicon({" clown ": 2.0, " loser": 2.0, " worthless ": 2.0}, (), -2.0, 3.0)
+    d = [(1, "you clown and worthless loser"), (2, "you c1own and worth1ess 1oser"), (3, "you c|own and worth!ess |oser")]
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(d, "doc_id long, text string"), lex).collect()}
+    assert got[1] == got[2] == got[3] > 0.5
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
