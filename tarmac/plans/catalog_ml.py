@@ -144,6 +144,13 @@ def q_ml_grid_nk(c: Ctx) -> DataFrame:
     return grid(c, c.airport_features, feat.AIRPORT_CLUSTER_FEATURES, ["YEAR", "IATA"], GRID_N, GRID_K)
 
 
+@query("ml_grid_nk_routes")
+def q_ml_grid_nk_routes(c: Ctx) -> DataFrame:
+    """ML-09 as the reference runs it: over the 22 rescaled route features."""
+    scaled = cut_lineage(feat.scaled_routes(c.route_features))
+    return grid(c, scaled, feat.ROUTE_CLUSTER_FEATURES, ["YEAR", "ORIGIN", "DEST"], GRID_N, GRID_K)
+
+
 @query("ml_elbow")
 def q_ml_elbow(c: Ctx) -> DataFrame:
     """ML-10: SSE of k-means over k on scaled airport features."""

@@ -207,6 +207,20 @@ def test_null_features_are_refused_not_dropped(spark):
     assert out.count() == 4
 
 
+def test_route_grid(ctx):
+    from conftest import SMALL
+
+    from tarmac.registry import all_queries
+    got = {(r.N, r.K): r.SSE for r in all_queries()["ml_grid_nk_routes"](ctx.spark, SMALL).collect()}
+    assert set(got) == {(n, k) for n in range(1, 6) for k in range(1, 25)}
+    scaled = feat.scaled_routes(ctx.route_features)
+    for n in (1, 5):
+        pcs, _ = cluster.pca(scaled, feat.ROUTE_CLUSTER_FEATURES, n, ["YEAR", "ORIGIN", "DEST"])
+        total = cluster.total_ss(pcs, [f"PC{j + 1}" for j in range(n)])
+        assert abs(got[n, 1] - total) <= 1e-6 * total
+        assert 0 <= got[n, 24] < got[n, 1]
+
+
 def test_more_clusters_than_points(spark):
     df = spark.createDataFrame([(1, 1.0), (2, 3.0), (3, 1.0)], "id int, a double")
     out, cost, centres = cluster.kmeans(df, ["a"], 10)
