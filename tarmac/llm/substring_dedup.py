@@ -152,14 +152,13 @@ def _runs(run: int, min_words: int, grow: bool = False):
             for part in tn.slices(batch, "t"):
                 s = Sentences(part.column("t"), run, min_words if grow else 0)
                 h1, h2 = s.hashes(min_words)
-                ids = part.column("id").to_numpy(zero_copy_only=False)
+                ids, th = (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "th"))
                 if len(h1):  # a run counts once per text
                     order = np.lexsort((h2, h1, s.run_text))
                     t, x, y = s.run_text[order], h1[order], h2[order]
                     one = np.ones(len(t), bool)
                     one[1:] = (t[1:] != t[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-                    yield pa.RecordBatch.from_arrays([pa.array(x[one]), pa.array(y[one]), pa.array(ids[t[one]])],
-                                                     ["h1", "h2", "id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a[one]) for a in (x, y, ids[t], th[t])], ["h1", "h2", "id", "th"])
     return emit
 
 
@@ -213,12 +212,13 @@ def _kept(s: Sentences, covered: np.ndarray, per_text: np.ndarray, column: pa.Ar
 
 def substring_dedup(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, grow: bool = False) -> DataFrame:
     """doc_id, n_sentences, n_removed and the text that is left, for every row."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("id"), text_of().alias("t"))
-    runs = rows.mapInArrow(_runs(run, min_words, grow), "h1 long, h2 long, id long")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("id"), text_of().alias("t")) \
+        .withColumn("th", F.hash("t"))  # rows without an id, or with a repeated one, are told apart by text
+    runs = rows.mapInArrow(_runs(run, min_words, grow), "h1 long, h2 long, id long, th int")
     first = runs.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")) \
         .where("first < last").drop("last")
-    seen = runs.join(first, ["h1", "h2"]).where("id > first").groupBy("id").agg(F.collect_set("h1").alias("seen"))
-    out = rows.join(seen, "id", "left").mapInArrow(
+    seen = runs.join(first, ["h1", "h2"]).where("id > first").groupBy("id", "th").agg(F.collect_set("h1").alias("seen"))
+    out = rows.join(seen, ["id", "th"], "left").mapInArrow(
         _rebuild(run, min_words, grow), "doc_id long, n_sentences long, n_removed long, text string")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != int(LAST), F.col("doc_id")))
 

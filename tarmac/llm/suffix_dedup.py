@@ -94,7 +94,7 @@ _CODES = tn.mix(np.arange(256, dtype=np.uint64), 7)
 
 
 def _minimisers(size: int, gram: int, per_text: bool):
-    """(v, n): grams of a minimiser in a slice; or (v, id): each minimiser of a text once."""
+    """(v, n): grams of a minimiser in a slice; or (v, doc): each minimiser of a text once."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tn.slices(batch, "t"):
@@ -107,8 +107,8 @@ def _minimisers(size: int, gram: int, per_text: bool):
                     order = np.lexsort((v, text))
                     text, v = text[order], v[order]
                     one = np.concatenate([[True], (text[1:] != text[:-1]) | (v[1:] != v[:-1])])
-                    ids = part.column("id").to_numpy(zero_copy_only=False)
-                    yield pa.RecordBatch.from_arrays([pa.array(v[one]), pa.array(ids[text[one]])], ["v", "id"])
+                    docs = part.column("doc").to_numpy(zero_copy_only=False)
+                    yield pa.RecordBatch.from_arrays([pa.array(v[one]), pa.array(docs[text[one]])], ["v", "doc"])
     return emit
 
 
@@ -317,13 +317,16 @@ def _strip(size: int):
 
 def covered(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT, per_bucket: int = PER_BUCKET) -> DataFrame:
     """(id, th, pos, windows): runs of windows that an earlier equal string repeats."""
-    rows = _keyed(docs)
+    # rows without an id, or with a repeated one, are told apart by text; texts that share a key by
+    # chance share minimisers that occur more than once, and nothing else
+    doc = F.xxhash64("id", "th").alias("doc")
+    rows = _keyed(docs).select("*", doc)
     count = rows.mapInArrow(_minimisers(size, gram, False), "v long, n long").groupBy("v").agg(F.sum("n").alias("n"))
     again = count.where("n > 1").select("v")
-    seen = rows.mapInArrow(_minimisers(size, gram, True), "v long, id long").join(again, "v") \
-        .groupBy("id").agg(F.collect_set("v").alias("seen"))
-    packed = rows.mapInArrow(_pack, "id long, th long, z binary")
-    found = stored(packed.join(seen, "id").mapInArrow(_repeated_runs(size, gram), REPEATED), "suffix-runs")
+    seen = rows.mapInArrow(_minimisers(size, gram, True), "v long, doc long").join(again, "v") \
+        .groupBy("doc").agg(F.collect_set("v").alias("seen"))
+    packed = rows.mapInArrow(_pack, "id long, th long, z binary").select("*", doc)
+    found = stored(packed.join(seen, "doc").mapInArrow(_repeated_runs(size, gram), REPEATED), "suffix-runs")
 
     kinds = found.where("lead").groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"),
                                                         F.min("v").alias("v"), F.max("own").alias("own"))

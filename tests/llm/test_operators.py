@@ -421,6 +421,31 @@ def test_suffix_dedup_all_rows(awkward):
     assert Counter(r.doc_id for r in suffix_dedup.suffix_dedup(awkward).collect()) == Counter(i for i, _, _ in plain())
 
 
+@pytest.mark.parametrize("module, name", [(substring_dedup, "_rebuild"), (suffix_dedup, "_repeated_runs")])
+def test_rows_without_id_are_no_group(spark, monkeypatch, module, name):
+    """What one row has seen before is no other row's, also without a doc_id."""
+    rng = np.random.default_rng(4)
+    body = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 30)) + "." for _ in range(60)]
+    d = [(i, t, None, None) for i, t in enumerate(body)] + [(None, t, None, None) for t in body] + [(99, body[0], None, None)]
+    make = getattr(module, name)
+
+    def bounded(*args):
+        def emit(batches):
+            def checked():
+                for batch in batches:
+                    if any(len(x) > 30 for x in batch.column("seen").to_pylist() if x):
+                        raise ValueError("a row with the hashes of others")
+                    yield batch
+            return make(*args)(checked())
+        return emit
+
+    monkeypatch.setattr(module, name, bounded)
+    df = spark.createDataFrame([(i, t) for i, t, *_ in d], "doc_id long, text string").repartition(3)
+    got = (module.substring_dedup if module is substring_dedup else module.suffix_dedup)(df).collect()
+    assert len(got) == len(d)
+    assert all((r.n_removed > 0) == (r.doc_id is None or r.doc_id == 99) for r in got)
+
+
 # ------------------------------------------------------------- 1
 def sets(docs):
     out = {}
