@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarmac.llm import decontaminate, exact_dedup, mixing, sharding, substring_dedup, suffix_dedup, warc
+from tarmac.llm import (decontaminate, exact_dedup, filter_audit, jaccard_join, lexical_search, mixing, sharding,
+                        substring_dedup, suffix_dedup, warc)
 from tarmac.llm.common import table
 from tarmac.llm.decontaminate import op6_decontaminate
 from tarmac.llm.exact_dedup import op7_exact_dedup
+from tarmac.llm.filter_audit import op13_filter_audit
+from tarmac.llm.jaccard_join import op11_jaccard_join
+from tarmac.llm.lexical_search import op12_lexical_search
 from tarmac.llm.mixing import op2_mix_sources
 from tarmac.llm.near_dedup import op1_dart_minhash
 from tarmac.llm.sharding import op5_shard
@@ -39,6 +43,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": _over(op8_token_counts, "documents"),
     "op9_warc": _over(op9_warc, "pages"),
     "op10_toxicity": _over(op10_toxicity, "documents", "labels"),
+    "op11_jaccard_join": _over(op11_jaccard_join, "documents"),
+    "op12_lexical_search": _over(op12_lexical_search, "documents", "benchmark"),
+    "op13_filter_audit": _over(op13_filter_audit, "documents", "labels"),
 }
 
 ORACLES: dict[str, str] = {
@@ -49,4 +56,7 @@ ORACLES: dict[str, str] = {
     "op6_decontaminate": decontaminate.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op9_warc": warc.ORACLE,
+    "op11_jaccard_join": jaccard_join.ORACLE,
+    "op12_lexical_search": lexical_search.ORACLE,
+    "op13_filter_audit": filter_audit.ORACLE,
 }

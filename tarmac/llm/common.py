@@ -35,6 +35,19 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def join_by_key(rows: DataFrame, keyed: DataFrame, key: str, copies: str, most: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed``, whose ``key`` is unique and whose ``copies`` counts the rows of each key.
+
+    Fewer than ``most`` keys can have more than a share of 1/most of all rows; those are
+    broadcast, so the rows of a hot key stay where they are. The others meet by a plain join.
+    """
+    total = keyed.agg(F.coalesce(F.sum(copies), F.lit(0))).first()[0]
+    hot = F.col(copies) * F.lit(most) > F.lit(total)
+    heavy = F.broadcast(keyed.where(hot))
+    light = rows.join(heavy.select(key), key, "left_anti").join(keyed.where(~hot), key)
+    return rows.join(heavy, key).unionByName(light)
+
+
 def running_sum(df: DataFrame, group: list[str], order: str, value: str, out: str, block: int = 128) -> DataFrame:
     """``out`` = sum of ``value`` over rows of the group with a smaller ``order``.
 

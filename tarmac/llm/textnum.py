@@ -109,6 +109,40 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
         self.text = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
 
+    def strings(self) -> pa.Array:
+        """The words themselves, as a large_binary column."""
+        size = self.end - self.start
+        edge = np.zeros(len(self.data) + 1, np.int8)
+        edge[self.start] += 1
+        edge[self.end] -= 1
+        held = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+        offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(size),
+                                     [None, pa.py_buffer(offsets), pa.py_buffer(self.data[held].tobytes())])
+
+    def keyed(self, fold: bool, key: int) -> np.ndarray:
+        """64-bit hash of each word under a secret 64-bit key; ``fold`` reads A-Z as a-z.
+
+        Every eight bytes pass the whole finaliser, which starts from the key: without it
+        nobody can make up two words of one hash.
+        """
+        if not len(self.start):
+            return np.zeros(0, np.uint64)
+        data = np.concatenate([FOLD[self.data] if fold else self.data, np.zeros(8, np.uint8)])
+        eight = np.lib.stride_tricks.as_strided(data[:8].view("<u8"), (len(self.data) + 1,), (1,))
+        size = self.end - self.start
+        h = mix(mix(size.astype(np.uint64) ^ U(key), 1) ^ U(key), 2)
+        short = np.flatnonzero(size <= LONG_WORD)
+        for i in np.flatnonzero(size > LONG_WORD):
+            h[i] = int.from_bytes(hashlib.blake2b(data[self.start[i]:self.end[i]], digest_size=8,
+                                                  key=key.to_bytes(8, "little")).digest(), "little")
+        at, left, who = self.start[short], size[short], short
+        while len(at):
+            h[who] = mix(h[who] ^ (eight[at] & KEEP[np.minimum(left, 8)]), 3)
+            more = np.flatnonzero(left > 8)
+            at, left, who = at[more] + 8, left[more] - 8, who[more]
+        return mix(h ^ U(key), 4)
+
     def hashes(self, fold: bool) -> np.ndarray:
         """64-bit hash of each word; ``fold`` reads A-Z as a-z."""
         if not len(self.start):
