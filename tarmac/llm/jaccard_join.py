@@ -3,7 +3,7 @@
 A document's set holds its distinct runs of four words. Two documents link when 100 times the
 size of the intersection is at least 85 times that of the union. The join is exact:
 
-* Documents with equal sets are one node (a digest of the sorted set).
+* Documents with equal sets are one node (a digest of the sorted set); its first row stands for it.
 * Shingles are ordered by how often documents hold them, counted in 2**18 hashed counters. Two
   sets that link share a shingle among the first n - ceil(0.85 n) + 1 of each, whatever the
   order is; rare ones first keep such groups small. A group of one node has no partner.
@@ -39,7 +39,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarmac.llm import textnum as tn
@@ -51,6 +52,7 @@ PERCENT = 85
 COUNTERS = 1 << 18
 TILE = 256
 NARROW, WIDE = 64, 4096
+BITS = 1 << 22
 
 
 def _sets(column: pa.Array, size: int, key: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,20 +70,21 @@ def _counter(h: np.ndarray) -> np.ndarray:
     return (h >> tn.U(64 - int(math.log2(COUNTERS)))).astype(np.int64)
 
 
-def _frequencies(docs: DataFrame, size: int, key: int) -> np.ndarray:
-    """Documents per counter: summed per task, then over tasks; COUNTERS numbers come back."""
+def _frequencies(docs: DataFrame, size: int, key: int) -> tuple[np.ndarray, int]:
+    """Documents per counter and in all: summed per task, then over tasks; COUNTERS + 1 numbers come back."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        times = np.zeros(COUNTERS, np.int64)
+        times = np.zeros(COUNTERS + 1, np.int64)
         for batch in batches:
+            times[COUNTERS] += batch.num_rows
             for part in tn.slices(batch, "t", most=1 << 20):
-                times += np.bincount(_counter(_sets(part.column("t"), size, key)[1]), minlength=COUNTERS)
+                times[:COUNTERS] += np.bincount(_counter(_sets(part.column("t"), size, key)[1]), minlength=COUNTERS)
         i = np.flatnonzero(times)
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(times[i])], ["i", "n"])
 
     found = docs.select(text_of().alias("t")).mapInArrow(count, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(COUNTERS, np.int64)
+    out = np.zeros(COUNTERS + 1, np.int64)
     out[found["i"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    return out
+    return out[:COUNTERS], int(out[COUNTERS])
 
 
 def prefix_sizes(n: np.ndarray, percent: int) -> np.ndarray:
@@ -98,8 +101,9 @@ def bitmaps(text: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
     return np.packbits(bits, bitorder="little"), width
 
 
-def describe(docs: DataFrame, percent: int, size: int, key: int, frequency: np.ndarray) -> DataFrame:
-    """doc_id, tkey (text digest), skey (set digest, null for an empty set), n, prefix and bits of every row."""
+def describe(docs: DataFrame, percent: int, size: int, key: int, frequency: np.ndarray, docs_in: int) -> DataFrame:
+    """doc_id, tkey (text digest), skey (set digest, null for an empty set), n, prefix and bits of every row.
+    A prefix token is hot if more than 1 % of the documents may hold it."""
     shared = docs.sparkSession.sparkContext.broadcast(frequency)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,17 +121,20 @@ def describe(docs: DataFrame, percent: int, size: int, key: int, frequency: np.n
                 order = np.lexsort((h, shared.value[_counter(h)], text))
                 take = np.where(n > 0, prefix_sizes(n, percent), 0)
                 rank = np.arange(len(h)) - np.repeat(first[:-1], n)
-                prefix = h[order][rank < np.repeat(take, n)].view(np.int64)
+                prefix = h[order][rank < np.repeat(take, n)]
+                tokens = pa.StructArray.from_arrays([pa.array(prefix.view(np.int64)),
+                                                     pa.array(shared.value[_counter(prefix)] * 100 > docs_in)], ["token", "hot"])
                 ends = np.concatenate([[0], np.cumsum(take)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("tkey"), pa.array(keys, pa.binary()), pa.array(n.astype(np.int64)),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(prefix)),
+                     pa.ListArray.from_arrays(pa.array(ends), tokens),
                      pa.array([data[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
                     ["doc_id", "tkey", "skey", "n", "prefix", "bits"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t")) \
         .select("doc_id", F.unhex(F.md5(F.col("t").cast("binary"))).alias("tkey"), "t")
-    return rows.mapInArrow(work, "doc_id long, tkey binary, skey binary, n long, prefix array<long>, bits binary")
+    return rows.mapInArrow(work, "doc_id long, tkey binary, skey binary, n long, "
+                           "prefix array<struct<token:long,hot:boolean>>, bits binary")
 
 
 def _folded(rows: list[bytes], width: int) -> np.ndarray:
@@ -239,50 +246,87 @@ def _tiles(member: DataFrame, percent: int) -> DataFrame:
         .applyInArrow(_pass_tile(percent), "a long, b long").distinct()
 
 
+def _groups(known: DataFrame, named: DataFrame, docs_in: int) -> DataFrame:
+    """(token, node, m) of the representatives' prefix tokens that m > 1 rows hold."""
+    # copies of a very common text count once; fewer than 1000 sets can be that common
+    heavy = F.broadcast(named.where(F.col("copies") * 1000 > docs_in).select("skey", F.col("node").alias("kept")))
+    rows = known.where("skey IS NOT NULL").join(heavy, "skey", "left").where("kept IS NULL OR kept = row")
+    token = rows.select(F.col("row").alias("node"), F.explode("prefix").alias("p")).select("node", "p.token", "p.hot")
+    # a token in at most 1 % of the documents is counted beside its rows, a commoner one before they move
+    light = token.where("NOT hot").select("token", "node", F.count(F.lit(1)).over(W.partitionBy("token")).alias("m")).where("m > 1")
+    hot = token.where("hot").select("token", "node")
+    hot = hot.join(hot.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "token")
+    # equal sets need no comparison
+    return light.unionByName(hot).join(named.select("node"), "node", "left_semi")
+
+
+def _of_some(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, t) of the documents named in ``wanted`` (node, id, tkey), one row each.
+
+    Texts that a bitmap of the wanted digests (BITS of them, however many are wanted) rules out
+    are not shuffled.
+    """
+    def bit(c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(BITS))
+    rows = wanted.select(bit("tkey").alias("b")).distinct().toPandas()["b"].to_numpy(np.int64)  # at most BITS numbers
+    flags = np.zeros(BITS, bool)
+    flags[rows] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(flags))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = batch.column("b").to_numpy()
+            yield batch.filter(pa.array((shared.value[b >> 3] >> (7 - (b & 7)) & 1).astype(bool))).drop_columns(["b"])
+
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), text_of().alias("t")) \
+        .withColumn("tkey", F.unhex(F.md5(F.col("t").cast("binary")))).withColumn("b", bit("tkey"))
+    rows = rows.mapInArrow(some, "id long, t string, tkey binary")
+    return rows.join(wanted, ["id", "tkey"]).dropDuplicates(["node"]).select("node", "t")
+
+
 def jaccard_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
     key = secrets.randbits(64)
-    known = stored(describe(docs, percent, size, key, _frequencies(docs, size, key)), "join-sets")
+    frequency, docs_in = _frequencies(docs, size, key)
+    known = describe(docs, percent, size, key, frequency, docs_in)
+    known = stored(known.select(F.monotonically_increasing_id().alias("row"), "*"), "join-sets")
     named = known.where("skey IS NOT NULL").groupBy("skey").agg(
-        F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "tkey")).alias("rep"), F.min("doc_id").alias("low"),
-        F.count(F.lit(1)).alias("copies"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"),
-        F.any_value("bits").alias("bits"))
-    node = stored(named.select(F.monotonically_increasing_id().alias("node"), "*"), "join-nodes")
-
-    member = node.select("node", F.explode("prefix").alias("token"))
-    member = stored(member.join(member.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "token"), "join-groups")
-    grouped = member.groupBy("node").agg(F.sum("m").alias("pop"))
-    led = member.join(grouped, "node").groupBy("token").agg(F.max(F.struct("pop", "node")).alias("lead")) \
+        F.min(F.struct("row", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "tkey")).alias("rep"),
+        F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
+    named = stored(named.select("skey", F.col("rep.row").alias("node"), F.col("rep.id").alias("id"), F.col("rep.tkey").alias("tkey"),
+                                "low", "copies"), "join-nodes")
+
+    member = stored(_groups(known, named, docs_in), "join-groups")
+    popular = member.groupBy("node").agg(F.sum("m").alias("pop"))
+    led = member.join(popular, "node").groupBy("token").agg(F.max(F.struct("pop", "node")).alias("lead")) \
         .select("token", F.col("lead.node").alias("leader"))
     member = stored(member.select("token", "node").join(led, "token").where("node <> leader"), "join-led")
-
-    # sorted arrays of the nodes that share a group
-    wanted = node.join(grouped, "node", "left_semi").select("node", F.col("rep.id").alias("id"), F.col("rep.tkey").alias("tkey"))
-    bodies = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), text_of().alias("t")) \
-        .withColumn("tkey", F.unhex(F.md5(F.col("t").cast("binary"))))
-    arrays = stored(bodies.join(wanted, ["id", "tkey"]).dropDuplicates(["node"]).select("node", "t")
-                    .mapInArrow(_sorted_arrays(size, key), "node long, items binary"), "join-arrays")
+    bitmap = known.select(F.col("row").alias("node"), "n", "bits")
 
     def settled(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs, "join-candidates")
+        ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+        wanted = stored(named.join(ends, "node").select("node", "id", "tkey"), "join-wanted")
+        arrays = stored(_of_some(docs, wanted).mapInArrow(_sorted_arrays(size, key), "node long, items binary"), "join-arrays")
         full = _both(pairs, arrays, "items").select("a", "b", F.col("items_a").alias("xa"), F.col("items_b").alias("xb"))
         return stored(full.mapInArrow(_intersect(percent), "a long, b long"), "join-links")
 
     star = member.select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
-    star = _both(star, node, "n").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    star = _both(star, node, "bits").select("a", "b", F.col("n_a").alias("na"), F.col("n_b").alias("nb"), "bits_a", "bits_b")
-    links = settled(stored(star.mapInArrow(_pass_bound(percent), "a long, b long"), "join-candidates"))
+    star = _both(star, bitmap, "n", "bits").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)") \
+        .select("a", "b", F.col("n_a").alias("na"), F.col("n_b").alias("nb"), "bits_a", "bits_b")
+    links = settled(star.mapInArrow(_pass_bound(percent), "a long, b long"))
     root = components(links)
 
     rooted = member.select("token", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    rest = rooted.join(split.select("token"), "token", "left_semi").join(node.select("node", "n", "bits"), "node")
-    more = settled(stored(_tiles(rest, percent), "join-candidates"))
+    rest = rooted.join(split.select("token"), "token", "left_semi").join(bitmap, "node")
+    more = settled(_tiles(rest, percent))
     if not more.isEmpty():
         root = components(links.unionAll(more))
 
-    named = node.select("node", "skey", "low", "copies").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = named.select("node", "skey", "low", "copies").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = named.join(least, "root").select("skey", "copies", "component_id")
+    named = stored(named.join(least, "root").select("skey", "copies", "component_id"), "join-components")
     out = join_by_key(known.where("skey IS NOT NULL").select("doc_id", F.col("n").alias("n_shingles"), "skey"), named, "skey", "copies")
     alone = known.where("skey IS NULL").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.select("doc_id", "n_shingles", "component_id").unionByName(alone)
