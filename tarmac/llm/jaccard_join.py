@@ -7,10 +7,12 @@ size of the intersection is at least 85 times that of the union. The join is exa
 * Shingles are ordered by how often documents hold them, counted in 2**18 hashed counters. Two
   sets that link share a shingle among the first n - ceil(0.85 n) + 1 of each, whatever the
   order is; rare ones first keep such groups small. A group of one node has no partner.
-* Each group compares its members with its most popular member, the leader: linear in the group.
-  Sizes must fit, then hashed bitmaps: a bit that only one of the two has set stands for an
-  element the other lacks, so bit counts bound the overlap from above. What passes is settled by
-  intersecting the sorted arrays. Links give components.
+* Two sets need only meet in the group of their first common shingle, before which nothing is
+  shared: the places of the shingle in both bound their overlap there.
+* Each group compares its members with its LEADERS most popular members: linear in the group.
+  Sizes and places must fit, then hashed bitmaps: a bit that only one of the two has set stands
+  for an element the other lacks, so bit counts bound the overlap from above. What passes is
+  settled by intersecting the sorted arrays. Links give components.
 * Groups whose other members then lie in different components are cut into tiles: members of one
   size band (sizes within a factor of 0.85) meet those of their own and the next smaller band in
   blocks of about TILE. A block of members outside the group's largest component meets all blocks,
@@ -53,6 +55,7 @@ COUNTERS = 1 << 18
 TILE = 256
 NARROW, WIDE = 64, 4096
 BITS = 1 << 22
+LEADERS = 4
 
 
 def _sets(column: pa.Array, size: int, key: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,8 +125,9 @@ def describe(docs: DataFrame, percent: int, size: int, key: int, frequency: np.n
                 take = np.where(n > 0, prefix_sizes(n, percent), 0)
                 rank = np.arange(len(h)) - np.repeat(first[:-1], n)
                 prefix = h[order][rank < np.repeat(take, n)]
-                tokens = pa.StructArray.from_arrays([pa.array(prefix.view(np.int64)),
-                                                     pa.array(shared.value[_counter(prefix)] * 100 > docs_in)], ["token", "hot"])
+                tokens = pa.StructArray.from_arrays(
+                    [pa.array(prefix.view(np.int64)), pa.array(shared.value[_counter(prefix)] * 100 > docs_in),
+                     pa.array(rank[rank < np.repeat(take, n)].astype(np.int32))], ["token", "hot", "pos"])
                 ends = np.concatenate([[0], np.cumsum(take)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("tkey"), pa.array(keys, pa.binary()), pa.array(n.astype(np.int64)),
@@ -134,7 +138,7 @@ def describe(docs: DataFrame, percent: int, size: int, key: int, frequency: np.n
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t")) \
         .select("doc_id", F.unhex(F.md5(F.col("t").cast("binary"))).alias("tkey"), "t")
     return rows.mapInArrow(work, "doc_id long, tkey binary, skey binary, n long, "
-                           "prefix array<struct<token:long,hot:boolean>>, bits binary")
+                           "prefix array<struct<token:long,hot:boolean,pos:int>>, bits binary")
 
 
 def _folded(rows: list[bytes], width: int) -> np.ndarray:
@@ -173,9 +177,9 @@ def _pass_bound(percent: int):
 
 
 def _pass_tile(percent: int):
-    """Pairs of one tile, of different components, that the bound cannot exclude."""
+    """Pairs of one tile, of different components, that the bounds cannot exclude."""
     def compare(tile: pa.Table) -> pa.Table:
-        node, n, root, side = (tile.column(c).to_numpy() for c in ("node", "n", "root", "side"))
+        node, n, pos, root, side = (tile.column(c).to_numpy() for c in ("node", "n", "pos", "root", "side"))
         bits = tile.column("bits").to_pylist()
         width = 8 * min(map(len, bits))
         x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
@@ -184,6 +188,8 @@ def _pass_tile(percent: int):
         common = (flat[x] @ flat[y].T).astype(np.int64)
         ok = _may_link(n[x][:, None], n[y][None, :], have[x][:, None], have[y][None, :], common, percent)
         ok &= root[x][:, None] != root[y][None, :]
+        left = np.minimum((n - pos)[x][:, None], (n - pos)[y][None, :])
+        ok &= (100 + percent) * left >= percent * (n[x][:, None] + n[y][None, :])
         i, j = np.nonzero(ok)
         a, b = node[x[i]], node[y[j]]
         return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
@@ -224,16 +230,18 @@ def _both(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
 
 
 def _tiles(member: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of members (token, node, n, bits, root) of unresolved groups."""
+    """Candidate pairs (a, b) of members (token, node, n, pos, bits, root) of unresolved groups."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent))).cast("int")
     member = member.withColumn("band", F.explode(F.array(band, band + 1)))
     size = member.groupBy("token", "band", "root").agg(
-        F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("y"))
+        F.count(F.lit(1)).alias("c"), F.min("pos").alias("pos"), F.bit_xor(F.xxhash64("node")).alias("x"),
+        F.bit_xor(F.xxhash64("node", F.lit(7))).alias("y"))
     size = size.groupBy("token", "band").agg(
         F.sum("c").alias("total"), F.max(F.struct("c", "root")).alias("major"), F.count(F.lit(1)).alias("roots"),
-        F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where("roots > 1")
-    size = size.groupBy("band", "total", "x", "y").agg(F.min(F.struct("token", "major")).alias("g")) \
-        .select("band", "total", "g.*")
+        F.min("pos").alias("first"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where("roots > 1")
+    # of groups with the same members the one whose token comes first in all of them
+    size = size.groupBy("band", "total", "x", "y").agg(F.min(F.struct("first", "token", "major")).alias("g")) \
+        .select("band", "total", "g.token", "g.major")
     d = member.join(size, ["token", "band"])
     small, large = F.ceil((F.col("total") - F.col("major.c")) / F.lit(TILE)), F.ceil(F.col("total") / F.lit(TILE))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
@@ -241,20 +249,23 @@ def _tiles(member: DataFrame, percent: int) -> DataFrame:
         .withColumn("i", F.pmod(F.xxhash64("node"), small.cast("long"))).withColumn("j", upto(large)).withColumn("side", F.lit(0))
     rest = d.withColumn("j", F.pmod(F.xxhash64("node", F.lit(1)), large.cast("long"))).withColumn("i", upto(small)) \
         .withColumn("side", F.lit(1))
-    cols = ["token", "band", "i", "j", "side", "node", "n", "root", "bits"]
+    cols = ["token", "band", "i", "j", "side", "node", "n", "pos", "root", "bits"]
     return own.select(cols).unionAll(rest.select(cols)).groupBy("token", "band", "i", "j") \
         .applyInArrow(_pass_tile(percent), "a long, b long").distinct()
 
 
 def _groups(known: DataFrame, named: DataFrame, docs_in: int) -> DataFrame:
-    """(token, node, m) of the representatives' prefix tokens that m > 1 rows hold."""
+    """(token, node, n, pos, m) of the representatives' prefix tokens that m > 1 rows hold; ``pos`` is the
+    token's place in the set of ``n``."""
     # copies of a very common text count once; fewer than 1000 sets can be that common
     heavy = F.broadcast(named.where(F.col("copies") * 1000 > docs_in).select("skey", F.col("node").alias("kept")))
     rows = known.where("skey IS NOT NULL").join(heavy, "skey", "left").where("kept IS NULL OR kept = row")
-    token = rows.select(F.col("row").alias("node"), F.explode("prefix").alias("p")).select("node", "p.token", "p.hot")
+    token = rows.select(F.col("row").alias("node"), F.col("n").cast("int").alias("n"), F.explode("prefix").alias("p")) \
+        .select("node", "n", "p.token", "p.hot", "p.pos")
+    cols = ["token", "node", "n", "pos"]
     # a token in at most 1 % of the documents is counted beside its rows, a commoner one before they move
-    light = token.where("NOT hot").select("token", "node", F.count(F.lit(1)).over(W.partitionBy("token")).alias("m")).where("m > 1")
-    hot = token.where("hot").select("token", "node")
+    light = token.where("NOT hot").select(*cols, F.count(F.lit(1)).over(W.partitionBy("token")).alias("m")).where("m > 1")
+    hot = token.where("hot").select(*cols)
     hot = hot.join(hot.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "token")
     # equal sets need no comparison
     return light.unionByName(hot).join(named.select("node"), "node", "left_semi")
@@ -298,9 +309,9 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
 
     member = stored(_groups(known, named, docs_in), "join-groups")
     popular = member.groupBy("node").agg(F.sum("m").alias("pop"))
-    led = member.join(popular, "node").groupBy("token").agg(F.max(F.struct("pop", "node")).alias("lead")) \
-        .select("token", F.col("lead.node").alias("leader"))
-    member = stored(member.select("token", "node").join(led, "token").where("node <> leader"), "join-led")
+    order = W.partitionBy("token").orderBy(F.desc("pop"), "node")
+    led = stored(member.join(popular, "node").withColumn("k", F.row_number().over(order)).where(F.col("k") <= LEADERS)
+                 .select("token", F.col("node").alias("leader"), F.col("n").alias("ln"), F.col("pos").alias("lpos")), "join-leaders")
     bitmap = known.select(F.col("row").alias("node"), "n", "bits")
 
     def settled(pairs: DataFrame) -> DataFrame:
@@ -311,15 +322,20 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         full = _both(pairs, arrays, "items").select("a", "b", F.col("items_a").alias("xa"), F.col("items_b").alias("xb"))
         return stored(full.mapInArrow(_intersect(percent), "a long, b long"), "join-links")
 
-    star = member.select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
-    star = _both(star, bitmap, "n", "bits").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)") \
+    star = member.join(led, "token").where("node <> leader").where(f"100 * least(n, ln) >= {percent} * greatest(n, ln)") \
+        .where(f"{100 + percent} * least(n - pos, ln - lpos) >= {percent} * (n + ln)") \
+        .select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
+    star = _both(star, bitmap, "n", "bits") \
         .select("a", "b", F.col("n_a").alias("na"), F.col("n_b").alias("nb"), "bits_a", "bits_b")
     links = settled(star.mapInArrow(_pass_bound(percent), "a long, b long"))
     root = components(links)
 
-    rooted = member.select("token", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # pairs of two members that are both no leaders
+    rest = member.where(F.col("m") > LEADERS + 1).drop("m") \
+        .join(led.select("token", F.col("leader").alias("node")), ["token", "node"], "left_anti")
+    rooted = rest.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    rest = rooted.join(split.select("token"), "token", "left_semi").join(bitmap, "node")
+    rest = rooted.join(split.select("token"), "token", "left_semi").join(bitmap.select("node", "bits"), "node")
     more = settled(_tiles(rest, percent))
     if not more.isEmpty():
         root = components(links.unionAll(more))
