@@ -19,17 +19,20 @@ from tarmac.plans.context import Ctx
 from tarmac.registry import query
 from tarmac.session import scratch_path
 from tarmac.sources import files
-from tarmac.sources.materialize import materialize
+from tarmac.sources.materialize import gathered, materialize
 from tarmac.sources.tables import CAMEL_COLUMNS
 from tarmac.streaming.ingest import ingest_available, read_table
+from tarmac.streaming.refresh import Refreshed, compact, read_aggregate, refresh
 
 ONTIME_NAMES = [c for c, _ in CAMEL_COLUMNS]
+#: AGG-01 kept up to date from monthly files
+PER_ORIGIN = Refreshed(("YEAR", "ORIGIN"), tuple(agg.ORIGIN_SUMS), {src: camel for camel, src in CAMEL_COLUMNS})
 
 
 def append_months(df: DataFrame, path: str) -> None:
     """SNK-01: add months to a table laid out by (YEAR, MONTH); months that
     are there already are replaced, so a month can be run again."""
-    (df.repartition("YEAR", "MONTH").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (gathered(df, ["YEAR", "MONTH"]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("YEAR", "MONTH").parquet(path))
 
 
@@ -214,6 +217,49 @@ def q_snk_partitioned_layout(c: Ctx) -> DataFrame:
         "YEAR", "MONTH", "FL_DATE", "CARRIER", "ORIGIN", "DEST", "ARR_DELAY")
 
 
+def _lookup_by(c: Ctx, column: str) -> DataFrame:
+    """Rows of the least value of a column, read from the lookup layout."""
+    value = c.fl.agg(F.min(column)).first()[0]
+    return c.lookup_layout.where(F.col(column) == value).select(
+        "FL_DATE", "CARRIER", "TAIL_NUM", "FL_NUM", "ORIGIN", "DEST", "ARR_DELAY")
+
+
+@query("snk_lookup_carrier")
+def q_snk_lookup_carrier(c: Ctx) -> DataFrame:
+    """SNK-08: one carrier's flights from the layout over several columns."""
+    return _lookup_by(c, "CARRIER")
+
+
+@query("snk_lookup_origin")
+def q_snk_lookup_origin(c: Ctx) -> DataFrame:
+    return _lookup_by(c, "ORIGIN")
+
+
+@query("snk_lookup_tail")
+def q_snk_lookup_tail(c: Ctx) -> DataFrame:
+    return _lookup_by(c, "TAIL_NUM")
+
+
+@query("str_agg_refresh")
+def q_str_agg_refresh(c: Ctx) -> DataFrame:
+    """SNK-05 + STR-01: the stored per-origin aggregate after a first landing with a faulty June
+    2012, a second landing, a compaction, and that month sent again."""
+    landing, table, ckpt = (scratch_path(c.spark, f"refresh-{x}") for x in ("landing", "table", "ckpt"))
+    src = c.camel.select(*ONTIME_NAMES)
+    june = (F.col("Year") == 2012) & (F.col("Month") == 6)
+    first = src.where(F.col("Year") <= 2012)
+    faulty = first.where(~june | (F.col("DayofMonth") > 9)).withColumn(
+        "DepDelay", F.when(june, F.col("DepDelay") + 7).otherwise(F.col("DepDelay")))
+    files.land_csv_months(faulty, f"{landing}/delivery=1")
+    refresh(c.spark, landing, ONTIME_NAMES, table, ckpt, PER_ORIGIN)
+    files.land_csv_months(src.where(F.col("Year") > 2012), f"{landing}/delivery=1", mode="append")
+    refresh(c.spark, landing, ONTIME_NAMES, table, ckpt, PER_ORIGIN)
+    compact(c.spark, table, ONTIME_NAMES, PER_ORIGIN)
+    files.land_csv_months(src.where(june), f"{landing}/delivery=2")
+    refresh(c.spark, landing, ONTIME_NAMES, table, ckpt, PER_ORIGIN)
+    return read_aggregate(c.spark, table, ONTIME_NAMES, PER_ORIGIN)
+
+
 @query("str_monthly_ingest")
 def q_str_monthly_ingest(c: Ctx) -> DataFrame:
     """STR-01: two landings, two availableNow runs; the table ends with

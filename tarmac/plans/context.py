@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarmac.operators import layout
 from tarmac.plans import dims
 from tarmac.session import ship_package
 from tarmac.sources import tables
@@ -18,6 +19,9 @@ from tarmac.sources.materialize import materialize, source_key, table_path
 
 FLIGHT_COLUMNS = tables.FLIGHT_COLUMNS
 TOP_AIRPORTS = 20  # airports per year that count as major
+# columns that lookups name: dates stand for year, month and week, airports for city and state
+LOOKUP_COLUMNS = ["CARRIER", "ORIGIN", "DEST", "FL_DATE"]
+LOOKUP_BLOOMS = ["TAIL_NUM", "ORIGIN_CITY_NAME", "DEST_CITY_NAME"]
 
 
 def _code_digest(root: str | None = None) -> str:
@@ -59,9 +63,15 @@ class Ctx:
 
     @cached_property
     def monthly_layout(self) -> DataFrame:
-        """SNK-08: the flights laid out by (YEAR, MONTH), rows by date; built once."""
-        return self._stored("flights_by_month", lambda: self.fl.repartition("YEAR", "MONTH", F.pmod(F.hash("FL_DATE"), F.lit(8)))
-                            .sortWithinPartitions("YEAR", "MONTH", "FL_DATE"), ["YEAR", "MONTH"])
+        """SNK-08: the flights laid out by (YEAR, MONTH); built once."""
+        return self._stored("flights_by_month", lambda: self.fl, ["YEAR", "MONTH"])
+
+    @cached_property
+    def lookup_layout(self) -> DataFrame:
+        """SNK-08: the flights along one curve over date, carrier and airports, with Bloom
+        filters on the tail number and the city names; built once."""
+        return self._stored("flights_lookup", lambda: layout.ordered(self.fl, LOOKUP_COLUMNS),
+                            options=layout.bloom_options(LOOKUP_BLOOMS))
 
     @cached_property
     def camel(self) -> DataFrame:
@@ -75,13 +85,14 @@ class Ctx:
     def carriers(self) -> DataFrame:
         return tables.carriers(self.spark, self.sf_dir)
 
-    def _stored(self, name: str, build, partition_by: list[str] | None = None) -> DataFrame:
+    def _stored(self, name: str, build, partition_by: list[str] | None = None,
+                options: dict[str, str] | None = None) -> DataFrame:
         """Load-or-build a derived table next to the flights table (the
         reference keeps the same tables: major_airlines.csv,
         major_airports.csv, the ``flights`` subset table)."""
         srcs = ["lineitem", "orders", "supplier", "customer", "part", "nation"]
         path = table_path(self.spark, name, CODE_DIGEST, self.tag, *source_key(self.sf_dir, srcs))
-        return materialize(self.spark, path, build, partition_by=partition_by)
+        return materialize(self.spark, path, build, partition_by=partition_by, options=options)
 
     @cached_property
     def ranks(self) -> DataFrame:

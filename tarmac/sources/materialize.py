@@ -16,6 +16,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tarmac.session import ensure_checkpoint_dir
 
@@ -39,6 +40,15 @@ def builds(spark: SparkSession, path: str) -> list[tuple[int, str]]:
     return sorted(out)
 
 
+def finished_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below ``path`` that hold a finished write."""
+    fs, p, jvm = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    return [st.getPath().getName() for st in fs.listStatus(p)
+            if fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))]
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     return bool(builds(spark, path))
 
@@ -49,22 +59,31 @@ def table_path(spark: SparkSession, name: str, *key_parts: str) -> str:
     return f"{base}/tarmac-tables/{name}-{digest}"
 
 
+def gathered(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of equal ``columns`` brought together, large groups split and small ones joined at run
+    time by their size (AQE's rebalance): folders get few files, and a hot folder many tasks."""
+    return df.hint("rebalance", *[F.col(c) for c in columns])
+
+
 def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame], refresh: bool = False,
-                partition_by: list[str] | None = None) -> DataFrame:
+                partition_by: list[str] | None = None, options: dict[str, str] | None = None) -> DataFrame:
     """Read ``path`` if it holds a finished table, else build, write, read.
 
     With ``partition_by`` the table is laid out in folders per value, so
     filters on those columns prune whole folders (PartitionFilters); the
-    column order of the built frame is restored on read.
+    column order of the built frame is restored on read. Rows are gathered by
+    those columns first, in pieces of the advisory partition size, so the
+    number of files follows the data and no value is one task's.
+    ``options`` go to the Parquet writer.
     """
     path = path.rstrip("/")
     found = builds(spark, path)
     if refresh or not found:
         generation = 1 - found[0][0] if found else 0
         mine = f"{path}/g{generation:06d}-{uuid.uuid4().hex[:12]}"
-        w = build().write
-        if partition_by:
-            w = w.partitionBy(*partition_by)
+        df = build()
+        w = (gathered(df, partition_by).write.partitionBy(*partition_by) if partition_by else df.write) \
+            .options(**(options or {}))
         w.parquet(mine)
         found = builds(spark, path)
         if not refresh and found[0][1] != mine:
