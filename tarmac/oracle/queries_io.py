@@ -8,6 +8,7 @@ from tarmac.oracle.queries_more import CAMEL_NAMES, CAMEL_SQL, HOL
 
 _NO_WEEK = ", ".join(c for c in CAMEL_NAMES if c != "WeekofYear")
 ORACLE["src_ontime_scan"] = q(f"select {_NO_WEEK} from camel", CAMEL_SQL)
+ORACLE["src_ontime_source"] = ORACLE["src_ontime_scan"]
 ORACLE["src_multi_period"] = q("select * from camel", CAMEL_SQL)
 ORACLE["str_monthly_ingest"] = q("select * from camel", CAMEL_SQL)
 ORACLE["src_airport_coords"] = q("""

@@ -18,7 +18,7 @@ from tarmac.plans.catalog_more import block_label
 from tarmac.plans.context import Ctx
 from tarmac.registry import query
 from tarmac.session import scratch_path
-from tarmac.sources import files
+from tarmac.sources import archives, files
 from tarmac.sources.materialize import gathered, materialize
 from tarmac.sources.tables import CAMEL_COLUMNS
 from tarmac.streaming.ingest import ingest_available, read_table
@@ -44,6 +44,20 @@ def q_src_ontime_scan(c: Ctx) -> DataFrame:
     return files.read_zip_months(c.spark, path, ONTIME_NAMES)
 
 
+@query("src_ontime_source")
+def q_src_ontime_source(c: Ctx) -> DataFrame:
+    """SRC-01 as a stream: archives land twice and each run reads the new ones into a table, which
+    also names corrupt archives."""
+    path, table, ckpt = (scratch_path(c.spark, f"source-{x}") for x in ("zip", "table", "ckpt"))
+    schema = files.ontime_schema(ONTIME_NAMES)
+    src = c.camel.select(*ONTIME_NAMES)
+    for part in (src.where(F.col("Year") <= 2012), src.where(F.col("Year") > 2012)):
+        files.land_zip_months(part, path, ONTIME_NAMES).count()
+        archives.stream_archives(c.spark, path, schema).writeStream.format("parquet").option("path", table) \
+            .option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination()
+    return c.spark.read.parquet(table).where("fault IS NULL").select(*ONTIME_NAMES)
+
+
 @query("src_multi_period")
 def q_src_multi_period(c: Ctx) -> DataFrame:
     """SRC-02: one read over all landed months + ISO week."""

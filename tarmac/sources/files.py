@@ -1,27 +1,17 @@
 """File sources (SRC-01, 02, 04..12, 14) and the writers that land them.
 
 Readers always pass an explicit schema (no inference pass over the data).
-The only Python on the data path is the ZIP decoder: ZIP is not a Spark
-format, so the ``binaryFile`` listing of archives is handed to
-``mapInPandas``, which opens one archive at a time and yields Arrow batches
-of bounded size. A corrupt archive yields no rows (``bad_archives`` lists it);
-any other error fails the task.
+The only Python on the data path is the ZIP decoder (``archives``).
 """
 
 from __future__ import annotations
 
-import io
-import uuid
-import zipfile
-import zlib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarmac.functions.dates import iso_week
+from tarmac.sources import archives
 
 # ------------------------------------------------------------ on-time files
 ONTIME_INT = {"Year", "Quarter", "Month", "DayofMonth", "DayOfWeek", "AirlineID", "OriginCityMarketID",
@@ -62,165 +52,22 @@ def read_csv_months(spark: SparkSession, path: str, names: list[str]) -> DataFra
     return df.select(*names).withColumn("WeekofYear", iso_week("Year", "Month", "DayofMonth"))
 
 
-def _zip_writer(path: str, names: list[str]):
-    """One archive per run of rows of one month; the rows arrive sorted."""
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs as pafs
-        from pyspark import TaskContext
-
-        ctx = TaskContext.get()
-        pid, attempt = (ctx.partitionId(), ctx.attemptNumber()) if ctx else (0, 0)
-        filesystem, root = pafs.FileSystem.from_uri(path)
-        month, rows, member, archive, stream, tmp, final = None, 0, None, None, None, "", ""
-
-        def close() -> tuple[int, int, int]:
-            member.close()
-            archive.close()
-            stream.close()
-            filesystem.move(tmp, final)
-            return (*month, rows)
-
-        for pdf in batches:
-            out = []
-            for key, part in pdf.groupby(["Year", "Month"], sort=False):
-                key = tuple(int(k) for k in key)
-                if key != month:
-                    if month is not None:
-                        out.append(close())
-                    month, rows = key, 0
-                    d = f"{root}/Year={key[0]}/Month={key[1]}"
-                    filesystem.create_dir(d, recursive=True)
-                    # one name per partition and month: a retried or
-                    # speculative attempt replaces the file instead of adding
-                    # a duplicate; written under a temporary name, then moved
-                    final = f"{d}/part-{pid:05d}.zip"
-                    tmp = f"{d}/.part-{pid:05d}.zip.{attempt}-{uuid.uuid4().hex[:6]}"
-                    stream = filesystem.open_output_stream(tmp)
-                    archive = zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED)
-                    member = archive.open(f"On_Time_{key[0]}_{key[1]}.csv", "w", force_zip64=True)
-                    member.write((",".join(names) + "\n").encode())
-                buf = io.StringIO()
-                part[names].to_csv(buf, index=False, header=False)
-                member.write(buf.getvalue().encode())
-                rows += len(part)
-            yield pd.DataFrame(out, columns=["Year", "Month", "rows"])
-        if month is not None:
-            yield pd.DataFrame([close()], columns=["Year", "Month", "rows"])
-    return write
-
-
-def land_zip_months(df: DataFrame, path: str, names: list[str], salts: int = 4) -> DataFrame:
-    """Write ZIP'd monthly CSV archives: rows are dealt out by month and salt
-    and sorted, and each task streams one archive per month that it holds. A
-    month has at most ``salts`` archives, however many batches there are, and
-    its rows are spread over as many tasks."""
-    salt = F.pmod(F.xxhash64(*names), F.lit(salts))
-    d = df.select(*names).repartition("Year", "Month", salt).sortWithinPartitions("Year", "Month")
-    return d.mapInPandas(_zip_writer(path, names), "Year int, Month int, rows long")
-
-
-def _open_uri(uri: str):
-    """(file system, path) for a URI from the binaryFile listing."""
-    from urllib.parse import urlparse
-
-    from pyarrow import fs as pafs
-
-    if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), urlparse(uri).path
-    return pafs.FileSystem.from_uri(uri)
-
-
-def _intact(fh) -> zipfile.ZipFile | None:
-    """The archive, if its directory is there and every member decompresses
-    and matches its checksum; else None."""
-    if fh.size() < 22:  # less than an empty directory
-        return None
-    try:
-        z = zipfile.ZipFile(fh)
-        return z if z.testzip() is None else None
-    except (zipfile.BadZipFile, zlib.error, EOFError):
-        return None
-
-
-def _zip_reader(names: list[str], chunk_rows: int = 100_000):
-    """Rows of intact archives. Whether an archive is corrupt is decided
-    before its first chunk leaves; storage and parse errors fail the task, so
-    that Spark retries it, and never lose rows silently."""
-    schema = ontime_schema(names)
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for uri in pdf["path"]:
-                filesystem, path = _open_uri(uri)
-                with filesystem.open_input_file(path) as fh:
-                    z = _intact(fh)
-                    if z is None:
-                        continue
-                    for member in z.namelist():
-                        if member.lower().endswith(".csv"):
-                            with z.open(member) as csv:
-                                for raw in pd.read_csv(csv, dtype=str, keep_default_na=False, chunksize=chunk_rows):
-                                    yield _typed(raw, schema)
-    return decode
-
-
-def _find_bad(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        bad = []
-        for uri in pdf["path"]:
-            filesystem, path = _open_uri(uri)
-            with filesystem.open_input_file(path) as fh:
-                if _intact(fh) is None:
-                    bad.append(uri)
-        yield pd.DataFrame({"path": pd.Series(bad, dtype=object)})
-
-
-def bad_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The archives that ``read_zip_months`` leaves out because they are corrupt."""
-    return _zip_files(spark, path).select("path").mapInPandas(_find_bad, "path string")
-
-
-def _typed(raw: pd.DataFrame, schema: T.StructType) -> pd.DataFrame:
-    out = {}
-    for f in schema.fields:
-        s = raw[f.name] if f.name in raw.columns else pd.Series([""] * len(raw))
-        s = s.where(s != "", None)
-        if isinstance(f.dataType, T.IntegerType):
-            out[f.name] = pd.to_numeric(s, errors="coerce").astype("Int32")
-        elif isinstance(f.dataType, T.LongType):
-            out[f.name] = pd.to_numeric(s, errors="coerce").astype("Int64")
-        elif isinstance(f.dataType, T.DoubleType):
-            out[f.name] = pd.to_numeric(s, errors="coerce").astype("float64")
-        elif isinstance(f.dataType, T.DateType):
-            out[f.name] = pd.to_datetime(s, errors="coerce").dt.date
-        else:
-            out[f.name] = s.astype(object)
-    return pd.DataFrame(out)
-
-
-def _zip_files(spark: SparkSession, path: str) -> DataFrame:
-    return (spark.read.format("binaryFile").option("pathGlobFilter", "*.zip")
-            .schema("path string, modificationTime timestamp, length long, content binary, Year int, Month int")
-            .load(path))
+def land_zip_months(df: DataFrame, path: str, names: list[str]) -> DataFrame:
+    """Write ZIP'd monthly CSV archives (lazily: one row per archive)."""
+    return archives.land_archives(df, path, names)
 
 
 def read_zip_months(spark: SparkSession, path: str, names: list[str],
                     year: int | None = None, month: int | None = None) -> DataFrame:
-    """SRC-01: scan ZIP'd monthly CSV archives (optionally one month); a
-    missing month gives an empty frame with the full schema, a corrupt
-    archive no rows.
-
-    Spark lists the archives (only the path column is read, so the file
-    source does not load contents) and partitions the list; each task opens
-    its archives one at a time and streams the CSV in bounded chunks, so no
-    batch ever holds many archives' bytes.
-    """
-    files = _zip_files(spark, path)
-    if year is not None:
-        files = files.where(F.col("Year") == year)
-    if month is not None:
-        files = files.where(F.col("Month") == month)
-    return files.select("path").mapInPandas(_zip_reader(names), ontime_schema(names))
+    """SRC-01: flights of the intact archives (optionally of one year or month); a missing month
+    gives an empty frame with the full schema, a corrupt archive no rows."""
+    return archives.read_archives(spark, path, ontime_schema(names), year, month).where("fault IS NULL").select(*names)
+
+
+def bad_archives(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
+    """The archives that ``read_zip_months`` leaves out because they are corrupt."""
+    return archives.read_archives(spark, path, ontime_schema(names or ["Year"])).where("fault IS NOT NULL") \
+        .select(F.col("archive").alias("path"))
 
 
 # ------------------------------------------------------------ coordinates (headerless, positional)

@@ -228,11 +228,13 @@ def test_more_clusters_than_points(spark):
 
 
 def test_storage_error_fails_the_task():
-    import pandas as pd
+    import pyarrow as pa
     import pytest as _pytest
-    decode = files._zip_reader(ONTIME_NAMES)
+
+    from tarmac.sources import archives
+    decode = archives.decoder(files.ontime_schema(ONTIME_NAMES))
     with _pytest.raises(OSError):
-        list(decode(iter([pd.DataFrame({"path": ["file:///no/such/archive.zip"]})])))
+        list(decode(iter([pa.RecordBatch.from_pydict({"path": ["file:///no/such/archive.zip"]})])))
 
 
 def test_rerun_month_leaves_each_row_once(spark, ctx):
