@@ -42,6 +42,20 @@ ROUTE_V2_SUMS = [("DEP_DEL", "DEP_DEL15"), ("ARR_DEL", "ARR_DEL15"), ("DISTANCE"
                  ("NAS_DEL", "NAS_DELAY"), ("WEA_DEL", "WEATHER_DELAY"), ("LAD_DEL", "LATE_AIRCRAFT_DELAY")]
 
 
+def carrier_bits(fl: DataFrame, codes: DataFrame) -> DataFrame:
+    """AGG-05: carriers of each route and month as exact bitmaps that can be merged: one word of
+    63 bits per (route, month, WORD). ``codes`` numbers the carriers from 0 (CARRIER, CODE)."""
+    bit = F.expr("shiftleft(1L, cast(CODE % 63 as int))")
+    return fl.join(codes, "CARRIER").groupBy("YEAR", "MONTH", "ORIGIN", "DEST", F.expr("CODE div 63").alias("WORD")) \
+        .agg(F.bit_or(bit).alias("BITS"))
+
+
+def carriers_over(bits: DataFrame, period: list[str]) -> DataFrame:
+    """Distinct carriers per route over longer periods: words are merged, then their bits counted."""
+    return bits.groupBy(*period, "ORIGIN", "DEST", "WORD").agg(F.bit_or("BITS").alias("BITS")) \
+        .groupBy(*period, "ORIGIN", "DEST").agg(F.sum(F.bit_count("BITS").cast("long")).alias("CARRIERS"))
+
+
 def per_origin(fl: DataFrame) -> DataFrame:
     """AGG-01: year x origin, ten sums."""
     return fl.groupBy("YEAR", "ORIGIN").agg(*_sums(ORIGIN_SUMS))

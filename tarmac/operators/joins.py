@@ -9,6 +9,7 @@ skew-join rule splits a hot key if a shuffled side is skewed.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarmac.functions.dates import iso_dow
@@ -60,6 +61,43 @@ def holiday_week(weekly: DataFrame, hol: DataFrame) -> DataFrame:
     return weekly.join(h, ["YEAR", "WEEK_OF_YEAR"], "left")
 
 
+def nearest_asof(left: DataFrame, right: DataFrame, day: str, by: list[str] | None = None, width: int = 32) -> DataFrame:
+    """JOIN-10 for calendars of any size: the nearest day of ``right`` to each distinct
+    (by, day) of ``left``, the earlier one on ties.
+
+    Days are cut into buckets of ``width``. Inside a bucket (of one ``by``) sorted windows carry
+    the last day seen and the next one; each bucket's first and last day are carried across
+    buckets on a table of one row per (by, bucket). So nothing is paired, and a window holds one
+    bucket's distinct days. Returns by, day, NEAREST and DAYS_TO (signed); both are null where
+    ``right`` has no day. Null days are left out; null ``by`` values meet each other.
+    """
+    by = by or []
+    one = F.col(day)
+    mine = left.where(one.isNotNull()).select(*by, one.alias("_d")).distinct().withColumn("_r", F.lit(None).cast("date"))
+    theirs = right.where(one.isNotNull()).select(*by, one.alias("_d")).distinct().withColumn("_r", F.col("_d"))
+    bucket = F.floor(F.unix_date("_d") / F.lit(width))
+    rows = mine.withColumn("_mine", F.lit(True)).unionByName(theirs.withColumn("_mine", F.lit(False))) \
+        .groupBy(*by, "_d").agg(F.max("_r").alias("_r"), F.max("_mine").alias("_mine")).withColumn("_b", bucket)
+
+    inside = W.partitionBy(*by, "_b").orderBy("_d")
+    rows = rows.withColumns({"_before": F.max("_r").over(inside.rowsBetween(W.unboundedPreceding, 0)),
+                             "_after": F.min("_r").over(inside.rowsBetween(0, W.unboundedFollowing))})
+    across = W.partitionBy(*by, F.lit(0)).orderBy("_b")
+    edges = rows.groupBy(*by, "_b").agg(F.min("_r").alias("_lo"), F.max("_r").alias("_hi"))
+    edges = edges.select(*by, "_b", F.max("_hi").over(across.rowsBetween(W.unboundedPreceding, -1)).alias("_prev"),
+                         F.min("_lo").over(across.rowsBetween(1, W.unboundedFollowing)).alias("_next"))
+    same = F.col("a._b") == F.col("e._b")
+    for c in by:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"e.{c}"))
+    got = rows.where("_mine").alias("a").join(edges.alias("e"), same).select(
+        *[F.col(f"a.{c}").alias(c) for c in by], "_d", F.coalesce("_before", "_prev").alias("_before"),
+        F.coalesce("_after", "_next").alias("_after"))
+    # least and greatest distances skip nulls; a tie takes the earlier day
+    nearer = F.col("_after").isNull() | (F.datediff("_d", "_before") <= F.datediff("_after", "_d"))
+    near = F.when(F.col("_before").isNotNull() & nearer, F.col("_before")).otherwise(F.col("_after"))
+    return got.select(*by, F.col("_d").alias(day), near.alias("NEAREST"), F.datediff(near, F.col("_d")).alias("DAYS_TO"))
+
+
 def nearest_holiday(dates: DataFrame, hol: DataFrame, date_col: str = "FL_DATE") -> DataFrame:
     """JOIN-10: closest holiday to each distinct date (absolute distance,
     earlier holiday on ties).

@@ -39,6 +39,18 @@ def row_totals(fl: DataFrame, index: str, group: str = "ARR_DELAY_GROUP", value:
             .agg(F.sum(value).alias("TOTAL")))
 
 
+def all_totals(fl: DataFrame, index: str, group: str = "ARR_DELAY_GROUP", value: str = "FLIGHTS") -> DataFrame:
+    """AGG-10: row, column and grand totals of a cross-tab.
+
+    The cells are summed first; grouping sets then add them up, so the flights are read once and
+    not multiplied. KIND is the grouping id over (index, group): 1 a row total, 2 a column total,
+    3 the grand total. It tells a group of nulls (KIND 1 or 2, null name) from a total's blank.
+    """
+    cells = fl.groupBy(index, group).agg(F.sum(value).alias("cell"))
+    return cells.groupingSets([[F.col(index)], [F.col(group)], []], index, group) \
+        .agg(F.grouping_id().alias("KIND"), F.sum("cell").alias("TOTAL")).select(index, group, "KIND", "TOTAL")
+
+
 def row_percent(fl: DataFrame, index: str, group: str = "ARR_DELAY_GROUP", value: str = "FLIGHTS") -> DataFrame:
     """WIN-02: 100 * cell / row total, long form (index, group, cell, pct).
 

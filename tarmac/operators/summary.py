@@ -115,10 +115,12 @@ def _prefixed(df: DataFrame, keys: list[str], prefix: str) -> DataFrame:
 
 def requested_slices(sub: DataFrame, parsed: DataFrame) -> DataFrame:
     """The flights that some request asks about: a semi join on (year - 1,
-    week, carrier) before anything is aggregated; with flights stored by YEAR
-    only the requested years are read."""
+    week, carrier) before anything is aggregated. The distinct years asked for
+    (calendar years, so few) become a filter: with flights stored by YEAR only
+    those are read."""
     wanted = parsed.select((F.col("YEAR") - 1).alias("YEAR"), "WEEK_OF_YEAR", "CARRIER").distinct()
-    return sub.join(wanted, ["YEAR", "WEEK_OF_YEAR", "CARRIER"], "left_semi")
+    years = sorted(r["YEAR"] for r in wanted.select("YEAR").where("YEAR IS NOT NULL").distinct().collect())
+    return sub.where(F.col("YEAR").isin(years)).join(wanted, ["YEAR", "WEEK_OF_YEAR", "CARRIER"], "left_semi")
 
 
 def request_answer(scored: DataFrame, osum: DataFrame, dsum: DataFrame, rsum: DataFrame) -> DataFrame:

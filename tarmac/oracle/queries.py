@@ -217,7 +217,26 @@ select round(avg((ARR_DEL15 - p)^2), 6) as MSE, round(avg(case when ARR_DEL15 =
        count(*) as N
   from (select ARR_DEL15, case when PROBA >= (select t from thr) then 1.0 else 0.0 end as p from scored) s"""
 ORACLE["cls_evaluate"] = q(EVAL, GNB)
-ORACLE["ml_metrics"] = q(EVAL, GNB)
+ORACLE["ml_metrics"] = q("""
+select cast(sum(case when P >= (select t from thr) and Y = 1 then 1 else 0 end) as bigint) as TP,
+       cast(sum(case when P >= (select t from thr) and Y <> 1 then 1 else 0 end) as bigint) as FP,
+       cast(sum(case when P < (select t from thr) and Y <> 1 then 1 else 0 end) as bigint) as TN,
+       cast(sum(case when P < (select t from thr) and Y = 1 then 1 else 0 end) as bigint) as FN,
+       round(sum(case when Y = 1 then RANK_SUM else 0 end) / (sum(case when Y = 1 then 1.0 else 0.0 end)
+             * sum(case when Y <> 1 then 1.0 else 0.0 end)), 6) as AUC,
+       round(-avg(case when Y = 1 then ln(P) else ln(1 - P) end), 6) as LOG_LOSS
+  from (select P, Y, coalesce(sum(case when Y <> 1 then 1.0 else 0.0 end) over (order by P range between unbounded preceding
+                and 0 following), 0) - 0.5 * sum(case when Y <> 1 then 1.0 else 0.0 end) over (partition by P) as RANK_SUM
+          from (select round(PROBA, 6) as P, ARR_DEL15 as Y from scored) s) z""", GNB)
+ORACLE["cls_threshold_sweep"] = q("""
+select T as THRESHOLD, TP, FP, TN, FN, round(TP / nullif(TP + FP, 0), 6) as PRECISION, round(TP / nullif(TP + FN, 0), 6) as RECALL,
+       round(FP / nullif(FP + TN, 0), 6) as FALL_OUT, round((TP + TN) / (TP + FP + TN + FN), 6) as ACCURACY
+  from (select t.T, cast(sum(case when P >= T and Y = 1 then 1 else 0 end) as bigint) as TP,
+               cast(sum(case when P >= T and Y <> 1 then 1 else 0 end) as bigint) as FP,
+               cast(sum(case when P < T and Y <> 1 then 1 else 0 end) as bigint) as TN,
+               cast(sum(case when P < T and Y = 1 then 1 else 0 end) as bigint) as FN
+          from (select distinct round(PROBA, 4) as T from scored) t,
+               (select round(PROBA, 4) as P, ARR_DEL15 as Y from scored) s group by t.T) z""", GNB)
 ORACLE["cls_score_requests"] = q("select * from rscored", GNB)
 ORACLE["pipe_request_answer"] = q("""
 select r.variables, r.PROBABILITY,

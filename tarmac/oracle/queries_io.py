@@ -48,6 +48,7 @@ for _key, _col in (("carrier", "CARRIER"), ("origin", "ORIGIN"), ("tail", "TAIL_
     ORACLE[f"snk_lookup_{_key}"] = q(f"select FL_DATE, CARRIER, TAIL_NUM, FL_NUM, ORIGIN, DEST, ARR_DELAY from fl "
                                      f"where {_col} = (select min({_col}) from fl)")
 ORACLE["str_agg_refresh"] = ORACLE["agg_per_origin"]
+ORACLE["str_request_answer"] = ORACLE["pipe_request_answer"]
 ORACLE["snk_model_params"] = ORACLE["cls_gnb_fit"]
 ORACLE["snk_model_score"] = ORACLE["cls_score_requests"]
 ORACLE["snk_partitioned_layout"] = q("select YEAR, MONTH, FL_DATE, CARRIER, ORIGIN, DEST, ARR_DELAY from fl "

@@ -186,6 +186,12 @@ ORACLE["agg_cause_by_weekday"] = q("select DAY_OF_WEEK, " + ", ".join(
     + " from fl group by DAY_OF_WEEK")
 ORACLE["agg_crosstab_totals"] = q("select WEEK_OF_YEAR, sum(FLIGHTS) as TOTAL from fl "
                                   "where ARR_DELAY_GROUP is not null group by WEEK_OF_YEAR")
+ORACLE["agg_crosstab_all_totals"] = q("select WEEK_OF_YEAR, ARR_DELAY_GROUP, grouping(WEEK_OF_YEAR, ARR_DELAY_GROUP) as KIND, "
+                                      "sum(FLIGHTS) as TOTAL from fl "
+                                      "group by grouping sets ((WEEK_OF_YEAR), (ARR_DELAY_GROUP), ())")
+ORACLE["agg_route_carriers_rollup"] = q("""
+select YEAR, MONTH, ORIGIN, DEST, count(distinct CARRIER) as CARRIERS from fl
+ group by grouping sets ((YEAR, MONTH, ORIGIN, DEST), (YEAR, ORIGIN, DEST), (ORIGIN, DEST))""")
 ORACLE["agg_distinct"] = q("select distinct CARRIER, ORIGIN from fl")
 ORACLE["agg_value_counts"] = q("select ARR_DEL15, count(*) as CNT, round(count(*) / (select count(*) from fl), 6) "
                                "as SHARE from fl group by ARR_DEL15")
@@ -376,6 +382,13 @@ near as (select FL_DATE, Date as HOLIDAY_DATE, Holiday as HOLIDAY, cast(Date - F
                row_number() over (partition by d.FL_DATE order by abs(h.Date - d.FL_DATE), h.Date, h.Holiday) as rn
           from (select distinct FL_DATE from fl) d, hol h) z where rn = 1)""")
 
+ORACLE["join_asof"] = q("""
+select ORIGIN, FL_DATE, NEAREST, cast(NEAREST - FL_DATE as int) as DAYS_TO
+  from (select l.ORIGIN, l.FL_DATE, r.FL_DATE as NEAREST,
+               row_number() over (partition by l.ORIGIN, l.FL_DATE order by abs(r.FL_DATE - l.FL_DATE), r.FL_DATE) as rn
+          from (select distinct ORIGIN, FL_DATE from fl) l
+          left join (select distinct ORIGIN, FL_DATE from fl where CANCELLED = 1) r on r.ORIGIN = l.ORIGIN) z where rn = 1""")
+
 # ---------------------------------------------------------------- statistics
 CORR_FEATS = AFEAT_NUM
 

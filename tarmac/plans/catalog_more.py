@@ -182,6 +182,23 @@ def q_agg_crosstab_totals(c: Ctx) -> DataFrame:
     return reshape.row_totals(c.fl, "WEEK_OF_YEAR")
 
 
+@query("agg_crosstab_all_totals")
+def q_agg_crosstab_all_totals(c: Ctx) -> DataFrame:
+    return reshape.all_totals(c.fl, "WEEK_OF_YEAR")
+
+
+@query("agg_route_carriers_rollup")
+def q_agg_route_carriers_rollup(c: Ctx) -> DataFrame:
+    """AGG-05 over months, years and all time, from one stored table of bitmaps."""
+    bits, out = c.carrier_bits, None
+    for period in (["YEAR", "MONTH"], ["YEAR"], []):
+        p = agg.carriers_over(bits, period).select(
+            *[(F.col(x) if x in period else F.lit(None).cast("int")).alias(x) for x in ("YEAR", "MONTH")],
+            "ORIGIN", "DEST", "CARRIERS")
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
 @query("agg_distinct")
 def q_agg_distinct(c: Ctx) -> DataFrame:
     return agg.distinct_values(c.fl, ["CARRIER", "ORIGIN"])
@@ -554,6 +571,13 @@ def q_join_flight_holiday(c: Ctx) -> DataFrame:
     return c.fl.select("FL_DATE", "CARRIER", "ORIGIN", "DEST", "ARR_DELAY").join(near, "FL_DATE", "left")
 
 
+@query("join_asof")
+def q_join_asof(c: Ctx) -> DataFrame:
+    """JOIN-10: for every airport and day the nearest day on which a departure was cancelled there."""
+    cancelled = c.fl.where(F.col("CANCELLED") == 1)
+    return joins.nearest_asof(c.fl, cancelled, "FL_DATE", ["ORIGIN"])
+
+
 # ------------------------------------------------------------- statistics
 @query("stat_variance")
 def q_stat_variance(c: Ctx) -> DataFrame:

@@ -73,6 +73,14 @@ class Ctx:
         return self._stored("flights_lookup", lambda: layout.ordered(self.fl, LOOKUP_COLUMNS),
                             options=layout.bloom_options(LOOKUP_BLOOMS))
 
+    @cached_property
+    def carrier_bits(self) -> DataFrame:
+        """The carriers of each route and month as bitmaps; built once."""
+        from tarmac.operators import aggregates as agg
+        from tarmac.operators import classify as cls
+        codes = lambda: cls.label_codes(self.fl, "CARRIER").select(F.col("VALUE").alias("CARRIER"), "CODE")
+        return self._stored("carrier_bits", lambda: agg.carrier_bits(self.fl, codes()))
+
     @cached_property
     def camel(self) -> DataFrame:
         return tables.flights_camel(self.fl)

@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from tarmac.operators import aggregates as agg
 from tarmac.operators import classify as cls
 from tarmac.operators import summary as sm
+from tarmac.operators import sweep
 from tarmac.plans.context import Ctx
+from tarmac.session import cut_lineage, scratch_path
+from tarmac.streaming import requests as rq
 
 QUERIES: dict[str, Callable[[Ctx], DataFrame]] = {}
 
@@ -185,9 +188,23 @@ def q_cls_evaluate(c: Ctx) -> DataFrame:
     return cls.evaluate(cls.proba(train, model), model.threshold)
 
 
+def _rounded_scores(c: Ctx, digits: int) -> tuple[DataFrame, float]:
+    train, _, model = _trained(c)
+    s = cls.proba(train, model)
+    return s.select(F.round("PROBA", digits).alias("PROBA"), cls.TARGET), model.threshold
+
+
 @query("ml_metrics")
 def q_ml_metrics(c: Ctx) -> DataFrame:
-    return q_cls_evaluate(c)
+    """STA-07: confusion counts at the decision threshold, area under the curve, log loss."""
+    scores, threshold = _rounded_scores(c, 6)
+    return sweep.metrics(scores, "PROBA", cls.TARGET, threshold)
+
+
+@query("cls_threshold_sweep")
+def q_cls_threshold_sweep(c: Ctx) -> DataFrame:
+    """CLS-04 + STA-07: confusion counts and rates at every score (to four places)."""
+    return sweep.threshold_sweep(_rounded_scores(c, 4)[0], "PROBA", cls.TARGET)
 
 
 @query("cls_score_requests")
@@ -198,13 +215,29 @@ def q_cls_score_requests(c: Ctx) -> DataFrame:
 
 @query("pipe_request_answer")
 def q_pipe_request_answer(c: Ctx) -> DataFrame:
+    return answers(c, c.requests)
+
+
+def answers(c: Ctx, requests: DataFrame) -> DataFrame:
+    """SUM-09 for any table of requests; the asked slices are found once and stored."""
     _, codes, model = _trained(c)
-    parsed = sm.parse_requests(c.requests)
-    sub = sm.requested_slices(c.subset, parsed)
+    parsed = sm.parse_requests(requests)
+    sub = cut_lineage(sm.requested_slices(c.subset, parsed))
     return sm.request_answer(cls.score_requests(parsed, codes, model), sm.origin_summary(sub),
                              sm.destination_summary(sub), sm.route_summary(sub))
 
 
+@query("str_request_answer")
+def q_str_request_answer(c: Ctx) -> DataFrame:
+    """SUM-09 as a stream: requests arrive in two portions, each run answers the new ones."""
+    landing, out, ckpt = (scratch_path(c.spark, f"requests-{x}") for x in ("in", "out", "ckpt"))
+    half = F.pmod(F.xxhash64("variables"), F.lit(2))
+    for i in (0, 1):
+        rq.land_requests(c.requests.where(half == i), landing)
+        rq.answer_arrived(c.spark, landing, out, ckpt, lambda batch: answers(c, batch))
+    return rq.read_answers(c.spark, out)
+
+
 @query("cls_proba_histogram")
 def q_cls_proba_histogram(c: Ctx) -> DataFrame:
     """CLS-07: density histogram (10 bins) of the predicted probabilities
