@@ -55,7 +55,7 @@ COUNTERS = 1 << 18
 TILE = 256
 NARROW, WIDE = 64, 4096
 BITS = 1 << 22
-LEADERS = 4
+LEADERS = 8
 
 
 def _sets(column: pa.Array, size: int, key: int) -> tuple[np.ndarray, np.ndarray]:
@@ -254,7 +254,7 @@ def _tiles(member: DataFrame, percent: int) -> DataFrame:
         .applyInArrow(_pass_tile(percent), "a long, b long").distinct()
 
 
-def _groups(known: DataFrame, named: DataFrame, docs_in: int) -> DataFrame:
+def _groups(known: DataFrame, named: DataFrame, docs_in: int, percent: int) -> DataFrame:
     """(token, node, n, pos, m) of the representatives' prefix tokens that m > 1 rows hold; ``pos`` is the
     token's place in the set of ``n``."""
     # copies of a very common text count once; fewer than 1000 sets can be that common
@@ -264,11 +264,12 @@ def _groups(known: DataFrame, named: DataFrame, docs_in: int) -> DataFrame:
         .select("node", "n", "p.token", "p.hot", "p.pos")
     cols = ["token", "node", "n", "pos"]
     # a token in at most 1 % of the documents is counted beside its rows, a commoner one before they move
-    light = token.where("NOT hot").select(*cols, F.count(F.lit(1)).over(W.partitionBy("token")).alias("m")).where("m > 1")
+    per = W.partitionBy("token")
+    light = token.where("NOT hot").select(*cols, F.count(F.lit(1)).over(per).alias("m"), F.min("n").over(per).alias("low")).where("m > 1")
     hot = token.where("hot").select(*cols)
-    hot = hot.join(hot.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "token")
-    # equal sets need no comparison
-    return light.unionByName(hot).join(named.select("node"), "node", "left_semi")
+    hot = hot.join(hot.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("low")).where("m > 1"), "token")
+    # a place too far behind for any partner, the group's smallest set included; equal sets need no comparison
+    return light.unionByName(hot).where(f"{100 + percent} * (n - pos) >= {percent} * (n + low)").drop("low").join(named.select("node"), "node", "left_semi")
 
 
 def _of_some(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -307,7 +308,7 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     named = stored(named.select("skey", F.col("rep.row").alias("node"), F.col("rep.id").alias("id"), F.col("rep.tkey").alias("tkey"),
                                 "low", "copies"), "join-nodes")
 
-    member = stored(_groups(known, named, docs_in), "join-groups")
+    member = stored(_groups(known, named, docs_in, percent), "join-groups")
     popular = member.groupBy("node").agg(F.sum("m").alias("pop"))
     order = W.partitionBy("token").orderBy(F.desc("pop"), "node")
     led = stored(member.join(popular, "node").withColumn("k", F.row_number().over(order)).where(F.col("k") <= LEADERS)
