@@ -30,6 +30,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 MAX_VOCABULARY = 64 * 1024 * 1024
 LIMITS = (512, 1024, 2048, 4096, 8192, 16384, 32768, 65536, 131072)
 PIECE = 1 << 18
+#: What the pattern's \s matches. Runs of LONG_BLANK signs are encoded by themselves.
+LONG_BLANK = 4096
+BLANKS = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_BLANK},}}")
 
 _encoders: dict[bytes, object] = {}
 
@@ -58,6 +61,21 @@ def pieces(text: str, most: int = PIECE) -> Iterator[str]:
     yield text[first:]
 
 
+def n_tokens(encoder, text: str) -> int:
+    """Tokens of a whole text.
+
+    The pattern makes one piece of a run of white space, but for its last sign where more text
+    follows, which belongs to what comes next. Long runs are cut out as that piece and merged
+    without the pattern, whose search backs up over every sign of a run.
+    """
+    n = first = 0
+    for run in BLANKS.finditer(text):
+        n += sum(len(encoder.encode_ordinary(p)) for p in pieces(text[first:run.start()]))
+        first = run.end() if run.end() == len(text) else run.end() - 1
+        n += len(encoder._encode_single_piece(text[run.start():first]))
+    return n + sum(len(encoder.encode_ordinary(p)) for p in pieces(text[first:]))
+
+
 def token_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(length, docs) per task; the vocabulary file is read once and broadcast, checked to be small."""
     with open(vocabulary, "rb") as fh:
@@ -67,9 +85,9 @@ def token_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str =
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(shared.value, pattern).encode_ordinary
+        encoder = _encoder(shared.value, pattern)
         for batch in batches:
-            lengths = np.fromiter((sum(len(encode(p)) for p in pieces(t.as_py() or "")) for t in batch.column(0)),
+            lengths = np.fromiter((n_tokens(encoder, t.as_py() or "") for t in batch.column(0)),
                                   np.int64, batch.num_rows)
             length, docs_ = np.unique(lengths, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(length), pa.array(docs_.astype(np.int64))], ["length", "docs"])
