@@ -5,7 +5,7 @@ set of its five-word shingles. Shingles are ordered by rarity, that is by how of
 hold them; since a hit must contain all of a window, one prefix shingle is enough: the rarest.
 Each occurrence of a prefix shingle in a document proposes one place for the window. Length
 and position bounds drop places that reach outside the text, and the remaining ones are
-verified word by word.
+verified: by the words' hashes first, then by the words themselves, byte for byte.
 
 Documents stream past the windows and are never shuffled. The items are read in blocks of at
 most BLOCK_WORDS words, so what is broadcast is bounded whatever the benchmark's size; the
@@ -51,10 +51,14 @@ class Windows:
     def __init__(self, ids: list[str], texts: list[str]):
         self.ids = ids
         words, h = _words(pa.array(texts, pa.string()))
+        #: all words, a blank behind each, and where they start
+        self.raw = b"".join(w + b" " for w in words.strings().to_pylist())
+        self.at_word = np.concatenate([[0], np.cumsum(words.end - words.start + 1)]).astype(np.int64)
         count = np.diff(words.first)
         runs = np.where(count >= WINDOW, count - WINDOW + 1, (count > 0).astype(count.dtype))
         self.item = np.repeat(np.arange(len(count)), runs)
         first = words.first[:-1][self.item] + np.arange(len(self.item)) - np.repeat(np.cumsum(runs) - runs, runs)
+        self.head = first
         self.size = np.minimum(count[self.item], WINDOW)
         #: word hashes, padded beyond the window's size
         self.words = np.where(np.arange(WINDOW) < self.size[:, None],
@@ -77,7 +81,7 @@ class Windows:
         self.at = often.argmin(1) if len(often) else np.zeros(0, np.int64)
         self.prefix = self.shingle[np.arange(len(self.at)), self.at]
         order = np.argsort(self.prefix, kind="stable")
-        for name in ("item", "size", "words", "width", "at", "prefix"):
+        for name in ("item", "head", "size", "words", "width", "at", "prefix"):
             setattr(self, name, getattr(self, name)[order])
         del self.shingle, self.held, self.known
 
@@ -145,6 +149,11 @@ def _rarity(docs: DataFrame, block: Windows) -> np.ndarray:
     return out
 
 
+def _spoken(words: tn.Words, first: int, end: int) -> bytes:
+    """Words first .. end, a blank behind each."""
+    return b"".join(words.data[a:b].tobytes() + b" " for a, b in zip(words.start[first:end], words.end[first:end], strict=True))
+
+
 def _matches(words: tn.Words, h: np.ndarray, block: Windows, known: Filter) -> tuple[np.ndarray, np.ndarray]:
     """First word and window index of every occurrence of a window."""
     firsts, which = [], []
@@ -164,8 +173,11 @@ def _matches(words: tn.Words, h: np.ndarray, block: Windows, known: Filter) -> t
         inside = place < block.size[window][:, None]
         theirs = h[np.minimum(start[:, None] + place, len(h) - 1)]
         same = ((theirs == block.words[window]) | ~inside).all(1)
-        firsts.append(start[same])
-        which.append(window[same])
+        start, window = start[same], window[same]
+        equal = np.fromiter((_spoken(words, s, s + n) == block.raw[block.at_word[f]:block.at_word[f + n]]
+                             for s, n, f in zip(start, block.size[window], block.head[window], strict=True)), bool, len(start))
+        firsts.append(start[equal])
+        which.append(window[equal])
     return np.concatenate(firsts or [np.zeros(0, int)]), np.concatenate(which or [np.zeros(0, int)])
 
 
