@@ -28,6 +28,7 @@ no part.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -136,22 +137,22 @@ class Sentences:
         self.run_first, self.run_end = np.divmod(np.unique(first * n + end), n)
         self.run_text = self.text[self.run_first]
 
-    def hashes(self, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes per run; runs that are too short are left out of the run arrays."""
+    def hashes(self, min_words: int, keys: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes per run, over words hashed under two keys; runs that are too short are left
+        out of the run arrays."""
         long = self.end[self.run_end - 1] - self.start[self.run_first] >= min_words if len(self.run_first) else []
         keep = np.flatnonzero(long)
         self.run_text, self.run_first, self.run_end = self.run_text[keep], self.run_first[keep], self.run_end[keep]
-        h = self.words.hashes(False)
         a, b = self.start[self.run_first], self.end[self.run_end - 1] if len(keep) else keep
-        return tuple(tn.run_hashes(h, a, b, seed).view(np.int64) for seed in (1, 2))
+        return tuple(tn.run_hashes(self.words.keyed(False, key), a, b, seed).view(np.int64) for seed, key in enumerate(keys, 1))
 
 
-def _runs(run: int, min_words: int, grow: bool = False):
+def _runs(run: int, min_words: int, grow: bool, keys: tuple[int, int]):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tn.slices(batch, "t"):
                 s = Sentences(part.column("t"), run, min_words if grow else 0)
-                h1, h2 = s.hashes(min_words)
+                h1, h2 = s.hashes(min_words, keys)
                 ids, th = (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "th"))
                 if len(h1):  # a run counts once per text
                     order = np.lexsort((h2, h1, s.run_text))
@@ -162,12 +163,12 @@ def _runs(run: int, min_words: int, grow: bool = False):
     return emit
 
 
-def _rebuild(run: int, min_words: int, grow: bool = False):
+def _rebuild(run: int, min_words: int, grow: bool, keys: tuple[int, int]):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tn.slices(batch, "t"):
                 s = Sentences(part.column("t"), run, min_words if grow else 0)
-                h1, h2 = s.hashes(min_words)
+                h1, h2 = s.hashes(min_words, keys)
                 column = part.column("seen")
                 seen = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -214,12 +215,13 @@ def substring_dedup(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS,
     """doc_id, n_sentences, n_removed and the text that is left, for every row."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("id"), text_of().alias("t")) \
         .withColumn("th", F.hash("t"))  # rows without an id, or with a repeated one, are told apart by text
-    runs = rows.mapInArrow(_runs(run, min_words, grow), "h1 long, h2 long, id long, th int")
+    keys = (secrets.randbits(64), secrets.randbits(64))  # of this job: no text can be made to collide
+    runs = rows.mapInArrow(_runs(run, min_words, grow, keys), "h1 long, h2 long, id long, th int")
     first = runs.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")) \
         .where("first < last").drop("last")
     seen = runs.join(first, ["h1", "h2"]).where("id > first").groupBy("id", "th").agg(F.collect_set("h1").alias("seen"))
     out = rows.join(seen, ["id", "th"], "left").mapInArrow(
-        _rebuild(run, min_words, grow), "doc_id long, n_sentences long, n_removed long, text string")
+        _rebuild(run, min_words, grow, keys), "doc_id long, n_sentences long, n_removed long, text string")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != int(LAST), F.col("doc_id")))
 
 
