@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.llm import textnum as tn
-from tarmac.llm.common import stored, text_of
+from tarmac.llm.common import join_by_key, stored, text_of
 from tarmac.llm.components import components
 
 SHINGLE = 5
@@ -182,6 +182,12 @@ def _tile_links(threshold: float, shingle: int):
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
                  shingle: int = SHINGLE) -> DataFrame:
     """doc_id, class_id and class_size (rows) of every row of ``docs``."""
+    return _classed_rows(docs, similarity, bands, rows, shingle).drop("node")
+
+
+def _classed_rows(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
+                  shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, node (text digest), class_id and class_size of every row of ``docs``."""
     sign = stored(signatures(docs, bands, rows, shingle), "dart-signatures")
     worded = sign.where(F.size("bands") > 0)
     nodes = worded.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"),
@@ -225,16 +231,20 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
 
     named = nodes.select("node", "rep", "copies").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = named.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
-    named = named.select("node", "root").join(classes, "root").drop("root")
-    out = worded.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "class_size")
+    named = stored(named.select("node", "root", "copies").join(classes, "root").drop("root"), "dart-classes")
+    out = join_by_key(worded.select("doc_id", "node"), named, "node", "copies").select("doc_id", "node", "class_id", "class_size")
     alone = sign.where(F.size("bands") == 0)
-    return out.unionByName(alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
+    return out.unionByName(alone.select("doc_id", "node", F.col("doc_id").alias("class_id"),
+                                        F.lit(1).cast("long").alias("class_size")))
 
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
-    """The documents whose doc_id names their class, with all their columns."""
-    kept = near_classes(docs, **options).where("doc_id <=> class_id").select(F.col("doc_id").alias("_nd_id")).distinct()
-    out = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_nd_id")), "left_semi")
+    """The rows whose doc_id names the class of their text, with all their columns. Rows are told
+    apart by doc_id and text, so another text under a kept doc_id, or under none, is judged by itself."""
+    kept = _classed_rows(docs, **options).where("doc_id <=> class_id") \
+        .select(F.col("doc_id").alias("_nd_id"), F.col("node").alias("_nd_node")).distinct()
+    same = F.unhex(F.md5(text_of().cast("binary"))) == F.col("_nd_node")
+    out = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_nd_id")) & same, "left_semi")
     return out.select(*[out[c] for c in docs.columns])
 
 
