@@ -28,6 +28,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -188,9 +189,12 @@ def matches(automaton, folded: str) -> list[tuple[int, int, float]]:
     if not len(automaton):
         return []
     found = [(end - size + 1, end + 1, weight) for end, (size, weight) in automaton.iter(folded)]
-    spared = [(a, b) for a, b, w in found if w is None]
-    return [(a, b, w) for a, b, w in found
-            if w is not None and not any(x <= a and b <= y for x, y in spared)]
+    starts, reach = [], []  # of the exception phrases: starts, and how far those up to a start reach
+    for a, b, w in sorted((x for x in found if x[2] is None), key=lambda x: x[0]):
+        starts.append(a)
+        reach.append(max(b, reach[-1]) if reach else b)
+    spared = lambda a, b: bool(i := bisect_right(starts, a)) and reach[i - 1] >= b
+    return [(a, b, w) for a, b, w in found if w is not None and not spared(a, b)]
 
 
 def evidence(automaton, folded: str) -> float:
