@@ -16,7 +16,7 @@ from tarmac.llm.jaccard_join import op11_jaccard_join
 from tarmac.llm.lexical_search import op12_lexical_search
 from tarmac.llm.mixing import op2_mix_sources
 from tarmac.llm.near_dedup import op1_dart_minhash
-from tarmac.llm.sharding import op5_shard
+from tarmac.llm.sharding import op5_shard, op5_shard_fine
 from tarmac.llm.substring_dedup import op3_substring_dedup, op3_substring_dedup_grown
 from tarmac.llm.suffix_dedup import op4_suffix_dedup
 from tarmac.llm.token_counts import op8_token_counts
@@ -38,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup_grown": _over(op3_substring_dedup_grown, "documents"),
     "op4_suffix_dedup": _over(op4_suffix_dedup, "documents"),
     "op5_shard": _over(op5_shard, "documents"),
+    "op5_shard_fine": _over(op5_shard_fine, "documents"),
     "op6_decontaminate": _over(op6_decontaminate, "documents", "benchmark"),
     "op7_exact_dedup": _over(op7_exact_dedup, "documents"),
     "op8_token_counts": _over(op8_token_counts, "documents"),
@@ -53,6 +54,7 @@ ORACLES: dict[str, str] = {
     "op3_substring_dedup": substring_dedup.ORACLE,
     "op4_suffix_dedup": suffix_dedup.ORACLE,
     "op5_shard": sharding.ORACLE,
+    "op5_shard_fine": sharding.ORACLE_FINE,
     "op6_decontaminate": decontaminate.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op9_warc": warc.ORACLE,

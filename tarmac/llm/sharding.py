@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tarmac.llm.common import stored, text_of
 
 LIMIT = 64 * 1024 * 1024
+FINE = 128 * 1024
 STEP = 8
 BITS = 63
 
@@ -88,12 +89,17 @@ def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
     shard_documents(docs, limit).repartition("shard").write.partitionBy("shard").parquet(path)
 
 
-def op5_shard(docs: DataFrame) -> DataFrame:
-    placed = place(docs.select("doc_id", "text"))
+def op5_shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    placed = place(docs.select("doc_id", "text"), limit)
     return placed.select("doc_id", F.col("_sh_bytes").alias("n_bytes"), F.col("_sh_depth").alias("depth"),
                          F.col("_sh_name").alias("shard"))
 
 
+def op5_shard_fine(docs: DataFrame) -> DataFrame:
+    """The same with shards of at most FINE bytes, which splits small tables too."""
+    return op5_shard(docs, FINE)
+
+
 #: Holds for tables whose buckets fit within 32 bits.
 ORACLE = f"""
 WITH d AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes,
@@ -104,3 +110,4 @@ f AS (SELECT *, sum(n_bytes) OVER w AS b, count(*) OVER w AS n FROM p WINDOW w A
 leaf AS (SELECT doc_id, n_bytes, h, min(len) AS depth FROM f WHERE b <= {LIMIT} OR n = 1 GROUP BY ALL)
 SELECT doc_id, n_bytes, depth, substr(lpad(bin(h), 32, '0'), 1, depth) AS shard FROM leaf
 """
+ORACLE_FINE = ORACLE.replace(f"b <= {LIMIT}", f"b <= {FINE}")
