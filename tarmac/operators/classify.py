@@ -137,8 +137,10 @@ def _joint_log_likelihood(m: GaussianNB, k: int) -> Column:
 
 def proba(df: DataFrame, model: GaussianNB, name: str = "PROBA") -> DataFrame:
     """CLS-03: posterior P(late | x) = 1 / (1 + exp(jll0 - jll1)); a narrow
-    projection with the parameters as literals (stays in codegen)."""
-    if not model.params["N0"] or not model.params["N1"]:
+    projection with the parameters as literals (stays in codegen). With one
+    class, or features that are all constant, it is the share of late rows."""
+    constant = not any(model.params[f"VAR{k}_{f}"] for k in (0, 1) for f in model.features)
+    if not model.params["N0"] or not model.params["N1"] or constant:
         share = model.params["PRIOR1"]
         known = F.col(model.features[0]).isNotNull()
         for f in model.features[1:]:

@@ -170,6 +170,18 @@ def drop_low_variance(df: DataFrame, cols: list[str], threshold: float = 0.1) ->
     return df.drop(*low)
 
 
+def union_frames(frames: list[DataFrame]) -> DataFrame:
+    """SET-01: all rows of frames (one a year, say) matched by column name;
+    a column that a frame lacks is NULL in its rows. No frame at all is an
+    error, since it has no schema."""
+    if not frames:
+        raise ValueError("a union needs at least one frame")
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
 def variance_profile(df: DataFrame, threshold: float = 0.1) -> DataFrame:
     """PRJ-03 / STA-01: sample variance of every numeric column, one pass,
     unpivoted to (FEATURE, VARIANCE, LOW) with LOW = variance < threshold."""

@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+#: Blocks of distinct values that exact quantiles are cumulated over.
+BLOCKS = 256
+
+
 # ----------------------------------------------------------------- scalers
 def fit_standard(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
     """Mean and population std per column (std 0 or undefined -> 1)."""
@@ -41,16 +45,16 @@ def quantiles(df: DataFrame, cols: list[str], shares: tuple[float, ...] = (0.25,
     """(FEATURE, SHARE, VALUE): exact quantiles with linear interpolation.
 
     Values are counted first (partial aggregate), cumulated per feature over
-    blocks of about sqrt(distinct) values, and the one or two values around
-    each rank are kept: no buffer ever holds a column's values.
+    blocks of about equally many distinct values (cut at sketched quantiles of
+    the distinct values, so outliers do not fill one block), and the one or
+    two values around each rank are kept: no buffer ever holds a column's
+    values. A block has about a 256th of a feature's distinct values.
     """
     counts = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "FEATURE", "V") \
         .where(F.col("V").isNotNull()).groupBy("FEATURE", "V").agg(F.count(F.lit(1)).alias("n"))
-    span = counts.groupBy("FEATURE").agg(F.min("V").alias("lo"), F.max("V").alias("hi"), F.sum("n").alias("total"),
-                                         F.ceil(F.sqrt(F.count(F.lit(1)))).alias("parts"))
-    part = F.when(F.col("hi") > F.col("lo"),
-                  F.floor((F.col("V") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("parts"))).otherwise(F.lit(0))
-    d = counts.join(span, "FEATURE").withColumn("part", part)
+    cuts = [i / BLOCKS for i in range(1, BLOCKS)]
+    span = counts.groupBy("FEATURE").agg(F.sum("n").alias("total"), F.percentile_approx("V", cuts, 100 * BLOCKS).alias("cuts"))
+    d = counts.join(span, "FEATURE").withColumn("part", F.size(F.filter("cuts", lambda e: e < F.col("V")))).drop("cuts")
     parts = d.groupBy("FEATURE", "part").agg(F.sum("n").alias("m"))
     earlier = W.partitionBy("FEATURE").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.select("FEATURE", "part", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("before"))
@@ -152,6 +156,33 @@ def merge_map(df: DataFrame, mapping: dict[int, int], name: str = "CLASS") -> Da
     return df.withColumn(name, F.coalesce(m[F.col(name)], F.col(name)))
 
 
+def merge_nearest(df: DataFrame, cols: list[str], by: list[str], name: str = "CLASS", min_size: int = 40) -> DataFrame:
+    """ML-12, driven by the data: a class (per group) with fewer than
+    ``min_size`` members joins the large class whose centroid is nearest to
+    its own; ties go to the lower id.
+
+    Sizes and centroids are one aggregate; large classes meet small ones as an
+    array of the group's classes, whose number is the k of the clustering, not
+    the data's. Groups without a large class, and rows whose class or group is
+    NULL, keep their classes. Squared distances are compared to 6 places.
+    """
+    classes = df.where(F.col(name).isNotNull()).groupBy(*by, name).agg(
+        F.count(F.lit(1)).alias("__n"), F.array(*[F.avg(c) for c in cols]).alias("__at"))
+    entry = F.when(F.col("__n") >= min_size, F.struct(F.col(name).alias("id"), F.col("__at").alias("at")))
+    large = F.collect_list(entry).over(W.partitionBy(*by))
+
+    def dist(c: Column) -> Column:
+        sq = F.zip_with("__at", c["at"], lambda a, b: (a - b) * (a - b))
+        d2 = F.aggregate(sq, F.lit(0.0), lambda s, v: s + v)
+        return F.struct(F.coalesce(F.round(d2, 6), F.lit(float("inf"))).alias("d2"), c["id"].alias("id"))
+
+    target = F.array_min(F.transform("__large", dist))["id"]
+    moves = classes.withColumn("__large", large).where(F.col("__n") < min_size) \
+        .select(*by, name, target.alias("__to")).where(F.col("__to").isNotNull())
+    return df.join(moves, [*by, name], "left").withColumn(name, F.coalesce("__to", name)).drop("__to") \
+        .select(*df.columns)
+
+
 # ------------------------------------------------------------ MLlib fits
 def _vec(df: DataFrame, cols: list[str]) -> DataFrame:
     """A NULL feature is an error: rows are imputed before, never dropped."""

@@ -472,3 +472,21 @@ ORACLE["ml_kmeans_nearest"] = Q("select YEAR, IATA, true as NEAREST, true as MEA
 ORACLE["ml_total_ss"] = Q(" union all ".join(
     f"select '{c}' as FEATURE, round(case when stddev_pop({c}) > 0 then count({c}) else 0 end, 4)::double as SSE from afeat"
     for c in ["SEC_DEL", "WEA_DEL", "LAT", "LON"]))
+ORACLE["prj_kept_features"] = Q(" union all ".join(
+    f"select '{c}' as FEATURE from afeat having coalesce(var_samp(cast({c} as double)) >= 0.1, true)"
+    for c in AFEAT_NUM))
+ORACLE["ml_merge_nearest"] = Q("""
+select a.YEAR, a.IATA, coalesce(m.TARGET, a.CLASS) as CLASS
+  from as10 a
+  left join (select CLASS, TARGET from (
+               select s.CLASS, l.CLASS as TARGET, row_number() over (partition by s.CLASS order by round("""
+    + " + ".join(f"(s.{c} - l.{c}) * (s.{c} - l.{c})" for c in CL_FEATS) + """, 6), l.CLASS) as rn
+                 from cen10 s, cen10 l where s.n < 40 and l.n >= 40) z where rn = 1) m
+    on m.CLASS = a.CLASS""", "cen10 as (select CLASS, count(*) as n, " + ", ".join(
+    f"avg({c}) as {c}" for c in CL_FEATS) + " from as10 group by CLASS)")
+ORACLE["ml_grid_bounds"] = Q("select cast(n.range as int) as N, cast(k as int) as K, true as WITHIN, "
+    "case when n.range = 6 and k = 1 then round((select " + " + ".join(
+        f"var_pop({c}) * count({c})" for c in CL_FEATS) + " from afeat), 2) end as TOTAL_SS "
+    "from range(1, 7) n, (values (1), (2), (4), (8)) as t(k)")
+ORACLE["ml_year_classes"] = Q("select YEAR, IATA, true as DENSE, true as MERGED from abase")
+ORACLE["snk_cluster_pipeline"] = Q("select YEAR, ORIGIN, DEST, true as SAME, true as NEAREST from rfeat")

@@ -10,15 +10,16 @@ from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.operators import aggregates as agg
-from tarmac.operators import clean, cluster
+from tarmac.operators import clean, cluster, stored_fit
 from tarmac.plans import features as feat
 from tarmac.plans.context import Ctx
 from tarmac.registry import query
-from tarmac.session import cut_lineage
+from tarmac.session import cut_lineage, scratch_path
 
 SEED = feat.SEED
 #: Values of the reference's searches (fixed values).
@@ -151,6 +152,19 @@ def q_ml_grid_nk_routes(c: Ctx) -> DataFrame:
     return grid(c, scaled, feat.ROUTE_CLUSTER_FEATURES, ["YEAR", "ORIGIN", "DEST"], GRID_N, GRID_K)
 
 
+@query("ml_grid_bounds")
+def q_ml_grid_bounds(c: Ctx) -> DataFrame:
+    """ML-09, what any grid must hold: no SSE is above that of one class over
+    as many components, or below 0; one class over all components has the total
+    sum of squares of the features, whatever the random start."""
+    cols = feat.AIRPORT_CLUSTER_FEATURES
+    g = grid(c, c.airport_features, cols, ["YEAR", "IATA"], range(1, len(cols) + 1), (1, 2, 4, 8))
+    one = g.where(F.col("K") == 1).select("N", F.col("SSE").alias("ONE"))
+    total = F.when((F.col("N") == len(cols)) & (F.col("K") == 1), F.round("SSE", 2))
+    within = (F.col("SSE") >= 0) & (F.col("SSE") <= F.col("ONE") * (1 + 1e-9) + 1e-6)
+    return g.join(one, "N").select("N", "K", within.alias("WITHIN"), total.alias("TOTAL_SS"))
+
+
 @query("ml_elbow")
 def q_ml_elbow(c: Ctx) -> DataFrame:
     """ML-10: SSE of k-means over k on scaled airport features."""
@@ -194,9 +208,43 @@ def q_ml_cluster_airports_by_year(c: Ctx, k: int = YEAR_AIRPORT_K, min_size: int
     return cluster_by_year(c, imp, ["IATA"], feat.AIRPORT_NUMERIC + feat.GEO, feat.AIRPORT_YEAR_FEATURES, k, min_size)
 
 
+@query("ml_year_classes")
+def q_ml_year_classes(c: Ctx, k: int = 3, min_size: int = 2) -> DataFrame:
+    """ML-13 with so few classes that years keep several, and what the result
+    must hold: ids of a year run from 0, and at most one class (the merged
+    one, which has the last id) is smaller than ``min_size``."""
+    out = cut_lineage(q_ml_cluster_airports_by_year(c, k, min_size))
+    sizes = out.groupBy("YEAR", "CLASS").agg(F.count(F.lit(1)).alias("n"))
+    last = F.max("CLASS")
+    year = sizes.groupBy("YEAR").agg(
+        ((F.min("CLASS") == 0) & (last == F.count(F.lit(1)) - 1) & (last < k + 1)).alias("DENSE"),
+        (F.coalesce(F.min(F.when(F.col("n") < min_size, F.col("CLASS"))), last) == last).alias("MERGED"))
+    return out.join(year, "YEAR").select("YEAR", "IATA", "DENSE", "MERGED")
+
+
 @query("ml_cluster_routes_by_year")
 def q_ml_cluster_routes_by_year(c: Ctx, k: int = YEAR_ROUTE_K, min_size: int = MIN_SIZE) -> DataFrame:
     """ML-13: routes on all their sums (K = 200)."""
     r = agg.per_route(c.fl)
     cols = [x for x in r.columns if x not in ("YEAR", "ORIGIN", "DEST")]
     return cluster_by_year(c, clean.impute_modes_by(r, cols, ["YEAR"]), ["ORIGIN", "DEST"], cols, cols, k, min_size)
+
+
+@query("snk_cluster_pipeline")
+def q_snk_cluster_pipeline(c: Ctx) -> DataFrame:
+    """SNK-07 + ML-03 + ML-05: the route clustering fitted on all years but the
+    last, stored, reloaded and applied to all, with what must hold: a row's
+    class is that of the model before it was stored, and its centre is the
+    nearest of the reloaded ones, in the unseen year too."""
+    f, keys = c.route_features, ["YEAR", "ORIGIN", "DEST"]
+    years = _years(f)
+    path = scratch_path(c.spark, "cluster-pipeline")
+    fitted = stored_fit.cluster_pipeline(feat.ROUTE_CLUSTER_FEATURES, 2, feat.ROUTE_K, SEED) \
+        .fit(f.where(F.col("YEAR").isin(years[:-1] or years)))
+    fitted.save(path)
+    again = PipelineModel.load(path)
+    out = again.transform(f)
+    centres = [list(map(float, m)) for m in again.stages[-1].clusterCenters()]
+    before = fitted.transform(f).select(*keys, F.col("CLASS").alias("BEFORE"))
+    out = out.select(*keys, "CLASS", stored_fit.holds_nearest(out, centres).alias("NEAREST"))
+    return out.join(before, keys).select(*keys, (F.col("CLASS") == F.col("BEFORE")).alias("SAME"), "NEAREST")

@@ -297,9 +297,12 @@ def q_srt_topk(c: Ctx) -> DataFrame:
 # ------------------------------------------------------------- set ops
 @query("set_union_all")
 def q_set_union_all(c: Ctx) -> DataFrame:
-    """SET-01: per-year slices put together again. One table holds all
-    years, so the union over slices is the scan itself, whatever the years."""
-    return c.airport_base
+    """SET-01: the frames of all years put together by column name; each
+    frame comes with its columns in another order, as separate files may."""
+    years = sorted(r["YEAR"] for r in c.airport_base.select("YEAR").distinct().collect())
+    frames = [c.airport_base.where(F.col("YEAR") == y) for y in years]
+    turned = [f.select(*f.columns[i % len(f.columns):], *f.columns[:i % len(f.columns)]) for i, f in enumerate(frames)]
+    return clean.union_frames(turned)
 
 
 @query("set_major_airports")
@@ -616,6 +619,14 @@ def q_prj_drop_low_variance(c: Ctx) -> DataFrame:
     return clean.drop_low_variance(c.airport_features, _airport_feature_cols(c.airport_features))
 
 
+@query("prj_kept_features")
+def q_prj_kept_features(c: Ctx) -> DataFrame:
+    """PRJ-03: the names of the airport features that the drop leaves."""
+    left = q_prj_drop_low_variance(c).columns
+    kept = [(x,) for x in _airport_feature_cols(c.airport_features) if x in left]
+    return c.spark.createDataFrame(kept, "FEATURE string")
+
+
 @query("stat_corr_matrix")
 def q_stat_corr_matrix(c: Ctx) -> DataFrame:
     f = c.airport_features
@@ -697,3 +708,11 @@ def q_ml_merge_small(c: Ctx) -> DataFrame:
 def q_ml_merge_map(c: Ctx) -> DataFrame:
     a = _fixed_airport_assign(c, feat.AIRPORT_K).select("YEAR", "IATA", "CLASS")
     return cluster.merge_map(a, feat.AIRPORT_MERGE)
+
+
+@query("ml_merge_nearest")
+def q_ml_merge_nearest(c: Ctx) -> DataFrame:
+    """ML-12: classes under 40 members go to the nearest large class."""
+    a = _fixed_airport_assign(c, feat.AIRPORT_K)
+    return cluster.merge_nearest(a, feat.AIRPORT_CLUSTER_FEATURES, [], "CLASS", feat.MIN_MEMBERS) \
+        .select("YEAR", "IATA", "CLASS")

@@ -27,6 +27,7 @@ GEO = ["LAT", "LON"]
 # Clusters and manual class merges {from: to} of the reference (fixed values).
 AIRPORT_K, GEO_K, ROUTE_K = 10, 6, 21
 AIRPORT_MERGE, GEO_MERGE = {6: 1, 8: 3}, {3: 4}
+MIN_MEMBERS = 40  # smaller classes are merged
 SEED = 1234
 
 
