@@ -1,7 +1,7 @@
 """MinHash near-dedup (1): DartMinHash signatures, banded candidates, exact verification.
 
-Signatures. A text is the set of its five-word shingles (or, weighted, their counts). Each
-shingle owns a strip as wide as its weight; darts hit it at the times of a Poisson process
+Signatures. A text is its five-word shingles, weighted by how often each occurs (or, with
+``weighted=False``, each once). Each shingle owns a strip as wide as its weight; darts hit it at the times of a Poisson process
 drawn from the shingle's hash, so texts that share a shingle share its darts. Only darts
 before a horizon that falls with the text's total weight are thrown: about k ln k + 2k of
 them, whatever the text's length. A dart's hash names one of k coordinates; the earliest dart
@@ -15,7 +15,10 @@ the fullest (the original that copies scatter around), and every member is compa
 leaders: linear in the bucket. Buckets whose members then still lie in different components
 are compared in full, in tiles of about TILE x TILE members, across components only, and only
 links come out. So no link between candidates is lost, no bucket is gathered in one task, and
-no pair is emitted that isn't a link. Similarity is the exact Jaccard of the shingle sets.
+no pair is emitted that isn't a link. Similarity is the exact weighted Jaccard: the sum of the
+smaller counts over the sum of the larger ones. It is the plain Jaccard of the elements
+(shingle, its how-manieth occurrence), which is how it is verified. Without weights it is the
+plain Jaccard of the shingle sets; texts that repeat no shingle have the same one both ways.
 With 28 bands of 5, a pair of similarity 0.8 is a candidate with probability 1 - 2e-5.
 
 Defined results: a null text is the empty text; texts without words are in a class of their
@@ -101,6 +104,17 @@ def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, n
     return text[first], h[first], np.diff(np.append(first, len(h))).astype(np.float64)
 
 
+def elements(column: pa.Array, size: int, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Text and hash of what verification counts: distinct shingles, weighted once for each occurrence."""
+    text, h, count = shingle_sets(column, size)
+    again = count.astype(np.int64) if weighted else np.ones(len(h), np.int64)
+    nth = np.arange(again.sum()) - np.repeat(np.cumsum(again) - again, again)
+    text, h = np.repeat(text, again), np.repeat(h, again)
+    late = np.flatnonzero(nth)
+    h[late] = tn.mix(h[late] + nth[late].astype(np.uint64) * tn.BASE, 12)
+    return text, h
+
+
 def band_hashes(sign: np.ndarray, bands: int, rows: int) -> np.ndarray:
     out = np.zeros((len(sign), bands), np.uint64)
     for r in range(rows):
@@ -109,7 +123,7 @@ def band_hashes(sign: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE,
-               weighted: bool = False) -> DataFrame:
+               weighted: bool = True) -> DataFrame:
     """doc_id, node (128-bit text hash) and the band hashes (none for a text without words)."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,14 +145,14 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: i
     return rows_.mapInArrow(sign, "doc_id long, node binary, bands array<long>")
 
 
-def _similar(threshold: float, shingle: int):
-    """Of rows (a, b, ta, tb) the pairs (a, b) whose shingle sets are similar enough."""
+def _similar(threshold: float, shingle: int, weighted: bool):
+    """Of rows (a, b, ta, tb) the pairs (a, b) whose texts are similar enough."""
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tn.slices(batch, "ta", "tb"):
                 sides = []
                 for c in ("ta", "tb"):
-                    pair, h, _ = shingle_sets(part.column(c), shingle)
+                    pair, h = elements(part.column(c), shingle, weighted)
                     sides.append((pair, tn.mix(h ^ tn.mix(pair.astype(np.uint64), 9), 10)))
                 (pa_, ka), (pb, kb) = sides
                 n = part.num_rows
@@ -149,12 +163,12 @@ def _similar(threshold: float, shingle: int):
     return check
 
 
-def _tile_links(threshold: float, shingle: int):
+def _tile_links(threshold: float, shingle: int, weighted: bool):
     """Links of one tile: pairs of different roots, one from each block, that are similar."""
     def compare(tile: pa.Table) -> pa.Table:
         nodes, roots = tile.column("node").to_pylist(), tile.column("root").to_pylist()
         block = tile.column("block").to_numpy()
-        text, h, _ = shingle_sets(tile.column("t"), shingle)
+        text, h = elements(tile.column("t"), shingle, weighted)
         n = len(nodes)
         size = np.bincount(text, minlength=n)
         _, which, times = np.unique(h, return_inverse=True, return_counts=True)
@@ -180,15 +194,15 @@ def _tile_links(threshold: float, shingle: int):
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
-                 shingle: int = SHINGLE) -> DataFrame:
+                 shingle: int = SHINGLE, weighted: bool = True) -> DataFrame:
     """doc_id, class_id and class_size (rows) of every row of ``docs``."""
-    return _classed_rows(docs, similarity, bands, rows, shingle).drop("node")
+    return _classed_rows(docs, similarity, bands, rows, shingle, weighted).drop("node")
 
 
 def _classed_rows(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
-                  shingle: int = SHINGLE) -> DataFrame:
+                  shingle: int = SHINGLE, weighted: bool = True) -> DataFrame:
     """doc_id, node (text digest), class_id and class_size of every row of ``docs``."""
-    sign = stored(signatures(docs, bands, rows, shingle), "dart-signatures")
+    sign = stored(signatures(docs, bands, rows, shingle, weighted), "dart-signatures")
     worded = sign.where(F.size("bands") > 0)
     nodes = worded.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"),
                                        F.any_value("bands").alias("bands"))
@@ -212,7 +226,7 @@ def _classed_rows(docs: DataFrame, similarity: float = SIMILARITY, bands: int =
         .select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
     pairs = star.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a") \
         .join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
-    links = stored(pairs.mapInArrow(_similar(similarity, shingle), "a binary, b binary"), "dart-links")
+    links = stored(pairs.mapInArrow(_similar(similarity, shingle, weighted), "a binary, b binary"), "dart-links")
     root = components(links)
 
     # buckets that still hold several components, compared in full but for pairs inside one
@@ -224,7 +238,7 @@ def _classed_rows(docs: DataFrame, similarity: float = SIMILARITY, bands: int =
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rest = rest.select("band", "node", "root", "block", F.least("block", "other").alias("i"),
                        F.greatest("block", "other").alias("j")).join(texts, "node")
-    more = rest.groupBy("band", "i", "j").applyInArrow(_tile_links(similarity, shingle), "a binary, b binary")
+    more = rest.groupBy("band", "i", "j").applyInArrow(_tile_links(similarity, shingle, weighted), "a binary, b binary")
     more = stored(more.distinct(), "dart-links")
     if not more.isEmpty():
         root = components(links.unionAll(more))

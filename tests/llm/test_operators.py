@@ -452,12 +452,12 @@ def sets(docs):
     for i, t, _ in docs:
         w = re.sub("[A-Z]", lambda m: m.group().lower(), t)
         w = re.findall(r"[^\x20\x09-\x0D]+", w)
-        out[i, t] = {tuple(w[k:k + 5]) for k in range(max(len(w) - 4, 1))} if w else None
+        out[i, t] = Counter(tuple(w[k:k + 5]) for k in range(max(len(w) - 4, 1))) if w else None
     return out
 
 
-def brute_classes(docs):
-    s = {t: x for (_, t), x in sets(docs).items()}
+def brute_classes(docs, weighted=True):
+    s = {t: x if weighted or not x else Counter(set(x)) for (_, t), x in sets(docs).items()}
     names = [t for t, x in s.items() if x]
     root = {t: t for t in names}
 
@@ -469,7 +469,7 @@ def brute_classes(docs):
     for a in range(len(names)):
         for b in range(a):
             x, y = s[names[a]], s[names[b]]
-            if len(x & y) >= 0.8 * len(x | y):
+            if (x & y).total() >= 0.8 * (x | y).total():
                 root[find(names[a])] = find(names[b])
     members = defaultdict(list)
     for i, t, _ in docs:
@@ -491,6 +491,24 @@ def test_near_classes(awkward):
     assert near_dedup.near_dedup(awkward).columns == awkward.columns
 
 
+@pytest.mark.parametrize("weighted", [True, False])
+@pytest.mark.parametrize("tile", [256, 2])
+def test_near_classes_count_repeats(spark, monkeypatch, weighted, tile):
+    """Texts that differ only in how often they repeat a passage are alike without weights only."""
+    import random
+
+    monkeypatch.setattr(near_dedup, "TILE", tile)
+    rng = random.Random(11)
+    a, b = words(rng, 60), words(rng, 60)
+    d = [(n, f"{a} " * n + b, None) for n in (1, 2, 3, 30, 31)]
+    d += [(40, f"{a} " * 30 + "other end", None), (50, b, None), (51, f"{b} x", None), (60, "z " * 500, None), (61, "z " * 450, None)]
+    df = spark.createDataFrame(d, "doc_id long, text string, source string").repartition(3)
+    got = Counter(map(tuple, near_dedup.near_classes(df, weighted=weighted).collect()))
+    assert got == brute_classes(d, weighted)
+    size = {i: n for i, _, n in got}
+    assert (size[1] == 1) == weighted and size[30] >= 3 and size[60] == 2
+
+
 def test_near_classes_hub_and_chain(spark, monkeypatch):
     """Copies of one original that differ among themselves, and a chain whose ends differ;
     small tiles make the full comparison of split buckets run over several."""
