@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tarmac.operators import aggregates as agg
 from tarmac.operators import layout
 from tarmac.plans.catalog_io import ONTIME_NAMES, PER_ORIGIN, append_months
-from tarmac.plans.context import LOOKUP_BLOOMS, LOOKUP_COLUMNS
+from tarmac.plans.context import FLIGHT_COLUMNS, LOOKUP_BLOOMS, LOOKUP_COLUMNS
 from tarmac.session import scratch_path
 from tarmac.sources import files
 from tarmac.streaming import refresh as rf
@@ -184,3 +184,14 @@ def test_a_month_of_many_rows_is_written_by_many_tasks(spark):
     assert len(glob.glob(f"{local(path)}/YEAR=2012/MONTH=6/part-*.parquet")) > 3
     assert len(glob.glob(f"{local(path)}/YEAR=2012/MONTH=7/part-*.parquet")) <= 2
     assert spark.read.parquet(path).count() == 60_000
+
+
+def test_flights_are_moved_as_keys(ctx):
+    """The table's build gathers and sorts eight columns; its 47 are neither shuffled nor sorted by the write."""
+    plan = ctx._build_flights()._jdf.queryExecution().optimizedPlan()
+    assert plan.outputOrdering().head().child().name() == "YEAR"
+    assert plan.output().size() == len(FLIGHT_COLUMNS)
+    while plan.nodeName() == "Project":
+        plan = plan.children().head()
+    assert plan.nodeName() == "Sort" and plan.output().size() == 8
+    assert "Rebalance" in plan.children().head().nodeName()
