@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarmac.functions.dates import iso_week
+from tarmac.session import sql_conf
 from tarmac.sources import archives
 
 # ------------------------------------------------------------ on-time files
@@ -21,6 +22,8 @@ ONTIME_LONG = {"FlightNum"}
 ONTIME_STR = {"UniqueCarrier", "Carrier", "TailNum", "Origin", "OriginCityName", "OriginState", "Dest",
               "DestCityName", "DestState", "DepTimeBlk", "ArrTimeBlk", "CancellationCode"}
 ONTIME_DATE = {"FlightDate"}
+OPEN_MONTHS = 200
+ROWS_PER_FILE = 1_000_000
 
 
 def ontime_schema(names: list[str]) -> T.StructType:
@@ -38,10 +41,15 @@ def ontime_schema(names: list[str]) -> T.StructType:
 
 
 def land_csv_months(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Land monthly CSV files under ``Year=Y/Month=M`` (one write job; the
-    local sort lets each task write one file per month it holds)."""
-    (df.sortWithinPartitions("Year", "Month").write.mode(mode).partitionBy("Year", "Month")
-     .option("header", True).option("dateFormat", "yyyy-MM-dd").csv(path))
+    """Land gzipped monthly CSV files under ``Year=Y/Month=M`` (one write job).
+
+    A task keeps one file open per month it holds, so its wide rows are not sorted; beyond
+    ``OPEN_MONTHS`` Spark sorts the rest. Files end at ``ROWS_PER_FILE`` rows, since a gzipped
+    file is read by one task.
+    """
+    with sql_conf(df.sparkSession, {"spark.sql.maxConcurrentOutputFileWriters": str(OPEN_MONTHS)}):
+        (df.write.mode(mode).partitionBy("Year", "Month").option("header", True).option("dateFormat", "yyyy-MM-dd")
+         .option("compression", "gzip").option("maxRecordsPerFile", ROWS_PER_FILE).csv(path))
 
 
 def read_csv_months(spark: SparkSession, path: str, names: list[str]) -> DataFrame:

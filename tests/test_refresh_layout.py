@@ -195,3 +195,23 @@ def test_flights_are_moved_as_keys(ctx):
         plan = plan.children().head()
     assert plan.nodeName() == "Sort" and plan.output().size() == 8
     assert "Rebalance" in plan.children().head().nodeName()
+
+
+def test_monthly_csv_is_landed_gzipped_without_sorting(spark, ctx, tmp_path):
+    src = ctx.camel.select(*ONTIME_NAMES).coalesce(1)
+    path = str(tmp_path / "csv")
+    files.land_csv_months(src, path)
+    found = glob.glob(f"{path}/Year=*/Month=*/*.csv*")
+    assert found and all(f.endswith(".csv.gz") for f in found)
+    assert len(found) == src.select("Year", "Month").distinct().count()  # one file per task and month
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    back = files.read_csv_months(spark, path, ONTIME_NAMES).drop("WeekofYear")
+    assert back.exceptAll(src).isEmpty() and src.exceptAll(back).isEmpty()
+    # more months than writers: the rest is sorted, nothing is lost
+    files.OPEN_MONTHS, before = 3, files.OPEN_MONTHS
+    try:
+        files.land_csv_months(src, path)
+    finally:
+        files.OPEN_MONTHS = before
+    again = files.read_csv_months(spark, path, ONTIME_NAMES).drop("WeekofYear")
+    assert again.exceptAll(src).isEmpty() and again.count() == src.count()
