@@ -15,6 +15,7 @@ from tarmac.operators import layout
 from tarmac.plans.catalog_io import ONTIME_NAMES, PER_ORIGIN, append_months
 from tarmac.plans.context import FLIGHT_COLUMNS, LOOKUP_BLOOMS, LOOKUP_COLUMNS
 from tarmac.session import scratch_path
+from tarmac.sources.materialize import small_splits
 from tarmac.sources import files
 from tarmac.streaming import refresh as rf
 
@@ -215,3 +216,13 @@ def test_monthly_csv_is_landed_gzipped_without_sorting(spark, ctx, tmp_path):
         files.OPEN_MONTHS = before
     again = files.read_csv_months(spark, path, ONTIME_NAMES).drop("WeekofYear")
     assert again.exceptAll(src).isEmpty() and again.count() == src.count()
+
+
+def test_whole_rows_are_shuffled_from_small_splits(spark, ctx):
+    with small_splits(spark):
+        assert int(spark.conf.get("spark.sql.files.maxPartitionBytes")) <= 32 << 20
+        with pytest.raises(ZeroDivisionError), small_splits(spark):
+            1 / 0  # noqa: B018
+        assert int(spark.conf.get("spark.sql.files.maxPartitionBytes")) <= 32 << 20
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "134217728b"
+    assert layout.ROWS_PER_FILE * 550 < 300 << 20  # bytes of a flight in a sort
