@@ -19,7 +19,7 @@ from tarmac.plans.context import Ctx
 from tarmac.registry import query
 from tarmac.session import scratch_path
 from tarmac.sources import archives, files
-from tarmac.sources.materialize import gathered, materialize
+from tarmac.sources.materialize import gathered, materialize, small_splits
 from tarmac.sources.tables import CAMEL_COLUMNS
 from tarmac.streaming.ingest import ingest_available, read_table
 from tarmac.streaming.refresh import Refreshed, compact, read_aggregate, refresh
@@ -40,7 +40,8 @@ def append_months(df: DataFrame, path: str) -> None:
 def q_src_ontime_scan(c: Ctx) -> DataFrame:
     """SRC-01: land ZIP'd monthly CSV archives, scan them back."""
     path = scratch_path(c.spark, "ontime-zip")
-    files.land_zip_months(c.camel, path, ONTIME_NAMES).count()
+    with small_splits(c.spark):
+        files.land_zip_months(c.camel, path, ONTIME_NAMES).count()
     return files.read_zip_months(c.spark, path, ONTIME_NAMES)
 
 
@@ -52,7 +53,8 @@ def q_src_ontime_source(c: Ctx) -> DataFrame:
     schema = files.ontime_schema(ONTIME_NAMES)
     src = c.camel.select(*ONTIME_NAMES)
     for part in (src.where(F.col("Year") <= 2012), src.where(F.col("Year") > 2012)):
-        files.land_zip_months(part, path, ONTIME_NAMES).count()
+        with small_splits(c.spark):
+            files.land_zip_months(part, path, ONTIME_NAMES).count()
         archives.stream_archives(c.spark, path, schema).writeStream.format("parquet").option("path", table) \
             .option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination()
     return c.spark.read.parquet(table).where("fault IS NULL").select(*ONTIME_NAMES)

@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 LIST_SCHEMA = "path string, modificationTime timestamp, length long, content binary, Year int, Month int"
 BLOCK = 4 << 20
-HOLD = 256 << 20
+HOLD = 32 << 20
 ROWS_PER_ARCHIVE = 250_000
 BROKEN = (zipfile.BadZipFile, zlib.error, EOFError)
 
@@ -59,7 +59,8 @@ def _member(stream, flights: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Typed batches of one CSV member; whole numbers may be written with a decimal point."""
     read = {f.name: pa.float64() if pa.types.is_integer(f.type) else f.type for f in flights}
     try:
-        reader = pc.open_csv(stream, pc.ReadOptions(block_size=BLOCK), convert_options=pc.ConvertOptions(
+        # Spark runs a task per core; threads of Arrow's own would read ahead and hold more blocks
+        reader = pc.open_csv(stream, pc.ReadOptions(use_threads=False, block_size=BLOCK), convert_options=pc.ConvertOptions(
             column_types=read, include_columns=flights.names, null_values=[""], strings_can_be_null=True))
     except pa.ArrowInvalid as e:
         if "Empty CSV file" in str(e):
@@ -141,7 +142,7 @@ def stream_archives(spark: SparkSession, path: str, schema: T.StructType, files_
 
 # ------------------------------------------------------------ landing
 def _writer(path: str, names: list[str]):
-    """One archive per run of rows of one month; the rows arrive sorted."""
+    """One archive per run of rows of one month and salt; the rows arrive sorted."""
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs as pafs
         from pyspark import TaskContext
@@ -160,7 +161,7 @@ def _writer(path: str, names: list[str]):
                                               pa.schema([("Year", pa.int32()), ("Month", pa.int32()), ("rows", pa.int64())]))
 
         for batch in batches:
-            keys = list(zip(batch.column("Year").to_pylist(), batch.column("Month").to_pylist(), strict=True))
+            keys = list(zip(*[batch.column(c).to_pylist() for c in ("Year", "Month", "_salt")], strict=True))
             at = 0
             while at < len(keys):
                 key, end = keys[at], at + 1
@@ -172,10 +173,12 @@ def _writer(path: str, names: list[str]):
                     month, rows = key, 0
                     d = f"{root}/Year={key[0]}/Month={key[1]}"
                     filesystem.create_dir(d, recursive=True)
-                    # one name per partition and month: a retried or speculative attempt replaces
-                    # the file instead of adding a duplicate; written under another name, then moved
-                    final = f"{d}/part-{pid:05d}.zip"
-                    tmp = f"{d}/.part-{pid:05d}.zip.{attempt}-{uuid.uuid4().hex[:6]}"
+                    # one name per partition, month and salt, which fix the rows: a retried or speculative
+                    # attempt replaces the file instead of adding a duplicate; written under another
+                    # name, then moved
+                    name = f"part-{pid:05d}-{key[2]}.zip"
+                    final = f"{d}/{name}"
+                    tmp = f"{d}/.{name}.{attempt}-{uuid.uuid4().hex[:6]}"
                     sink = filesystem.open_output_stream(tmp)
                     archive = zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED)
                     member = archive.open(f"On_Time_{key[0]}_{key[1]}.csv", "w", force_zip64=True)
@@ -192,10 +195,11 @@ def _writer(path: str, names: list[str]):
 
 def land_archives(df: DataFrame, path: str, names: list[str], rows_per_archive: int = ROWS_PER_ARCHIVE) -> DataFrame:
     """Write ZIP'd monthly CSV archives of about ``rows_per_archive`` rows; rows are dealt out by
-    month and a salt as wide as the month's rows ask for, so a month is as many tasks as it needs.
-    Rows must name their year and month."""
+    month and a salt as wide as the month's rows ask for, so a month is as many tasks as it needs;
+    months and salts that meet in a task keep archives of their own. Rows must name their year and
+    month."""
     months = df.groupBy("Year", "Month").agg(F.count(F.lit(1)).alias("_n"))
     salts = F.ceil(F.col("_n") / F.lit(rows_per_archive)).cast("int")
     d = df.join(months, ["Year", "Month"]).withColumn("_salt", F.pmod(F.xxhash64(*names), salts))
-    d = d.repartition("Year", "Month", "_salt").select(*names).sortWithinPartitions("Year", "Month")
+    d = d.repartition("Year", "Month", "_salt").select(*names, "_salt").sortWithinPartitions("Year", "Month", "_salt")
     return d.mapInArrow(_writer(path, names), "Year int, Month int, rows long")

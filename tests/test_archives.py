@@ -129,3 +129,17 @@ def test_stream_reads_each_archive_once(spark, tmp_path):
     got = run()
     assert got.where("fault IS NULL").count() == 4
     assert [os.path.basename(r.archive) for r in got.where("fault IS NOT NULL").collect()] == ["bad.zip"]
+
+
+def test_archives_that_meet_in_a_task_are_not_joined(spark):
+    rows = spark.range(800).select(F.lit(2012).alias("Year"), F.lit(6).alias("Month"), F.lit(None).cast("date").alias("FlightDate"),
+                                   F.col("id").alias("FlightNum"), F.lit("AA").alias("Carrier"), F.lit(1.0).alias("DepDelay"))
+    path = scratch_path(spark, "zip-met")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        landed = archives.land_archives(rows, path, NAMES, rows_per_archive=100).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert len(landed) == 8 and sum(r.rows for r in landed) == 800 and max(r.rows for r in landed) < 200
+    got = files.read_zip_months(spark, path, NAMES)
+    assert got.exceptAll(rows).count() == 0 and got.count() == 800
