@@ -200,6 +200,7 @@ def land_archives(df: DataFrame, path: str, names: list[str], rows_per_archive:
     month."""
     months = df.groupBy("Year", "Month").agg(F.count(F.lit(1)).alias("_n"))
     salts = F.ceil(F.col("_n") / F.lit(rows_per_archive)).cast("int")
-    d = df.join(months, ["Year", "Month"]).withColumn("_salt", F.pmod(F.xxhash64(*names), salts))
+    # a row per month, sent to the flights: they are shuffled once, for the archives
+    d = df.join(F.broadcast(months), ["Year", "Month"]).withColumn("_salt", F.pmod(F.xxhash64(*names), salts))
     d = d.repartition("Year", "Month", "_salt").select(*names, "_salt").sortWithinPartitions("Year", "Month", "_salt")
     return d.mapInArrow(_writer(path, names), "Year int, Month int, rows long")

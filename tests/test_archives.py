@@ -143,3 +143,9 @@ def test_archives_that_meet_in_a_task_are_not_joined(spark):
     assert len(landed) == 8 and sum(r.rows for r in landed) == 800 and max(r.rows for r in landed) < 200
     got = files.read_zip_months(spark, path, NAMES)
     assert got.exceptAll(rows).count() == 0 and got.count() == 800
+
+
+def test_flights_are_shuffled_once_to_land(spark, ctx):
+    path = scratch_path(spark, "zip-once")
+    plan = archives.land_archives(ctx.camel, path, ONTIME_NAMES)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
